@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, quality_rules
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
