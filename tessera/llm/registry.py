@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules
+from . import exact_dedup, language_id, mixing, quality_rules, secrets
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_scan_secrets": secrets.op5_scan_secrets,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
