@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, quality_rules, secrets
+from . import exact_dedup, language_id, mixing, near_dedup, quality_rules, secrets
 
 QUERIES = {
+    "op1_near_duplicates": near_dedup.op1_near_duplicates,
     "op2_language_id": language_id.op2_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_scan_secrets": secrets.op5_scan_secrets,
