@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, near_dedup, quality_rules, secrets
+from . import exact_dedup, language_id, mixing, near_dedup, packing, quality_rules, secrets, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op1_near_duplicates": near_dedup.op1_near_duplicates,
     "op2_language_id": language_id.op2_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_scan_secrets": secrets.op5_scan_secrets,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
+    "op9_packed_tokens": packing.op9_packed_tokens,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
