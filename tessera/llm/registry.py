@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, quality_rules, secrets, sentencepiece_codec, token_counts
+from . import exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, quality_rules, secrets, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op1_near_duplicates": near_dedup.op1_near_duplicates,
     "op2_language_id": language_id.op2_language_id,
+    "op3_lm_scores": lm_scoring.op3_lm_scores,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_scan_secrets": secrets.op5_scan_secrets,
     "op6_token_counts": token_counts.op6_token_counts,
