@@ -1 +1,3 @@
-"""Plans of the tessera package."""
+"""The registered queries, by subject. Importing this package registers them."""
+
+from . import bi, monitoring  # noqa: F401
