@@ -1,3 +1,3 @@
 """The registered queries, by subject. Importing this package registers them."""
 
-from . import bi, cep, decisions, graph, monitoring, retrieval, text  # noqa: F401
+from . import bi, cep, decisions, graph, mining, monitoring, retrieval, text  # noqa: F401
