@@ -169,7 +169,7 @@ def _shared_size(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 384, buckets: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512, buckets: int = 256) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased in A-Z; a text's set holds its distinct ``width``-word shingles, or its whole sequence if it has
@@ -189,24 +189,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = full.join(firsts.select(F.col("node").alias("rid")), "rid", "left_semi")
     keyed = staged(nodes.select(F.col("rid").alias("node"), F.posexplode("bands").alias("band", "key")))
     heads = keyed.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    family = staged(keyed.select("node", "key").join(heads, "key").select("head", "node").distinct())
-    needed = family.select("node").distinct().join(seen.select(F.col("rid").alias("node"), "doc_id", "th"), "node")
-    needed = staged(needed)
+    family = staged(_families(staged(keyed.select("node", "key").join(heads, "key").select("key", "head", "node"))))
+    needed = staged(family.select("node").distinct().join(seen.select(F.col("rid").alias("node"), "doc_id", "th"), "node"))
     slot = F.pmod(F.xxhash64("doc_id", "th"), F.lit(buckets * BITS))
     wanted = needed.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / BITS).cast("int").alias("wanted_bucket")).agg(F.bitmap_construct_agg(F.col("slot") % BITS).alias("wanted_map"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).withColumn("th", F.xxhash64("t"))
-    texts = _passed(texts, wanted, ["doc_id", "th"], buckets, "wanted").where("wanted").drop("wanted")
-    of_node = needed.select("node", F.col("doc_id").alias("d"), F.col("th").alias("h"))
-    found = texts.join(of_node, texts["doc_id"].eqNullSafe(of_node["d"]) & (texts["th"] == of_node["h"])).select("node", "t")
-    sets = staged(found.mapInArrow(_to_sets(width), "node long, shingles binary").dropDuplicates(["node"]))
-
-    sized = family.groupBy("head").agg(F.count(F.lit(1)).alias("members"))
-    sized = staged(sized)
-    small = family.join(sized.where(f"members <= {block}").select("head"), "head", "left_semi")
-    groups = small.join(sets, "node").select(F.col("head").cast("string").alias("grp"), "node", F.lit(False).alias("anchor"), "shingles")
+    texts = _passed(texts, wanted, ["doc_id", "th"], buckets, "wanted").where("wanted")
+    # Rows with the same id and text are one here; the join that follows is on what they are grouped by.
+    known = F.coalesce("doc_id", F.lit(-1)).alias("d")
+    texts = texts.select(known, "th", "t").groupBy("d", "th").agg(F.first("t").alias("t"))
+    found = texts.join(needed.select(known, "th", "node"), ["d", "th"]).select("node", "t")
+    sets = staged(found.mapInArrow(_to_sets(width), "node long, shingles binary"))
+
+    sized = staged(family.groupBy("fam").agg(F.count(F.lit(1)).alias("members")))
+    small = family.join(sized.where(f"members <= {block}").select("fam"), "fam", "left_semi")
+    groups = small.join(sets, "node").select(F.col("fam").cast("string").alias("grp"), "node", F.lit(False).alias("anchor"), "shingles")
     links = groups.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(_links(percent), "a long, b long")
-
-    large = family.join(sized.where(f"members > {block}"), "head")
+    large = family.join(sized.where(f"members > {block}"), "fam")
     if large.limit(1).count():
         links = links.union(_large_links(large, sets, percent, block))
     labels = components(same.union(links))
@@ -219,39 +218,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _families(met: DataFrame) -> DataFrame:
+    """(fam, head, node) such that any two nodes of a bucket share a family, from rows (key, head, node) of the buckets.
+
+    Many buckets of a group of copies have nearly the same members. So every node takes the smallest head that its
+    buckets lead to, in two steps, for its family; a bucket whose nodes agree on that is covered, and only the others
+    are families of their own. Families of the first sort have an even number, of the second an odd one.
+    """
+    first = met.groupBy("node").agg(F.min("head").alias("h"))
+    reach = met.join(first, "node").groupBy("key").agg(F.min("h").alias("h"))
+    own = staged(met.select("key", "node").join(reach, "key").groupBy("node").agg(F.min("h").alias("h")))
+    mixed = met.join(own, "node").groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("key")
+    rest = met.join(mixed, "key", "left_semi").select("head", "node").distinct()
+    return own.select((F.col("h") * 2).alias("fam"), F.col("h").alias("head"), "node").union(rest.select(F.col("head") * 2 + 1, "head", "node"))
+
+
 def _large_links(large: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links inside families of more than ``block`` members: with the head, then, block by block, among the rest."""
+    """Links inside families of more than ``block`` members: with the head, then, in cells of two blocks, among the rest."""
     overlap = F.pandas_udf(_shared_size, "long")
-    head_sets = sets.join(large.select(F.col("head").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("head"), F.col("shingles").alias("head_shingles"))
-    head_sets = staged(head_sets)
+    large = staged(large.select("fam", "head", "node"))
+    head_sets = staged(sets.join(large.select(F.col("head").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("head"), F.col("shingles").alias("head_shingles")))
     met = large.join(sets, "node").join(head_sets, "head")
     met = met.withColumn("both", overlap("shingles", "head_shingles")).withColumn("either", F.length("shingles") / 8 + F.length("head_shingles") / 8 - F.col("both"))
     met = met.withColumns({"linked": 100 * F.col("both") >= percent * F.col("either"), "far": 1 - F.col("both") / F.col("either")})
-    met = staged(met.select("head", "node", "linked", "far"))
+    met = staged(met.select("fam", "head", "node", "linked", "far"))
     to_head = met.where("linked AND head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
     # A member at distance x from the head can be linked to one at distance y only if |x - y| is at most the largest distance of a link.
     most = 1 - percent / 100 + 1e-9
-    rest = met.where("NOT linked")
-    per_head = staged(rest.groupBy("head").agg(F.count(F.lit(1)).alias("n_rest"), F.min("far").alias("nearest")))
-    blocks = F.ceil(F.col("n_rest") / (block // 2)).cast("int")
-    rest = rest.join(per_head.select("head", blocks.alias("blocks")), "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pair = F.concat_ws(":", F.col("head").cast("string"), F.least("own", "k").cast("string"), F.greatest("own", "k").cast("string"), F.lit("r"))
-    among = rest.select("head", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(pair.alias("grp"), "node", F.lit(False).alias("anchor"))
-    near = met.where("linked AND head <> node").join(per_head.select("head", blocks.alias("blocks"), "nearest", "n_rest"), "head").where(F.col("nearest") - F.col("far") <= most)
-    near = near.join(sized_near(near, block), "head").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    cell = F.concat_ws(":", F.col("head").cast("string"), F.col("k").cast("string"), F.col("part").cast("string"), F.lit("n"))
-    anchors = near.select("head", "node", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(cell.alias("grp"), "node", F.lit(True).alias("anchor"))
-    reach = per_head.join(sized_near(near, block), "head").select("head", "parts")
-    close = rest.join(reach, "head").where(F.col("far") <= 2 * most)
-    close = close.select("head", "node", F.col("own").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(cell.alias("grp"), "node", F.lit(False).alias("anchor"))
+    pieces = lambda n: F.ceil(n / block).cast("int")
+    per_family = staged(met.groupBy("fam").agg(pieces(F.count_if(~F.col("linked"))).alias("blocks"), F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest")).where("blocks > 0"))
+    rest = met.where("NOT linked").join(per_family, "fam").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cell = lambda a, b, what: F.concat_ws(":", F.col("fam").cast("string"), a.cast("string"), b.cast("string"), F.lit(what)).alias("grp")
+    k = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")
+    among = rest.select("fam", "node", "own", k).select(cell(F.least("own", "k"), F.greatest("own", "k"), "r"), "node", F.lit(False).alias("anchor"))
+    near = met.where("linked AND head <> node").join(per_family, "fam").where(F.col("nearest") - F.col("far") <= most)
+    parts = staged(near.groupBy("fam").agg(pieces(F.count(F.lit(1))).alias("parts")))
+    near = near.join(parts, "fam").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    anchors = near.select("fam", "node", "part", k).select(cell(F.col("k"), F.col("part"), "n"), "node", F.lit(True).alias("anchor"))
+    close = rest.join(parts, "fam").where(F.col("far") <= 2 * most).select("fam", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    close = close.select(cell(F.col("own"), F.col("part"), "n"), "node", F.lit(False).alias("anchor"))
     cells = among.unionByName(anchors).unionByName(close).join(sets, "node")
     found = cells.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(_links(percent), "a long, b long")
     return to_head.union(found)
 
 
-def sized_near(near: DataFrame, block: int) -> DataFrame:
-    return near.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / (block // 2)).cast("int").alias("parts"))
-
-
 def op1_near_duplicates(spark, sf_dir) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85, bands=24)
