@@ -26,6 +26,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2  # of the model format: fixed values
 MEMO = 700_000  # chunks whose ids a Python worker remembers
+INDEXED = 600_000  # characters that are indexed at a time
+LONG = 40  # characters of a chunk from which on it is merged by itself
+NONE = np.iinfo(np.int32).max
+UNICODE = range(0x110000)
 
 
 def model_bytes(spark: SparkSession, path: str = MODEL) -> bytes:
@@ -91,8 +95,12 @@ class Codec:
         self.lengths = np.array([len(p) for p in self.sorted])
         self.ids = np.array([self.pieces[p] for p in self.sorted])
         self.bytes_of = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
+        order = sorted(self.pieces.values(), key=lambda i: -self.score[i])
+        self.rank = np.full(n + 1, NONE, dtype=np.int32)  # by score, the best first; the last is for "no piece"
+        self.rank[order] = np.arange(len(order))
         self.floor = min((self.score[i] for i in self.pieces.values()), default=0.0) - 10.0  # of a character without a piece: fixed by the format
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # of chunks, while a batch is encoded
+        self.known: dict[str, bytes] = {}  # of keys
 
     def normalised(self, text: str) -> str:
         if not text:
@@ -102,34 +110,72 @@ class Codec:
         text = text.replace(" ", MARK)
         return MARK + text if self.prefix else text
 
-    def edges(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the chunks in their concatenation; (position, length, piece id) of all occurrences of pieces, by position."""
-        joined = "\0".join(chunks) + "\0"
-        text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        n = len(text)
+    def edges(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the chunks in their concatenation; for every position and length the id of the piece that occurs there, or -1.
+
+        The table holds the edges sorted by position: each row is a position's.
+        """
+        text = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         starts = np.cumsum([0] + [len(c) + 1 for c in chunks[:-1]])
-        # Suffixes by their first characters, by doubling, as far as the longest piece reaches.
+        array, low, high = self._packed(text) or self._general(text)
+        count = high - low
+        which = np.repeat(np.arange(len(self.sorted)), count)
+        at = array[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+        table = np.full((len(text), self.longest + 1), -1, dtype=np.int32)
+        table[at, self.lengths[which]] = self.ids[which]
+        return starts, table
+
+    def _packed(self, text: np.ndarray):
+        """Suffix array and piece ranges where characters fit a byte and pieces 16 characters: suffixes are ranked by 8 and then by 16."""
+        codes = np.unique(text)
+        if len(codes) > 254 or self.longest > 16 or int(codes[-1]) >= len(UNICODE):
+            return None
+        n = len(text)
+        to = np.zeros(len(UNICODE), dtype=np.uint64)
+        to[codes] = np.arange(1, len(codes) + 1)  # the separator is the least and gets 1; 0 pads
+        own = np.concatenate([to[text], np.zeros(16, dtype=np.uint64)])
+
+        def pack(columns) -> np.ndarray:
+            out = np.zeros(len(columns[0]), dtype=np.uint64)
+            for c in columns:
+                out = (out << np.uint64(8)) | c
+            return out
+
+        key = pack([own[k : n + k] for k in range(8)])
+        order = np.argsort(key)
+        ranked = key[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+        values = ranked[new]
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(new)  # from 1; 0 is past the end
+        both = rank * (n + 2) + np.concatenate([rank[8:], np.zeros(min(8, n), dtype=np.int64)])[:n]
+        array = np.argsort(both)
+        both = both[array]
+        piece = np.where(self.codes < len(UNICODE), to[np.minimum(self.codes, len(UNICODE) - 1)], np.uint64(0))
+        inside = np.arange(self.longest) < self.lengths[:, None]
+        known = ((piece > 0) | ~inside).all(axis=1)
+        piece = np.pad(np.where(inside, piece, np.uint64(0)), ((0, 0), (0, 16 - self.longest)))
+        top = np.pad(np.where(inside, piece[:, : self.longest], np.uint64(255)), ((0, 0), (0, 16 - self.longest)), constant_values=255)
+        first = np.searchsorted(values, pack(list(piece[:, :8].T))) + 1
+        last = np.searchsorted(values, pack(list(top[:, :8].T)), "right") + 1  # exclusive
+        long = self.lengths > 8
+        low = np.where(long, first * (n + 2) + np.searchsorted(values, pack(list(piece[:, 8:].T))) + 1, first * (n + 2))
+        high = np.where(long & (last > first), first * (n + 2) + np.searchsorted(values, pack(list(top[:, 8:].T)), "right") + 1, np.where(long, low, last * (n + 2)))
+        low, high = np.searchsorted(both, low), np.searchsorted(both, high)
+        return array, low, np.where(known, np.maximum(high, low), low)
+
+    def _general(self, text: np.ndarray):
+        """The same for any text and vocabulary, by doubling and a binary search that compares character by character."""
+        n, step = len(text), 1
         rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-        step = 1
         while step < self.longest:
             key = rank * (n + 1)
             key[: n - step] += rank[step:] + 1
-            new = np.unique(key, return_inverse=True)[1]
-            done = new.max() == rank.max() if step > 1 else False
-            rank = new.astype(np.int64)
+            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
             step *= 2
-            if done or rank.max() == n - 1:
-                break
         array = np.argsort(rank, kind="stable")
         padded = np.concatenate([text, np.zeros(self.longest, dtype=np.uint32)])
-        low = self._bound(padded, array, False)
-        high = self._bound(padded, array, True)
-        count = high - low
-        which = np.repeat(np.arange(len(self.sorted)), count)
-        at = array[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
-        order = np.argsort(at, kind="stable")
-        which = which[order]
-        return starts, at[order], self.lengths[which], self.ids[which]
+        return array, self._bound(padded, array, False), self._bound(padded, array, True)
 
     def _bound(self, text: np.ndarray, array: np.ndarray, upper: bool) -> np.ndarray:
         """For every piece the first suffix that is not before it (``upper``: that neither is nor starts with it)."""
@@ -154,20 +200,84 @@ class Codec:
         return lo
 
     def _learn(self, chunks: list[str]) -> None:
-        starts, at, size, ids = self.edges(chunks)
-        cuts = np.searchsorted(at, np.r_[starts, np.iinfo(np.int64).max]).tolist()
-        at, size, ids = at.tolist(), size.tolist(), ids.tolist()
-        relax = self._merge if self.kind == BPE else self._best
-        for i, (chunk, start) in enumerate(zip(chunks, starts.tolist(), strict=True)):
-            own = slice(cuts[i], cuts[i + 1])
-            self.memo[chunk] = np.array(relax(chunk, [a - start for a in at[own]], size[own], ids[own]), dtype=np.int32).tobytes()
+        """Ids of chunks, in runs of bounded size."""
+        for at, end in slices(chunks, INDEXED):
+            some = chunks[at:end]
+            if self.kind == BPE:
+                short = [c for c in some if len(c) <= LONG]
+                if short:
+                    self._merge_all(short)
+                some = [c for c in some if len(c) > LONG]
+            if some:
+                starts, table = self.edges(some)
+                relax = self._merge if self.kind == BPE else self._best
+                for chunk, start in zip(some, starts.tolist(), strict=True):
+                    self.memo[chunk] = np.array(relax(chunk, table[start : start + len(chunk)]), dtype=np.int32).tobytes()
+
+    def _merge_all(self, chunks: list[str]) -> None:
+        """Merges in all chunks in step: in each round every chunk merges its best pair, the leftmost of equals."""
+        starts, table = self.edges(chunks)
+        sizes = np.array([len(c) for c in chunks])
+        width, flat = self.longest + 1, table.ravel()
+        begin = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        owner = np.repeat(np.arange(len(chunks)), sizes)
+        stop = starts + sizes
+        done_begin, done_owner = [], []
+
+        def ranks(i: np.ndarray) -> np.ndarray:
+            """Of the pair of symbol i and the next one; NONE if there is no such piece."""
+            j = np.minimum(i + 1, len(begin) - 1)
+            k = np.minimum(i + 2, len(begin) - 1)
+            end = np.where((i + 2 < len(begin)) & (owner[k] == owner[i]), begin[k], stop[owner[i]])
+            size = end - begin[i]
+            ok = (i + 1 < len(begin)) & (owner[j] == owner[i]) & (size <= self.longest)
+            return self.rank[np.where(ok, flat[begin[i] * width + np.where(ok, size, 0)], -1)]
+
+        rank = ranks(np.arange(len(begin)))
+        while len(begin):
+            heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            best = np.minimum.reduceat(rank, heads)
+            lengths = np.diff(np.r_[heads, len(owner)])
+            live = best < NONE
+            if not live.all():
+                keep = np.repeat(live, lengths)
+                done_begin.append(begin[~keep])
+                done_owner.append(owner[~keep])
+                begin, owner, rank = begin[keep], owner[keep], rank[keep]
+                best, lengths = best[live], lengths[live]
+                if not len(begin):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(best, lengths))
+            hit = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]]
+            gone = np.ones(len(begin), dtype=bool)
+            gone[hit + 1] = False
+            begin, owner, rank = begin[gone], owner[gone], rank[gone]
+            at = hit - np.arange(len(hit))  # each earlier merge took one symbol away
+            rank[at] = ranks(at)
+            before = at[(at > 0)] - 1
+            rank[before] = ranks(before)
+        begin, owner = np.concatenate(done_begin), np.concatenate(done_owner)
+        order = np.argsort(begin)
+        begin, owner = begin[order], owner[order]
+        end = np.where(np.r_[owner[1:] == owner[:-1], False], np.r_[begin[1:], 0], stop[owner])
+        ids = table[begin, end - begin]
+        cuts = np.searchsorted(owner, np.arange(len(chunks) + 1))
+        loose = set(owner[ids < 0].tolist())
+        raw, cuts = ids.astype(np.int32).tobytes(), (cuts * 4).tolist()
+        for i, chunk in enumerate(chunks):
+            self.memo[chunk] = raw[cuts[i] : cuts[i + 1]]
+        for i in loose:
+            own = slice(cuts[i] // 4, cuts[i + 1] // 4)
+            out = [x for b, k in zip(begin[own].tolist(), ids[own].tolist(), strict=True) for x in ([k] if k >= 0 else self._loose(chunks[i][b - int(starts[i])]))]
+            self.memo[chunks[i]] = np.array(self._joined(out), dtype=np.int32).tobytes()
 
     def _loose(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unk]
 
-    def _merge(self, chunk: str, at: list[int], size: list[int], ids: list[int]) -> list[int]:
+    def _merge(self, chunk: str, table: np.ndarray) -> list[int]:
         """Neighbours merge into the edge with the best score, the leftmost of equals, as long as there is one."""
-        edge = {(a, a + s): i for a, s, i in zip(at, size, ids, strict=True)}
+        at, size = np.nonzero(table >= 0)
+        edge = {(a, a + s): i for a, s, i in zip(at.tolist(), size.tolist(), table[at, size].tolist(), strict=True)}
         n = len(chunk)
         end, prev = list(range(1, n + 1)), list(range(-1, n))
         score, agenda = self.score, []
@@ -194,13 +304,14 @@ class Codec:
             a = end[a]
         return self._joined(out)
 
-    def _best(self, chunk: str, at: list[int], size: list[int], ids: list[int]) -> list[int]:
+    def _best(self, chunk: str, table: np.ndarray) -> list[int]:
         """The path of edges with the highest sum of scores; of equals the one found first, edges by position and length."""
         n = len(chunk)
         best, back = [float("-inf")] * (n + 1), [(0, -1)] * (n + 1)
         best[0] = 0.0
         by = [[] for _ in range(n)]
-        for a, s, i in zip(at, size, ids, strict=True):
+        at, size = np.nonzero(table >= 0)
+        for a, s, i in zip(at.tolist(), size.tolist(), table[at, size].tolist(), strict=True):
             by[a].append((s, i))
         for a in range(n):
             if all(s > 1 for s, _ in by[a]):
@@ -219,16 +330,32 @@ class Codec:
         """Neighbouring unknown ids are one."""
         return ids if self.byte else [x for k, x in enumerate(ids) if x != self.unk or k == 0 or ids[k - 1] != self.unk]
 
+    def _keys(self, text: str) -> list[str]:
+        """What a text's ids are looked up by: its chunks, or where no normaliser and no run of blanks is involved, its words.
+
+        A word stands for the word with a mark before it; one that begins with NUL for a line end and what follows it.
+        """
+        if self.normalise or not self.prefix or not text or text[0] == " " or "  " in text or MARK in text or "\0" in text:
+            return [MARK + c for c in self.chunks(self.normalised(text))]
+        return text.replace("\n", " \0").split(" ")
+
+    def _chunks_of(self, key: str) -> list[str]:
+        if key[:1] == MARK:
+            return [key[1:]]
+        return self.chunks("\n" + key[1:] if key[:1] == "\0" else MARK + key)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian int32."""
-        cut = [self.chunks(self.normalised(t)) for t in texts]
-        new = {c for x in cut for c in x if c not in self.memo}
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo = {}
-                new = {c for x in cut for c in x}
-            self._learn(sorted(new))
-        get = self.memo.__getitem__
+        cut = [self._keys(t) for t in texts]
+        new = set().union(*cut) - self.known.keys()
+        if len(self.known) + len(new) > MEMO:
+            self.known = {}
+            new = set().union(*cut)
+        parts = {k: self._chunks_of(k) for k in new}
+        self.memo = {}
+        self._learn(sorted({c for x in parts.values() for c in x}))
+        self.known.update((k, self.memo[x[0]] if len(x) == 1 else b"".join(map(self.memo.__getitem__, x))) for k, x in parts.items())
+        get = self.known.__getitem__
         out = [b"".join(map(get, x)) for x in cut]
         if not self.byte:  # unknown ids next to each other over a border
             out = [np.array(self._joined(np.frombuffer(x, dtype=np.int32).tolist()), dtype=np.int32).tobytes() for x in out]
