@@ -60,7 +60,7 @@ def shingle_sets(texts: list[str], width: int = 3) -> list[np.ndarray]:
     words, counts = word_hashes(texts)
     n = len(words)
     run = words.copy()
-    for k in range(1, width):
+    for k in range(1, min(width, n)):
         run[: n - k] = mix(run[: n - k] * np.uint64(3)) + words[k:]
     out, at = [], 0
     for c in counts.tolist():
