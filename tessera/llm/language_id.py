@@ -63,13 +63,16 @@ def suffix_automaton(symbols: bytes) -> list[dict[int, int]]:
 
 
 def dense_table(nxt: list[dict[int, int]], width: int) -> np.ndarray:
-    """next state * width * 2, plus 1 where a new phrase starts. Symbol width - 1 pads: it changes nothing; width - 2 is unknown to all languages."""
-    states = len(nxt)
-    start = np.full(width, 1, dtype=np.int32)
+    """next state * width * 2, plus 1 where a new phrase starts. Symbol width - 1 pads: it changes nothing; width - 2 is unknown to all languages.
+
+    A symbol that the sample lacks is a phrase and leads to the last state, from which every symbol starts another.
+    """
+    states = len(nxt) + 1
+    start = np.full(width, (states - 1) * width * 2 + 1, dtype=np.int32)
     for c, t in nxt[0].items():
         start[c] = t * width * 2 + 1
     out = np.tile(start, (states, 1))
-    rows = np.repeat(np.arange(states), [len(d) for d in nxt])
+    rows = np.repeat(np.arange(len(nxt)), [len(d) for d in nxt])
     cols = np.fromiter((c for d in nxt for c in d), dtype=np.int64, count=len(rows))
     out[rows, cols] = np.fromiter((t for d in nxt for t in d.values()), dtype=np.int64, count=len(rows)) * width * 2
     out[:, width - 1] = np.arange(states) * width * 2
