@@ -26,7 +26,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2  # of the model format: fixed values
 MEMO = 700_000  # chunks whose ids a Python worker remembers
-INDEXED = 600_000  # characters that are indexed at a time
+INDEXED = 1_000_000  # characters that are indexed at a time
 LONG = 40  # characters of a chunk from which on it is merged by itself
 NONE = np.iinfo(np.int32).max
 UNICODE = range(0x110000)
@@ -99,8 +99,9 @@ class Codec:
         self.rank = np.full(n + 1, NONE, dtype=np.int32)  # by score, the best first; the last is for "no piece"
         self.rank[order] = np.arange(len(order))
         self.floor = min((self.score[i] for i in self.pieces.values()), default=0.0) - 10.0  # of a character without a piece: fixed by the format
-        self.memo: dict[str, bytes] = {}  # of chunks, while a batch is encoded
-        self.known: dict[str, bytes] = {}  # of keys
+        self.known: dict[str, bytes] = {}  # ids by key
+        self.once: set[str] = set()
+        self.line_end = b""
 
     def normalised(self, text: str) -> str:
         if not text:
@@ -199,22 +200,27 @@ class Codec:
             hi[open_[~before]] = mid[~before]
         return lo
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of chunks, in runs of bounded size."""
-        for at, end in slices(chunks, INDEXED):
-            some = chunks[at:end]
-            if self.kind == BPE:
-                short = [c for c in some if len(c) <= LONG]
-                if short:
-                    self._merge_all(short)
-                some = [c for c in some if len(c) > LONG]
-            if some:
-                starts, table = self.edges(some)
-                relax = self._merge if self.kind == BPE else self._best
-                for chunk, start in zip(some, starts.tolist(), strict=True):
-                    self.memo[chunk] = np.array(relax(chunk, table[start : start + len(chunk)]), dtype=np.int32).tobytes()
-
-    def _merge_all(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, in runs of bounded size; an empty chunk has none."""
+        out = [b""] * len(chunks)
+        if self.kind == BPE:
+            short = [i for i, c in enumerate(chunks) if 0 < len(c) <= LONG]
+            rest = [i for i, c in enumerate(chunks) if len(c) > LONG]
+        else:
+            short, rest = [], [i for i, c in enumerate(chunks) if c]
+        for which, together in ((short, True), (rest, False)):
+            texts = [chunks[i] for i in which]
+            for at, end in slices(texts, INDEXED):
+                for i, ids in zip(which[at:end], (self._merge_all if together else self._one_by_one)(texts[at:end]), strict=True):
+                    out[i] = ids
+        return out
+
+    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
+        starts, table = self.edges(chunks)
+        relax = self._merge if self.kind == BPE else self._best
+        return [np.array(relax(c, table[a : a + len(c)]), dtype=np.int32).tobytes() for c, a in zip(chunks, starts.tolist(), strict=True)]
+
+    def _merge_all(self, chunks: list[str]) -> list[bytes]:
         """Merges in all chunks in step: in each round every chunk merges its best pair, the leftmost of equals."""
         starts, table = self.edges(chunks)
         sizes = np.array([len(c) for c in chunks])
@@ -264,12 +270,12 @@ class Codec:
         cuts = np.searchsorted(owner, np.arange(len(chunks) + 1))
         loose = set(owner[ids < 0].tolist())
         raw, cuts = ids.astype(np.int32).tobytes(), (cuts * 4).tolist()
-        for i, chunk in enumerate(chunks):
-            self.memo[chunk] = raw[cuts[i] : cuts[i + 1]]
+        result = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         for i in loose:
             own = slice(cuts[i] // 4, cuts[i + 1] // 4)
             out = [x for b, k in zip(begin[own].tolist(), ids[own].tolist(), strict=True) for x in ([k] if k >= 0 else self._loose(chunks[i][b - int(starts[i])]))]
-            self.memo[chunks[i]] = np.array(self._joined(out), dtype=np.int32).tobytes()
+            result[i] = np.array(self._joined(out), dtype=np.int32).tobytes()
+        return result
 
     def _loose(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unk]
@@ -339,22 +345,24 @@ class Codec:
             return [MARK + c for c in self.chunks(self.normalised(text))]
         return text.replace("\n", " \0").split(" ")
 
-    def _chunks_of(self, key: str) -> list[str]:
-        if key[:1] == MARK:
-            return [key[1:]]
-        return self.chunks("\n" + key[1:] if key[:1] == "\0" else MARK + key)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian int32."""
         cut = [self._keys(t) for t in texts]
-        new = set().union(*cut) - self.known.keys()
+        needed = set().union(*cut)
+        new = list(needed.difference(self.known))
+        self.once.difference_update(needed)
+        if len(self.known) + len(new) > MEMO:  # what has been met in one call only goes first
+            for k in self.once:
+                del self.known[k]
+            self.once.clear()
         if len(self.known) + len(new) > MEMO:
-            self.known = {}
-            new = set().union(*cut)
-        parts = {k: self._chunks_of(k) for k in new}
-        self.memo = {}
-        self._learn(sorted({c for x in parts.values() for c in x}))
-        self.known.update((k, self.memo[x[0]] if len(x) == 1 else b"".join(map(self.memo.__getitem__, x))) for k, x in parts.items())
+            self.known, new = {}, list(needed)
+        self.once.update(new)
+        if not self.line_end:
+            self.line_end = self._learn(["\n"])[0]
+        ids = self._learn([k[1:] if k[:1] in ("\0", MARK) and k else MARK + k for k in new])
+        self.known.update(zip(new, ids, strict=True))
+        self.known.update((k, self.line_end + i) for k, i in zip(new, ids, strict=True) if k[:1] == "\0")
         get = self.known.__getitem__
         out = [b"".join(map(get, x)) for x in cut]
         if not self.byte:  # unknown ids next to each other over a border
