@@ -193,6 +193,24 @@ def train(docs: DataFrame, head: list[tuple[str, int]], class_counts: np.ndarray
     return LogBilinear(model_words, width, class_counts).flat() if row is None else np.frombuffer(row["total"], dtype=np.float64) / row["weight"]
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The end token, and the words whose counts are so high that there are at most ``most`` of them; the most frequent first.
+
+    Counts are binned by their logarithm, and the lowest bin that still fits is the border: so few rows reach the driver
+    from any number of partitions. Words of the bin on the border are all in or all out.
+    """
+    bin_of = F.floor(F.log2("n") * 64).cast("int")
+    bins = sorted(((r["b"], r["count"]) for r in counts.groupBy(bin_of.alias("b")).count().collect()), reverse=True)
+    border, n = None, 0
+    for b, size in bins:
+        n += size
+        if n > most:
+            break
+        border = b
+    chosen = counts.where((F.col("word") == END) | (bin_of >= (F.lit(border) if border is not None else F.lit(1 << 30)))).collect()
+    return sorted(((r["word"], r["n"]) for r in chosen), key=lambda x: (x[0] != END, -x[1], x[0]))
+
+
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, model_words: int = 2048, width: int = 16) -> DataFrame:
     """One row for each input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -207,7 +225,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     learn = rows.where("NOT held_out").select("t")
     counts = staged(learn.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = [(r["word"], r["n"]) for r in counts.where("length(word) <= 64").orderBy(F.col("word") != END, F.desc("n"), "word").limit(head_words).collect()]
+    head = most_frequent(counts.where("length(word) <= 64"), head_words)
     vocabulary = Vocabulary(head, model_words)
     classes = np.zeros(model_words)
     np.add.at(classes, vocabulary.model_id[:-1], [float(n) for _, n in head])
