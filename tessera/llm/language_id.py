@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, read
+from .shared import crc_mod, held, read, small_batches
 
 UNKNOWN = "und"
 BLOCK = 256  # bytes; a phrase never runs across the end of a block
@@ -128,16 +128,9 @@ class Parser:
         return names, scores
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def parser_of(samples: list[tuple[str, bytes]]) -> Parser:
     """Built once in each Python worker."""
-    name = hashlib.sha256(repr(samples).encode()).hexdigest()
-    if name not in _parsers:
-        _parsers.clear()
-        _parsers[name] = Parser(samples)
-    return _parsers[name]
+    return held(f"parser {hashlib.sha256(repr(samples).encode()).hexdigest()}", lambda: Parser(samples))
 
 
 def learn_samples(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_bytes: int = 65536, docs_per_language: int = 96, chars_per_doc: int = 2048, max_languages: int = 64, table_mb: int = 192) -> list[tuple[str, bytes]]:
@@ -172,6 +165,7 @@ def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], id_col:
     parsed, however long. Repeated rows get the same answer; other columns play no part.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     given = spark.sparkContext.broadcast(samples)
     more = [F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), *more)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exact_dedup import BITS, _passed
-from .shared import read, staged, text_of
+from .shared import read, small_batches, staged, text_of
 from .words import mix, shingle_sets
 
 SLICE = 512  # texts sketched at a time
@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id take part; their component's id is the smallest there is, or null. Empty tables give no rows.
     The bands miss a pair at 80 % with a probability under 1e-5 (32 bands of 5 rows), one at 85 % under 1e-6 (24 bands).
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).withColumn("th", F.xxhash64("t"))
     seen = staged(given.mapInArrow(_sketch(bands, rows, width), SKETCHED))
     full = seen.where("n_shingles > 0")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sentencepiece_codec import codec_of, model_bytes, slices
-from .shared import read, text_of
+from .shared import read, small_batches, text_of
 
 SEGMENT = "struct<row:int,start:int,length:int,doc_id:bigint,doc_part:int,doc_offset:bigint>"
 SCHEMA = f"shard int, matrix int, n_rows int, row_length int, n_tokens long, ids binary, position_ids binary, cu_seqlens array<int>, segments array<{SEGMENT}>"
@@ -97,6 +97,7 @@ def pack_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
     exactly one segment; a document longer than a row has several, with ``doc_part`` and ``doc_offset``. A null or empty
     text is its end id alone. Repeated rows are packed each. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

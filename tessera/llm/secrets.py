@@ -9,14 +9,16 @@ document's parts; documents without weak parts pass through with their base span
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import read, text_of
+from .shared import read, small_batches, text_of
 
 # Fixed values of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -49,8 +51,8 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 def parts_of(text: str, base: list[tuple[int, int, int]], short: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
     """(start, kind, end, part, weak): strong parts from the base matches, weak ones beside them. No weak part, or nothing to go with it: none."""
     low = text.encode("utf-8", "replace").lower()
-    taken = [(s, e) for s, _, e in base]
-    free = lambda s, e: all(e <= a or b <= s for a, b in taken)
+    begins, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    free = lambda s, e: not (k := bisect_left(begins, e)) or ends[k - 1] <= s
     weak = [(s, KINDS.index("value"), e, SECRET, True) for s, _, e in short]
     if any(w in low for w in IDENT_WORDS):
         weak += [(m.start(), KINDS.index("ident"), m.end(), ID, True) for m in IDENT.finditer(text) if free(m.start(), m.end())]
@@ -85,6 +87,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     most ``scope`` code points away and one of these is strong or an endpoint is in scope as well; an endpoint, if both
     sorts are in scope. Repeated rows are scanned each for itself; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), text_of(text_col).alias("t"))
     found = rows.mapInPandas(_scan, FOUND)
     each = found.select("doc_id", "row_no", "base", F.explode_outer("parts").alias("x"))

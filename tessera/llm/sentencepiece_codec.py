@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read, text_of
+from .shared import held, read, small_batches, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2  # of the model format: fixed values
-MEMO = 700_000  # chunks whose ids a Python worker remembers
-INDEXED = 1_000_000  # characters that are indexed at a time
+MEMO = 500_000  # chunks whose ids a Python worker remembers
+INDEXED = 500_000  # characters that are indexed at a time
 LONG = 40  # characters of a chunk from which on it is merged by itself
 NONE = np.iinfo(np.int32).max
 UNICODE = range(0x110000)
@@ -120,8 +120,8 @@ class Codec:
         starts = np.cumsum([0] + [len(c) + 1 for c in chunks[:-1]])
         array, low, high = self._packed(text) or self._general(text)
         count = high - low
-        which = np.repeat(np.arange(len(self.sorted)), count)
-        at = array[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+        which = np.repeat(np.arange(len(self.sorted), dtype=np.int32), count)
+        at = array.astype(np.int32)[np.arange(len(which), dtype=np.int32) - np.repeat((np.cumsum(count) - count - low).astype(np.int32), count)]
         table = np.full((len(text), self.longest + 1), -1, dtype=np.int32)
         table[at, self.lengths[which]] = self.ids[which]
         return starts, table
@@ -375,18 +375,12 @@ class Codec:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_of(model: bytes) -> Codec:
     """Loaded once in each Python worker."""
-    name = hashlib.sha256(model).hexdigest()
-    if name not in _codecs:
-        _codecs[name] = Codec(model)
-    return _codecs[name]
+    return held(f"codec {hashlib.sha256(model).hexdigest()}", lambda: Codec(model))
 
 
-def slices(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most: int = 2_500_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters, one text at least."""
     at = 0
     while at < len(texts):
@@ -405,6 +399,7 @@ def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     normaliser loses: with the identity normaliser only a literal word mark, which comes back as a space. Repeated rows
     are encoded each; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

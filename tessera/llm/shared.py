@@ -41,3 +41,21 @@ def crc_mod(column: str, n: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hands texts to Python in small Arrow batches, unless the session has a setting of its own: ten thousand texts at a time are hundreds of MB outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a Python worker needs for many batches, made once. There is room for one such thing: the next operator's takes the place of the last one's."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]

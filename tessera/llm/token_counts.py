@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sentencepiece_codec import MARK, MODEL, UNIGRAM, Codec, model_bytes, slices
-from .shared import read, text_of
+from .shared import held, read, small_batches, text_of
 
 MAX_NODES = 600_000
 MAX_WORDS = 600_000
@@ -87,15 +87,9 @@ class Trie:
         return sum(map(self.words.__getitem__, words))
 
 
-_tries: dict[str, Trie] = {}
-
-
 def trie_of(model: bytes) -> Trie:
     """Made once in each Python worker."""
-    name = hashlib.sha256(model).hexdigest()
-    if name not in _tries:
-        _tries[name] = Trie(unigram_scores(Codec(model)))
-    return _tries[name]
+    return held(f"trie {hashlib.sha256(model).hexdigest()}", lambda: Trie(unigram_scores(Codec(model))))
 
 
 def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,6 +98,7 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     Pre-tokens are the words of the whole text, each with a word mark before it. Null and empty texts count 0. Repeated
     rows are counted each; other columns are not looked at. A word of any length is one path of the trie.
     """
+    small_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
