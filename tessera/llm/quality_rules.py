@@ -157,10 +157,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     given = labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("label_id"), (F.col("quality") == 0).alias("bad"))
     share = min(1.0, max_labelled / max(given.count(), 1))
-    given = given.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # A sample of bounded size, and so fit to be sent to every task: no text is shuffled for it.
+    given = F.broadcast(given.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     labelled = text_counts(own.join(given, own["doc_id"] == given["label_id"], "left_semi")).join(given, F.col("doc_id") == F.col("label_id"))
-    rules = learn(labelled, **learner)
+    rules = learn(staged(labelled), **learner)
     counted = text_counts(docs, id_col, text_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counted.select("*", failed.alias("base_failed"), (~failed & decision_list(rules)).alias("kept"))
