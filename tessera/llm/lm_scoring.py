@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sentencepiece_codec import slices
-from .shared import crc_mod, read, staged, text_of
+from .shared import crc_mod, read, small_batches, staged, text_of
 
 END = "\n"  # no word contains it
 OTHER, STOP = 0, 1  # of the model's vocabulary
@@ -221,6 +221,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     of over 64 characters are never in the head).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("t"))
     learn = rows.where("NOT held_out").select("t")
     counts = staged(learn.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
