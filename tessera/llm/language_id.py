@@ -24,7 +24,7 @@ from .shared import crc_mod, held, read, small_batches
 UNKNOWN = "und"
 BLOCK = 256  # bytes; a phrase never runs across the end of a block
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-GROUP = 1 << 15  # blocks parsed in step
+GROUP = 1 << 13  # blocks parsed in step
 
 
 def normalised(text: str) -> bytes:
@@ -133,7 +133,7 @@ def parser_of(samples: list[tuple[str, bytes]]) -> Parser:
     return held(f"parser {hashlib.sha256(repr(samples).encode()).hexdigest()}", lambda: Parser(samples))
 
 
-def learn_samples(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_bytes: int = 65536, docs_per_language: int = 96, chars_per_doc: int = 2048, max_languages: int = 64, table_mb: int = 192) -> list[tuple[str, bytes]]:
+def learn_samples(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_bytes: int = 40960, docs_per_language: int = 96, chars_per_doc: int = 2048, max_languages: int = 64, table_mb: int = 192) -> list[tuple[str, bytes]]:
     """(language, normalised training text) of the ``max_languages`` most frequent labels, ordered by language.
 
     From each language about ``docs_per_language`` documents are drawn by a hash of the id, and a stretch of at most
@@ -175,8 +175,8 @@ def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], id_col:
         parser = parser_of(given.value)
         for texts in batches:
             names, scores = [], []
-            for at in range(0, len(texts), 2048):
-                n, s = parser.predict(list(texts.iloc[at : at + 2048]))
+            for at in range(0, len(texts), 512):
+                n, s = parser.predict(list(texts.iloc[at : at + 512]))
                 names += n
                 scores += s
             yield pd.DataFrame({"lang_pred": names, "score": scores})
