@@ -32,7 +32,7 @@ VALUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}""", re.IGNORECASE | re.ASCII)
 IDENT_WORDS = (b"key", b"client", b"account", b"user", b"login")
 
-FOUND = "doc_id long, row_no long, base array<struct<start:int,kind:int,end:int>>, parts array<struct<start:int,kind:int,end:int,part:int,weak:boolean>>"
+FOUND = "doc_id string, row_no long, base array<struct<start:int,kind:int,end:int>>, parts array<struct<start:int,kind:int,end:int,part:int,weak:boolean>>"
 ID, SECRET, PLACE = 0, 1, 2
 
 
@@ -70,8 +70,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, row_no, text in zip(batch["doc_id"], batch["row_no"], batch["t"], strict=True):
             base, short = base_spans(text)
-            rows.append((None if pd.isna(doc_id) else int(doc_id), row_no, base, parts_of(text, base, short)))
-        yield pd.DataFrame(rows, columns=["doc_id", "row_no", "base", "parts"]).astype({"doc_id": "Int64"})
+            rows.append((doc_id, row_no, base, parts_of(text, base, short)))
+        yield pd.DataFrame(rows, columns=["doc_id", "row_no", "base", "parts"])
 
 
 def _listed(spans: Column) -> Column:
@@ -88,9 +88,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sorts are in scope. Repeated rows are scanned each for itself; other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), text_of(text_col).alias("t"))
+    # Ids pass pandas as text: beside a null, a long would become a double.
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), text_of(text_col).alias("t"))
     found = rows.mapInPandas(_scan, FOUND)
-    each = found.select("doc_id", "row_no", "base", F.explode_outer("parts").alias("x"))
+    # The base spans go with one part of each row alone; with all, a text of many parts would carry their square.
+    each = found.select("doc_id", "row_no", "base", F.posexplode_outer("parts").alias("pos", "x")).withColumn("base", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("base")))
     near = Window.partitionBy("row_no").orderBy("at").rangeBetween(-scope, scope)
     near_by = lambda what: F.coalesce(F.max(F.when(what, 1)).over(near), F.lit(0)) == 1
     part, weak = F.col("x.part"), F.col("x.weak")
@@ -104,10 +106,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .otherwise(F.col("with_id") & F.col("with_secret"))
     )
     span = F.struct(F.col("x.start").alias("start"), F.col("x.kind").alias("kind"), F.col("x.end").alias("end"))
-    whole = each.groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.first("base").alias("base"), F.collect_list(F.when(weak & linked, span)).alias("more"))
+    whole = each.groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.first("base", ignorenulls=True).alias("base"), F.collect_list(F.when(weak & linked, span)).alias("more"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return whole.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.col("doc_id").cast("long").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.array_sort(F.array_distinct(F.concat("base", "more")))).alias("spans"),
     )
 
