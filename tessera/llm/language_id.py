@@ -115,7 +115,7 @@ class Parser:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A language and a score for each text: one minus the ratio of the best to the second best entropy. Ties: the first language."""
-        clean = [normalised(t) if t else b"" for t in texts]
+        clean = [normalised(t) if t and any(map(str.isalpha, t)) else b"" for t in texts]
         given = [i for i, t in enumerate(clean) if t] if self.languages else []
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if given:
