@@ -130,6 +130,8 @@ def test_language_id(spark, docs, rows, empty):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == len(rows)
     assert language_id.learn_samples(empty) == [] and by_id(language_id.identify_language(docs, []))[0]["lang_pred"] == "und"
     assert language_id.identify_language(empty, samples).count() == 0
+    numerals = spark.createDataFrame([(1, "½ ² Ⅷ 12"), (2, "½ é")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language_id.identify_language(numerals, samples).orderBy("doc_id").collect()] == [True, False]
 
 
 def test_lm_scores(docs, rows, empty):
@@ -179,8 +181,16 @@ def test_secrets(spark, empty):
 
 
 def test_repeated_rows_are_scanned_each(spark):
-    df = spark.createDataFrame([(1, "password=abcdefgh1")] * 3 + [(None, "x")], "doc_id long, text string")
-    assert sorted(str((r["doc_id"], r["n_assign"])) for r in secrets.scan_secrets(df).collect()) == ["(1, 1)"] * 3 + ["(None, 0)"]
+    df = spark.createDataFrame([(2**60 + 1, "password=abcdefgh1")] * 3 + [(None, "x")], "doc_id long, text string")
+    assert sorted(str((r["doc_id"], r["n_assign"])) for r in secrets.scan_secrets(df).collect()) == [f"({2**60 + 1}, 1)"] * 3 + ["(None, 0)"]
+
+
+def test_base_spans_of_a_text_with_many_parts(spark):
+    text = "user: bob password = hunter2 " + "AKIAABCDEFGHIJKL12 token=abcdefgh1 " * 500
+    r = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    base, _ = secrets.base_spans(text)
+    assert (r["n_assign"], r["n_access"]) == (500, 500) and r["base_sha256"] == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+    assert r["spans"].startswith("ident:0:9,value:10:28,access:29:47")
 
 
 def test_token_counts(docs, rows, empty, spark):
