@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held, read, small_batches, text_of
+from .shared import held, read, slices, small_batches, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -68,7 +68,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 class Codec:
     """Encodes and decodes with one model."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, memo: int = MEMO):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -101,6 +101,7 @@ class Codec:
         self.floor = min((self.score[i] for i in self.pieces.values()), default=0.0) - 10.0  # of a character without a piece: fixed by the format
         self.known: dict[str, bytes] = {}  # ids by key
         self.once: set[str] = set()
+        self.memo, self.indexed = memo, min(INDEXED, memo)
         self.line_end = b""
 
     def normalised(self, text: str) -> str:
@@ -210,7 +211,7 @@ class Codec:
             short, rest = [], [i for i, c in enumerate(chunks) if c]
         for which, together in ((short, True), (rest, False)):
             texts = [chunks[i] for i in which]
-            for at, end in slices(texts, INDEXED):
+            for at, end in slices(texts, self.indexed):
                 for i, ids in zip(which[at:end], (self._merge_all if together else self._one_by_one)(texts[at:end]), strict=True):
                     out[i] = ids
         return out
@@ -351,11 +352,11 @@ class Codec:
         needed = set().union(*cut)
         new = list(needed.difference(self.known))
         self.once.difference_update(needed)
-        if len(self.known) + len(new) > MEMO:  # what has been met in one call only goes first
+        if len(self.known) + len(new) > self.memo:  # what has been met in one call only goes first
             for k in self.once:
                 del self.known[k]
             self.once.clear()
-        if len(self.known) + len(new) > MEMO:
+        if len(self.known) + len(new) > self.memo:
             self.known, new = {}, list(needed)
         self.once.update(new)
         if not self.line_end:
@@ -375,35 +376,24 @@ class Codec:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def codec_of(model: bytes) -> Codec:
+def codec_of(model: bytes, memo: int = MEMO) -> Codec:
     """Loaded once in each Python worker."""
-    return held(f"codec {hashlib.sha256(model).hexdigest()}", lambda: Codec(model))
+    return held(f"codec {hashlib.sha256(model).hexdigest()} {memo}", lambda: Codec(model, memo))
 
 
-def slices(texts: list[str], most: int = 2_500_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters, one text at least."""
-    at = 0
-    while at < len(texts):
-        end, n = at + 1, len(texts[at])
-        while end < len(texts) and n + len(texts[end]) <= most:
-            n += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
-
-
-def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """One row for each input row: doc_id, n_tokens, ids, round_trip (whether decoding the ids gives the text back).
 
     Null text counts as empty and has no ids. Whole texts are encoded, however long. Decoding loses what the model's
     normaliser loses: with the identity normaliser only a literal word mark, which comes back as a space. Repeated rows
-    are encoded each; other columns are not looked at.
+    are encoded each; other columns are not looked at. ``memo`` bounds the chunks that a Python worker remembers and
+    the characters that it indexes at a time: it trades memory for time and changes no id.
     """
     small_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(given.value)
+        codec = codec_of(given.value, memo)
         for batch in batches:
             texts = batch.column("t").to_pylist()
             for at, end in slices(texts):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,26 @@ _held: dict[str, object] = {}
 def held(name: str, make):
     """What a Python worker needs for many batches, made once. There is room for one such thing: the next operator's takes the place of the last one's."""
     if name not in _held:
-        _held.clear()
+        released()
         _held[name] = make()
     return _held[name]
+
+
+def released() -> None:
+    """For tasks that hold nothing of the kind: a worker that is used again gives back what the operator before it held."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library keeps freed memory otherwise
+        trim(0)
+
+
+def slices(texts: list[str], most: int = 2_500_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` characters, one text at least."""
+    at = 0
+    while at < len(texts):
+        end, n = at + 1, len(texts[at])
+        while end < len(texts) and n + len(texts[end]) <= most:
+            n += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
