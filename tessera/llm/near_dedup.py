@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exact_dedup import BITS, _passed
-from .shared import read, small_batches, staged, text_of
+from .shared import read, released, slices, small_batches, staged, text_of
 from .words import mix, shingle_sets
 
-SLICE = 512  # texts sketched at a time
+SLICE = 1_000_000  # characters of text whose shingles are hashed at a time
 SKETCHED = "rid long, doc_id long, th long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -57,10 +57,12 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sketch(bands: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                sets = shingle_sets(part.column("t").to_pylist(), width)
+            texts = batch.column("t").to_pylist()
+            for at, end in slices(texts, SLICE):
+                part = batch.slice(at, end - at)
+                sets = shingle_sets(texts[at:end], width)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 keys = np.zeros((len(some), 0), dtype=np.uint64) if not some else band_keys(sketches([sets[i] for i in some], bands * rows), bands, rows)
                 ends = np.zeros(len(sets) + 1, dtype=np.int32)
@@ -77,10 +79,12 @@ def _sketch(bands: int, rows: int, width: int):
 
 def _to_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                sets = shingle_sets(part.column("t").to_pylist(), width)
+            texts = batch.column("t").to_pylist()
+            for at, end in slices(texts, SLICE):
+                part = batch.slice(at, end - at)
+                sets = shingle_sets(texts[at:end], width)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
     return run
@@ -144,6 +148,7 @@ def _links(percent: int):
         return nodes[at[:, 0]], nodes[at[:, 1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         held: list[tuple[str, int, bool, bytes]] = []
 
         def closed() -> pa.RecordBatch:
