@@ -27,8 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sentencepiece_codec import slices
-from .shared import crc_mod, read, small_batches, staged, text_of
+from .shared import crc_mod, held, read, slices, small_batches, staged, text_of
 
 END = "\n"  # no word contains it
 OTHER, STOP = 0, 1  # of the model's vocabulary
@@ -147,18 +146,6 @@ class Vocabulary:
         return own, before, before2
 
 
-_held: dict[str, object] = {}
-
-
-def once(name: str, make):
-    """What a Python worker needs once for a run."""
-    if name not in _held:
-        if len(_held) > 4:
-            _held.clear()
-        _held[name] = make()
-    return _held[name]
-
-
 def train(docs: DataFrame, head: list[tuple[str, int]], class_counts: np.ndarray, model_words: int, width: int) -> np.ndarray:
     """Averaged parameters of models trained on every task's documents (column t)."""
     spark = docs.sparkSession
@@ -166,7 +153,7 @@ def train(docs: DataFrame, head: list[tuple[str, int]], class_counts: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        vocabulary = once(f"words of {run_name}", lambda: Vocabulary(given.value[0], model_words))
+        vocabulary = held(f"words of {run_name}", lambda: Vocabulary(given.value[0], model_words))
         model, rng, n = LogBilinear(model_words, width, given.value[1]), np.random.default_rng(part), 0
         squares = [np.zeros_like(x) for x in (model.R, model.Q, model.C, model.b)]
         for batch in batches:
@@ -243,7 +230,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
             model.load(given.value[2])
             return Vocabulary(given.value[0], model_words), model.tables()
 
-        words_of, (first, second, norm) = once(name, made)
+        words_of, (first, second, norm) = held(name, made)
         for batch in batches:
             texts = batch.column("t").to_pylist()
             for at, end in slices(texts):
