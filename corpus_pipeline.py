@@ -60,8 +60,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix."""
-    return sentencepiece_codec.encode_texts(docs, sentencepiece_codec.model_bytes(spark))
+    """Token ids of every row of the mix. The workers that served the stages before have little memory to spare."""
+    return sentencepiece_codec.encode_texts(docs, sentencepiece_codec.model_bytes(spark), memo=200_000)
 
 
 STAGES = [
