@@ -43,16 +43,16 @@ def nearly_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: each whole copy is a row, and so is what the last, partial pass takes of a document.
+    """The mix as documents: each whole copy is a row, and so is each range of words that the last, partial pass takes of a document.
 
-    The words of a partial document keep the white space that stood before them; its n_chars is counted anew.
+    No row joins words across a gap. The words of a partial document keep the white space that stood before them; its n_chars is counted anew.
     """
     mix = mixing.mix_sources(docs, carry=True)
     text = F.coalesce(F.col("row.text"), F.lit(""))
     units = F.regexp_extract_all(text, F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
     whole = F.col("pieces")[0]["from"].eqNullSafe(F.lit(0)) & (F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"]) == F.col("size"))
     rest = F.when(F.size("pieces") == 0, F.array().cast("array<string>")).when(whole, F.array(text)).otherwise(
-        F.transform(F.array(units), lambda u: F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(u, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), ""))
+        F.flatten(F.transform(F.array(units), lambda u: F.transform("pieces", lambda p: F.array_join(F.slice(u, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), ""))))
     )
     out = mix.select("row", F.explode(F.concat(F.array_repeat(text, F.col("copies").cast("int")), rest)).alias("taken_text"))
     made = {"text": F.col("taken_text"), "n_chars": F.length("taken_text").cast("long")}

@@ -368,3 +368,10 @@ def test_mixing(docs, rows, empty):
         taken[r["source"]] += r["taken"]
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 40 for s in source)
     assert mixing.mix_sources(empty).count() == 0
+
+
+def test_mixing_takes_whole_documents(docs):
+    got = mixing.mix_sources(docs, block_words=4, docs_per_shard=1000).collect()  # one shard a source
+    parts = Counter(r["source"] for r in got if 0 < sum(p["to"] - p["from"] for p in r["pieces"]) < r["size"])
+    assert parts and all(n <= 2 for n in parts.values())
+    assert all(len(r["pieces"]) <= 2 and all(a["to"] < b["from"] for a, b in zip(r["pieces"], r["pieces"][1:])) for r in got)

@@ -50,3 +50,10 @@ def test_stages(spark, docs, tmp_path):
 def test_run(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_mix_joins_nothing_across_gaps(spark, docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    mix = corpus_pipeline.mixed(spark, docs, "").collect()
+    assert mix and all(r["text"] in (texts[r["doc_id"]] or "") for r in mix)
+    assert sum(r["text"] != texts[r["doc_id"]] for r in mix) <= 2 * 5  # two ends for each source
