@@ -20,9 +20,14 @@ def stride_chunks(text: Column, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("index"), F.substring(text, i * step + 1, F.lit(size)).alias("text")))
 
 
+#: What a word border lies between: letters and numerals of all scripts, and the underscore. Java's own border knows ASCII only.
+_IN_WORD = r"[\p{L}\p{N}_]"
+ENTITY = rf"(?<!{_IN_WORD})[A-Z][a-zA-Z0-9\-]{{2,}}(?:(?<={_IN_WORD})(?!{_IN_WORD})|(?<=-)(?={_IN_WORD}))"
+
+
 def entities(text: Column) -> Column:
-    """Capitalised words of three letters or more."""
-    return F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zA-Z0-9\-]{2,}\b"), F.lit(0))
+    """Capitalised words of three letters or more, between Unicode word borders."""
+    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
 RELATION = r"(\w+) (is based on|extends|improves|uses) (\w+)"
