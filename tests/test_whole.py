@@ -34,3 +34,10 @@ def test_entity_dedup(spark, tmp_path):
         for m in re.findall(ENTITY, t or ""):
             want.setdefault((c, m.lower()), m)
     assert {(r["doc_id"], r["key"]): r["name"] for r in run(spark, "entity_dedup", tmp_path, conversations=CONVERSATIONS)} == want
+
+
+def test_containment_search(spark, tmp_path):
+    docs = [(1, "x The quick brown fox jumps y"), (2, "the quick brown cow"), (3, None), (4, "")]
+    asked = [(0, "The Quick Brown Fox"), (20, "the quick brown cow sleeps"), (21, "cow")]
+    got = run(spark, "containment_search", tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(asked, "item_id long, text string"))
+    assert [(r["qid"], r["doc_id"]) for r in got] == [(0, 1)]
