@@ -41,3 +41,14 @@ def test_containment_search(spark, tmp_path):
     asked = [(0, "The Quick Brown Fox"), (20, "the quick brown cow sleeps"), (21, "cow")]
     got = run(spark, "containment_search", tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(asked, "item_id long, text string"))
     assert [(r["qid"], r["doc_id"]) for r in got] == [(0, 1)]
+
+
+def test_cooccurrence_pairs(spark, tmp_path):
+    texts = ["Zoe and Amy and Bob and Cid and Dan and Eve and Zoe", "Amy Eve " + "x" * 900 + " Bob", None, ""]
+    want = Counter()
+    for t in texts:
+        for k in range(max(-(-(len(t or "") - 800) // 680), 0) + 1):
+            names = sorted(set(re.findall(ENTITY, (t or "")[680 * k : 680 * k + 800])))
+            want.update((a, b) for i, a in enumerate(names) for b in names[i + 1 :])
+    got = run(spark, "cooccurrence_pairs", tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(r["a"], r["b"]): r["n"] for r in got} == want and want["Amy", "Zoe"] == 1 and want["Amy", "Eve"] == 2
