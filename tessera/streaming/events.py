@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from ..catalog import shared_path
 
 
-def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", per_trigger: int = 1) -> DataFrame:
-    """A table's files as a stream; wall-clock times become UTC instants."""
+def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", per_trigger: int | None = None) -> DataFrame:
+    """A table, a file or a folder of part files, as a stream; wall-clock times become UTC instants.
+
+    A finished table's files are in no order of time, so all of them go into one trigger and no watermark finds a row late;
+    ``per_trigger`` bounds the files of a trigger where they are known to be in order. The last letter of the path is a
+    pattern, as Spark takes a single file for a folder otherwise.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(f"{sf_dir}/{table}.parque[t]")
     return stream.withColumns({c: F.col(c).cast("timestamp") for c, t in stream.dtypes if t == "timestamp_ntz"})
 
 
@@ -36,16 +42,17 @@ def correlated(left: DataFrame, right: DataFrame, by: str, seconds: int, delay:
 
 
 def last_values(stream: DataFrame, by: str = "user_id", keep: int = 5) -> DataFrame:
-    """The last ``keep`` values of each key after every trigger, as keyed state (a count window)."""
+    """The last ``keep`` values of each key by time after every trigger, in whatever order they come, as keyed state (a count window)."""
 
     def update(key, batches, state):
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        held = (held + rows["value"].tolist())[-keep:]
-        state.update((held,))
-        yield pd.DataFrame({by: [key[0]], "n": [len(held)], "avg_last": [sum(held) / len(held)]})
-
-    return stream.groupBy(by).applyInPandasWithState(update, f"{by} long, n long, avg_last double", "held array<double>", "update", "NoTimeout")
+        held = pd.DataFrame([tuple(x) for x in state.get[0]] if state.exists else [], columns=["ts", "event_id", "value"])
+        for batch in batches:
+            rows = batch[["ts", "event_id", "value"]].assign(ts=batch["ts"].astype("datetime64[us]").astype("int64"))
+            held = (pd.concat([held, rows]) if len(held) else rows).sort_values(["ts", "event_id"]).tail(keep)
+        state.update(([(int(t), int(i), float(v)) for t, i, v in held.itertuples(index=False)],))
+        yield pd.DataFrame({by: [key[0]], "n": [len(held)], "avg_last": [held["value"].sum(skipna=False) / len(held)]})
+
+    return stream.groupBy(by).applyInPandasWithState(update, f"{by} long, n long, avg_last double", "held array<struct<ts:long,event_id:long,value:double>>", "update", "NoTimeout")
 
 
 def run_to_end(stream: DataFrame, mode: str, name: str = "stream") -> DataFrame:

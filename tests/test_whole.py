@@ -52,3 +52,33 @@ def test_cooccurrence_pairs(spark, tmp_path):
             want.update((a, b) for i, a in enumerate(names) for b in names[i + 1 :])
     got = run(spark, "cooccurrence_pairs", tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert {(r["a"], r["b"]): r["n"] for r in got} == want and want["Amy", "Zoe"] == 1 and want["Amy", "Eve"] == 2
+
+
+EVENTS = [(i, T0 + timedelta(hours=3 * i), i % 2, "click" if i % 3 else "error", float(i * i)) for i in range(24)] + [(90 + i, T0 + timedelta(hours=3 * i, minutes=5), i % 2, "purchase", 500.0) for i in range(24)]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A table of part files, the latest rows first."""
+    out = tmp_path_factory.mktemp("parts")
+    late_first = sorted(EVENTS, key=lambda r: r[1], reverse=True)
+    for k in range(0, len(late_first), 12):
+        spark.createDataFrame(late_first[k : k + 12], "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{out}/events.parquet")
+    return out
+
+
+def test_streams_of_part_files(spark, folder):
+    got = run(spark, "stream_tumbling", folder)
+    assert sum(r["n"] for r in got) == len(EVENTS) and {(r["window_start"], r["event_type"]): r["n"] for r in got} == Counter((T0 + timedelta(days=(e[1] - T0).days), e[3]) for e in EVENTS)
+    assert {r["event_id"] for r in run(spark, "stream_rules", folder)} == {e[0] for e in EVENTS if e[4] > 100 or e[3] == "error"}
+    pairs = {(a[0], b[0]) for a in EVENTS for b in EVENTS if a[3] == "click" and b[3] == "purchase" and a[2] == b[2] and timedelta() < b[1] - a[1] <= timedelta(hours=1)}
+    assert {(r["left_id"], r["right_id"]) for r in run(spark, "stream_correlation", folder)} == pairs
+
+
+def test_last_values_in_any_order_of_files(spark, folder):
+    from tessera.streaming import events as S
+
+    want = {u: sum(e[4] for e in sorted((e for e in EVENTS if e[2] == u), key=lambda e: e[1:2] + e[:1])[-5:]) / 5 for u in (0, 1)}
+    assert {r["user_id"]: r["avg_last"] for r in run(spark, "stream_last_values", folder)} == pytest.approx(want)
+    steps = S.run_to_end(S.last_values(S.event_stream(spark, str(folder), per_trigger=1)), "update", "steps").collect()
+    assert {u: max((r["epoch"], r["avg_last"]) for r in steps if r["user_id"] == u)[1] for u in want} == pytest.approx(want)
