@@ -82,3 +82,14 @@ def test_last_values_in_any_order_of_files(spark, folder):
     assert {r["user_id"]: r["avg_last"] for r in run(spark, "stream_last_values", folder)} == pytest.approx(want)
     steps = S.run_to_end(S.last_values(S.event_stream(spark, str(folder), per_trigger=1)), "update", "steps").collect()
     assert {u: max((r["epoch"], r["avg_last"]) for r in steps if r["user_id"] == u)[1] for u in want} == pytest.approx(want)
+
+
+def test_no_group_is_gathered(spark, tmp_path):
+    rows = [(1, 5.0), (1, None), (1, float("nan")), (1, 1.0), (1, 3.0), (1, 2.0), (2, 4.0), (2, 6.0), (2, None), (3, None), (3, None), (3, None)]
+    got = run(spark, "custom_aggregation", tmp_path, events=(rows, "user_id long, value double"))
+    assert {r["user_id"]: r["trimmed"] for r in got} == {1: 2.5, 2: 5.0, 3: None}
+    orders = [(1, 7, 10.0, "1-A"), (2, 7, 2.5, "2-B"), (3, 8, None, None)]
+    got = run(spark, "nested_counts", tmp_path, customer=([(7,), (8,), (9,)], "c_custkey long"), orders=(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string"))
+    assert {tuple(r) for r in got} == {(7, 2, 12.5, "2-B"), (8, 1, 0.0, None), (9, 0, 0.0, None)}
+    plans = "".join(QUERIES[q](spark, str(tmp_path))._jdf.queryExecution().toString() for q in ("custom_aggregation", "nested_counts"))
+    assert "collect_list" not in plans and "Python" not in plans and "partial_sum" in plans
