@@ -4,7 +4,7 @@ A sketch has ``bands * rows`` coordinates. In round i every shingle is thrown in
 (i, hash); rounds go on until every coordinate is filled, and from round t on shingles go to coordinate i - t, so that
 2t rounds always suffice. Texts with the same shingle set are one node from then on. Nodes that share a band form the
 family of the band's smallest node; links are confirmed on the full shingle sets inside families. A family of up to
-``block`` nodes is compared in one task. Of a larger one, every member is first compared with the head; members that
+``block`` nodes and ``block_mb`` of sets is compared in one task. Of a larger one, every member is first compared with the head; members that
 are not linked to it are compared, block by block, with each other and with those that the triangle inequality of the
 Jaccard distance leaves possible. Only links are emitted, never candidate pairs, and components come from an iterated
 join.
@@ -174,7 +174,7 @@ def _shared_size(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512, buckets: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512, block_mb: int = 64, buckets: int = 256, tell_apart: bool = False) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased in A-Z; a text's set holds its distinct ``width``-word shingles, or its whole sequence if it has
@@ -182,7 +182,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Jaccard similarity is ``percent`` / 100 or more; component_id is the smallest id that links lead to, and kept is
     doc_id = component_id. Null text counts as empty; repeated rows are linked with each other as any equal texts are.
     Rows with a null id take part; their component's id is the smallest there is, or null. Empty tables give no rows.
+    Whole texts are hashed, however long, a bounded run of bytes at a time. Other columns are not looked at.
     The bands miss a pair at 80 % with a probability under 1e-5 (32 bands of 5 rows), one at 85 % under 1e-6 (24 bands).
+    ``tell_apart`` adds text_key (a hash of the text), grouped (whether the row has company) and stays, which is true for
+    exactly one row of each component, also where rows repeat an id.
     """
     small_batches(docs.sparkSession)
     given = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).withColumn("th", F.xxhash64("t"))
@@ -191,11 +194,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Texts with one and the same set: one node, the others hang on it. Grouped with the size but joined without it, so that the groups get an exchange of their own.
     firsts = staged(full.groupBy("n_shingles", "h1", "h2").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies")))
     many = firsts.where("copies > 1").select("h1", "h2", "node")
-    same = full.select("rid", "h1", "h2").join(many, ["h1", "h2"]).where("rid <> node").select(F.col("node").alias("a"), F.col("rid").alias("b"))
+    same = full.select("rid", "h1", "h2").join(many, ["h1", "h2"]).select("rid", "node")
     nodes = full.join(firsts.select(F.col("node").alias("rid")), "rid", "left_semi")
     keyed = staged(nodes.select(F.col("rid").alias("node"), F.posexplode("bands").alias("band", "key")))
     heads = keyed.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    family = staged(_families(staged(keyed.select("node", "key").join(heads, "key").select("key", "head", "node"))))
+    family = _families(staged(keyed.select("node", "key").join(heads, "key").select("key", "head", "node")))
+    weighed = family.join(full.select(F.col("rid").alias("node"), "n_shingles"), "node")
+    family = staged(weighed.select("fam", "head", "node", (F.col("n_shingles") * 8).alias("bytes")))
     needed = staged(family.select("node").distinct().join(seen.select(F.col("rid").alias("node"), "doc_id", "th"), "node"))
     slot = F.pmod(F.xxhash64("doc_id", "th"), F.lit(buckets * BITS))
     wanted = needed.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / BITS).cast("int").alias("wanted_bucket")).agg(F.bitmap_construct_agg(F.col("slot") % BITS).alias("wanted_map"))
@@ -207,21 +212,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.join(needed.select(known, "th", "node"), ["d", "th"]).select("node", "t")
     sets = staged(found.mapInArrow(_to_sets(width), "node long, shingles binary"))
 
-    sized = staged(family.groupBy("fam").agg(F.count(F.lit(1)).alias("members")))
-    small = family.join(sized.where(f"members <= {block}").select("fam"), "fam", "left_semi")
+    blocks = lambda n, size: F.ceil(F.greatest(n / block, size / (block_mb << 20))).cast("int")
+    sized = staged(family.groupBy("fam").agg(blocks(F.count(F.lit(1)), F.sum("bytes")).alias("blocks")))
+    small = family.join(sized.where("blocks = 1").select("fam"), "fam", "left_semi")
     groups = small.join(sets, "node").select(F.col("fam").cast("string").alias("grp"), "node", F.lit(False).alias("anchor"), "shingles")
     links = groups.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(_links(percent), "a long, b long")
-    large = family.join(sized.where(f"members > {block}"), "fam")
+    large = family.join(sized.where("blocks > 1").select("fam"), "fam", "left_semi")
     if large.limit(1).count():
-        links = links.union(_large_links(large, sets, percent, block))
-    labels = components(same.union(links))
-    in_component = seen.select("rid", "doc_id").join(labels, F.col("rid") == F.col("node")).select("rid", "doc_id", "label")
-    in_component = staged(in_component)
-    least = staged(in_component.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    named = in_component.join(least, "label").select("rid", "component_id")
-    out = seen.select("rid", "doc_id", "n_shingles").join(named.withColumn("named", F.lit(True)), "rid", "left")
-    component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        links = links.union(_large_links(large, sets, percent, blocks))
+    # Components are found over nodes; copies take their node's.
+    labels = staged(components(links))
+    copied = same.join(labels, "node", "left").select("rid", F.coalesce("label", "node").alias("label"))
+    single = labels.join(many.select("node"), "node", "left_anti").select(F.col("node").alias("rid"), "label")
+    in_component = staged(seen.select("rid", "doc_id").join(copied.union(single), "rid"))
+    # Of rows with the smallest id the first one: a null id is the largest here.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    least = staged(in_component.groupBy("label").agg(F.min("doc_id").alias("component_id"), first.alias("first")))
+    named = in_component.join(least, "label").select("rid", "component_id", (F.col("rid") == F.col("first.rid")).alias("stays"))
+    out = seen.select("rid", "doc_id", "n_shingles", "th").join(named, "rid", "left")
+    component = F.when(F.col("stays").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    more = [F.col("th").alias("text_key"), F.col("stays").isNotNull().alias("grouped"), F.coalesce("stays", F.lit(True)).alias("stays")] if tell_apart else []
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
 
 
 def _families(met: DataFrame) -> DataFrame:
@@ -239,26 +250,25 @@ def _families(met: DataFrame) -> DataFrame:
     return own.select((F.col("h") * 2).alias("fam"), F.col("h").alias("head"), "node").union(rest.select(F.col("head") * 2 + 1, "head", "node"))
 
 
-def _large_links(large: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links inside families of more than ``block`` members: with the head, then, in cells of two blocks, among the rest."""
+def _large_links(large: DataFrame, sets: DataFrame, percent: int, blocks) -> DataFrame:
+    """Links inside families of more than one block: with the head, then, in cells of two blocks, among the rest. ``blocks`` gives their number for members and bytes."""
     overlap = F.pandas_udf(_shared_size, "long")
-    large = staged(large.select("fam", "head", "node"))
+    large = staged(large.select("fam", "head", "node", "bytes"))
     head_sets = staged(sets.join(large.select(F.col("head").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("head"), F.col("shingles").alias("head_shingles")))
     met = large.join(sets, "node").join(head_sets, "head")
     met = met.withColumn("both", overlap("shingles", "head_shingles")).withColumn("either", F.length("shingles") / 8 + F.length("head_shingles") / 8 - F.col("both"))
     met = met.withColumns({"linked": 100 * F.col("both") >= percent * F.col("either"), "far": 1 - F.col("both") / F.col("either")})
-    met = staged(met.select("fam", "head", "node", "linked", "far"))
+    met = staged(met.select("fam", "head", "node", "bytes", "linked", "far"))
     to_head = met.where("linked AND head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
     # A member at distance x from the head can be linked to one at distance y only if |x - y| is at most the largest distance of a link.
     most = 1 - percent / 100 + 1e-9
-    pieces = lambda n: F.ceil(n / block).cast("int")
-    per_family = staged(met.groupBy("fam").agg(pieces(F.count_if(~F.col("linked"))).alias("blocks"), F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest")).where("blocks > 0"))
+    per_family = staged(met.groupBy("fam").agg(blocks(F.count_if(~F.col("linked")), F.sum(F.when(~F.col("linked"), F.col("bytes")))).alias("blocks"), F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest")).where("blocks > 0"))
     rest = met.where("NOT linked").join(per_family, "fam").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cell = lambda a, b, what: F.concat_ws(":", F.col("fam").cast("string"), a.cast("string"), b.cast("string"), F.lit(what)).alias("grp")
     k = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")
     among = rest.select("fam", "node", "own", k).select(cell(F.least("own", "k"), F.greatest("own", "k"), "r"), "node", F.lit(False).alias("anchor"))
     near = met.where("linked AND head <> node").join(per_family, "fam").where(F.col("nearest") - F.col("far") <= most)
-    parts = staged(near.groupBy("fam").agg(pieces(F.count(F.lit(1))).alias("parts")))
+    parts = staged(near.groupBy("fam").agg(blocks(F.count(F.lit(1)), F.sum("bytes")).alias("parts")))
     near = near.join(parts, "fam").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     anchors = near.select("fam", "node", "part", k).select(cell(F.col("k"), F.col("part"), "n"), "node", F.lit(True).alias("anchor"))
     close = rest.join(parts, "fam").where(F.col("far") <= 2 * most).select("fam", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -269,4 +279,5 @@ def _large_links(large: DataFrame, sets: DataFrame, percent: int, block: int) ->
 
 
 def op1_near_duplicates(spark, sf_dir) -> DataFrame:
+    """Three-word shingles, 85 % or more, of the whole texts of ``documents``; nulls, ties and repeated rows as in near_duplicates."""
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85, bands=24)

@@ -6,12 +6,12 @@ import numpy as np
 
 _rng = np.random.default_rng(20240229)
 _OF_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(255, _BASE)]).astype(np.uint64))
+RUN = 1 << 20  # bytes that are hashed at a time
+TABLED = 4096  # positions of a word with a factor from a table
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,35 +24,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if n > len(_POWERS):
-        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]).astype(np.uint64))
-    return _POWERS
+def _drawn(at: np.ndarray) -> np.ndarray:
+    """An odd factor for each position in a word. Factors of different positions have nothing to do with each other, so periodic words get no equal sums."""
+    return mix(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+
+
+_FACTORS = _drawn(np.arange(TABLED))
+
+
+def _factors(at: np.ndarray) -> np.ndarray:
+    out = _FACTORS[np.minimum(at, TABLED - 1)]
+    if len(far := np.flatnonzero(at >= TABLED)):
+        out[far] = _drawn(at[far])
+    return out
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts with A-Z in lower case, and the number of words of each text."""
+    """64-bit hashes of the words of all texts with A-Z in lower case, and the number of words of each text.
+
+    A hash is a sum over the word's bytes, so bytes are taken in runs of bounded size whatever the length of a word.
+    """
     raw = [t.encode("utf-8", "replace") for t in texts]
-    sizes = np.array([len(x) + 1 for x in raw], dtype=np.int64)
-    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
-    space = _IS_SPACE[data]
-    begins = ~space
-    begins[1:] &= space[:-1]
-    starts = np.flatnonzero(begins)
-    ends_of_texts = np.cumsum(sizes)
+    ends_of_texts = np.cumsum(np.array([len(x) + 1 for x in raw], dtype=np.int64))
+    whole = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+    del raw
+    found, begun = [], []
+    total, length = np.zeros(1, dtype=np.uint64), 0  # of the word that runs into the next run
+    for base in range(0, len(whole), RUN):
+        data = whole[base : base + RUN]
+        space = _IS_SPACE[data]
+        begins, stops = ~space, space.copy()
+        begins[1:] &= space[:-1]
+        stops[1:] &= ~space[:-1]
+        begins[0] &= not length
+        stops[0] &= bool(length)
+        starts, stops = np.flatnonzero(begins), np.flatnonzero(stops)
+        begun.append(starts + base)
+        opened = np.r_[0, starts] if length else starts
+        if not len(opened):
+            continue
+        at = np.arange(len(data), dtype=np.int64)
+        if opened[0]:
+            at[: opened[0]] = 0
+        at[opened[0] :] -= np.repeat(opened, np.diff(np.r_[opened, len(data)]))
+        if length:
+            at[: opened[1] if len(opened) > 1 else len(data)] += length
+        value = _OF_BYTE[_LOWER[data]]
+        value *= _factors(at)
+        value[space] = 0
+        sums = np.add.reduceat(value, opened)
+        sizes = np.r_[stops, len(data)][: len(opened)] - opened
+        if length:
+            sums[:1] += total
+            sizes[0] += length
+        done = len(stops)
+        found.append(mix(sums[:done] + sizes[:done].astype(np.uint64)))
+        total, length = (sums[done : done + 1].copy(), int(sizes[done])) if len(opened) > done else (np.zeros(1, dtype=np.uint64), 0)
+    starts = np.concatenate(begun) if begun else np.zeros(0, dtype=np.int64)
     counts = np.diff(np.searchsorted(starts, ends_of_texts), prepend=0) if len(texts) else np.zeros(0, dtype=np.int64)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), counts
-    stops = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    lengths = stops - starts
-    at = np.arange(len(data), dtype=np.int64)
-    at -= np.repeat(starts, np.diff(np.r_[starts, len(data)])) if starts[0] == 0 else np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
-    at[space] = 0
-    value = _OF_BYTE[_LOWER[data]]
-    value *= _powers(int(lengths.max()) + 1)[at]
-    value[space] = 0
-    return mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64)), counts
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64), counts
 
 
 def shingle_sets(texts: list[str], width: int = 3) -> list[np.ndarray]:

@@ -73,7 +73,7 @@ def test_exact_dedup(docs, rows, empty):
     assert few == {d: r["keep_id"] for d, r in got.items()}
     odd = docs.sparkSession.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "b")], "doc_id long, text string")
     assert sorted(map(str, exact_dedup.exact_dedup(odd).select("doc_id", "keep_id", "group_size", "kept").collect())) == sorted(
-        f"Row(doc_id={d}, keep_id={k}, group_size={n}, kept={y})" for d, k, n, y in [(1, 1, 3, True), (1, 1, 3, True), (None, 1, 3, False), (None, None, 1, True)]
+        f"Row(doc_id={d}, keep_id={k}, group_size={n}, kept={y})" for d, k, n, y in [(1, 1, 3, True), (1, 1, 3, False), (None, 1, 3, False), (None, None, 1, True)]
     )
 
 
