@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, mixing, near_dedup, sentencepiece_codec
-from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.exact_dedup import exact_dedup, staying
 from tessera.llm.shared import SPACE, staged
 
 ORACLE_SQL = None  # the language model, the sketches and the seeded mix are not SQL; tests/llm holds brute-force versions
@@ -15,7 +15,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told (null text or no letter) and fills in a missing lang with the predicted one."""
+    """Drops documents whose language can't be told (null text or no letter) and fills in a missing lang with the predicted one.
+
+    Whole texts are parsed, however long. Repeated rows get the same answer and all stay or all go. Columns pass as they
+    are, extra ones too. Without any labelled text, documents with a letter stay and lang stays null. An empty table
+    gives an empty result.
+    """
     samples = language_id.learn_samples(docs)
     told = language_id.identify_language(docs, samples, carry=True)
     if samples:
@@ -26,20 +31,22 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.select(*(lang.alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of docs whose id the verdict keeps. Rows with the id of a kept one stay; a null id is matched as a value."""
-    ids = verdict.where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-
-
 def exactly_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
-    return _kept(docs, exact_dedup(docs))
+    """Of equal texts one row stays, the one with the largest doc_id, with all its columns.
+
+    Null counts as empty. Rows that repeat an id are told apart by their texts; of rows alike in both one stays. A null
+    id never outranks another. Whole texts are compared, however long. An empty table gives an empty result.
+    """
+    return staying(docs, exact_dedup(docs, tell_apart=True))
 
 
 def nearly_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the one with the smallest doc_id stays."""
-    return _kept(docs, near_dedup.near_duplicates(docs))
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one row stays, the one with the smallest doc_id, with all its columns.
+
+    Null, empty and blank texts are like nothing and stay. Rows that repeat an id are told apart by their texts; of rows
+    alike in both one stays. Whole texts are compared, however long. An empty table gives an empty result.
+    """
+    return staying(docs, near_dedup.near_duplicates(docs, tell_apart=True))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +67,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix. The workers that served the stages before have little memory to spare."""
+    """Token ids of every row of the mix: doc_id, n_tokens, ids, round_trip.
+
+    A null or empty text has no ids; whole texts are encoded, however long; repeated rows are encoded each; other columns
+    go. An empty table gives an empty result. The workers that served the stages before have little memory to spare.
+    """
     return sentencepiece_codec.encode_texts(docs, sentencepiece_codec.model_bytes(spark), memo=200_000)
 
 
@@ -74,7 +85,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder and read again.
+
+    What the stages say of nulls, repeated rows, long texts and empty tables holds; columns other than those of documents go.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
