@@ -4,7 +4,7 @@ A bounded sample of labelled text per language is turned into a suffix automaton
 automaton into longest matches; the language that needs the fewest phrases, normalised by the text's length and the
 size of the sample, wins. Automata are held as dense transition tables whose failing transitions already start the
 next phrase, so that many blocks of text are parsed in step by array operations. Only the samples are broadcast: at
-most ``max_languages`` x ``train_bytes``.
+most ``train_bytes`` a language, and less where there are so many that their tables would outgrow ``table_mb``.
 """
 
 from __future__ import annotations
@@ -133,24 +133,29 @@ def parser_of(samples: list[tuple[str, bytes]]) -> Parser:
     return held(f"parser {hashlib.sha256(repr(samples).encode()).hexdigest()}", lambda: Parser(samples))
 
 
-def learn_samples(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_bytes: int = 40960, docs_per_language: int = 96, chars_per_doc: int = 2048, max_languages: int = 64, table_mb: int = 192) -> list[tuple[str, bytes]]:
-    """(language, normalised training text) of the ``max_languages`` most frequent labels, ordered by language.
+def learn_samples(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_bytes: int = 40960, docs_per_language: int = 96, table_mb: int = 192) -> list[tuple[str, bytes]]:
+    """(language, normalised training text) of every label that occurs with a text, ordered by language.
 
-    From each language about ``docs_per_language`` documents are drawn by a hash of the id, and a stretch of at most
-    ``chars_per_doc`` characters of each is used, up to ``train_bytes`` and to what keeps all tables within ``table_mb``.
+    ``train_bytes`` bounds the sample of a language; with so many languages that all tables would outgrow ``table_mb``,
+    each gets the same smaller share, none is left out. About ``docs_per_language`` documents are drawn by a hash of the
+    id, and a document gives a stretch of at most a twentieth of the bound, from a place that the hash picks, so that no
+    few long texts make up a sample. Null and blank texts and null labels teach nothing; repeated rows count repeatedly.
+    The driver gets one row a language.
     """
     rows = train.where(F.col(lang_col).isNotNull() & (F.trim(F.col(text_col)) != "")).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return []
-    room = min(train_bytes, int(table_mb * 1e6 / len(counts) / (1.6 * 80 * 4)))
-    share = docs_per_language / F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], r["count"]))), F.col("lang"))
+    room = max(min(train_bytes, int(table_mb * 1e6 / len(counts) / (1.6 * 80 * 4))), 64)
+    stretch = max(train_bytes // 20, 64)
+    sizes = train.sparkSession.createDataFrame([(r["lang"], docs_per_language / r["count"]) for r in counts], "lang string, share double")
     mark = F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1 << 30))
-    drawn = rows.withColumn("mark", mark).where(F.col("mark") < share * (1 << 30))
-    cut = F.substring("t", (1 + F.pmod(F.xxhash64("i", F.lit(6)), F.greatest(F.length("t") - chars_per_doc, F.lit(1)))).cast("int"), F.lit(chars_per_doc))
+    # One row a language, which the driver holds anyway, is sent along.
+    drawn = rows.withColumn("mark", mark).join(F.broadcast(sizes), "lang").where((F.col("mark") < F.col("share") * (1 << 30)) | (F.col("share") >= 1))
+    cut = F.substring("t", (1 + F.pmod(F.xxhash64("i", F.lit(6)), F.greatest(F.length("t") - stretch, F.lit(1)))).cast("int"), F.lit(stretch))
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["mark", "i"])
+        group = group.sort_values(["mark", "t"])
         text = b" ".join(filter(None, map(normalised, group["t"])))[:room]
         return pd.DataFrame({"lang": group["lang"].iloc[:1], "sample": [text]})
 
@@ -162,7 +167,8 @@ def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], id_col:
     """One row for each input row: doc_id, lang_pred, score (0 to 1), and the input row as ``row`` if ``carry``.
 
     Null texts, texts without a letter and all texts if nothing was learned get ``und`` with score 0. Whole texts are
-    parsed, however long. Repeated rows get the same answer; other columns play no part.
+    parsed, however long. Ties go to the first language by name. Repeated rows get the same answer; other columns play
+    no part. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -185,6 +191,7 @@ def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], id_col:
 
 
 def op2_language_id(spark, sf_dir) -> DataFrame:
+    """All ``documents``, learning from labelled ones whose crc32 modulo 4 is not 2; a null id counts as learned from. Odd rows as in identify_language."""
     docs = read(spark, sf_dir, "documents")
     samples = learn_samples(docs.where(crc_mod("doc_id", 4) != 2))
     found = identify_language(docs.select("doc_id", "text"), samples)

@@ -18,6 +18,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -198,19 +199,32 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(((r["word"], r["n"]) for r in chosen), key=lambda x: (x[0] != END, -x[1], x[0]))
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, model_words: int = 2048, width: int = 16) -> DataFrame:
-    """One row for each input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+@dataclass(frozen=True)
+class LanguageModel:
+    """What is learned: all counts as a table, the head of it, the classes' counts, the parameters and the totals."""
 
-    ``held_out`` is a condition on the columns of ``docs``; the rest is learned from, all of it. Null text counts as
-    empty: its one token is the end. Scores are log10 probabilities of the whole text and its end. Without training rows
-    nothing is known, the base gives every token probability 1 and the model is the untrained start. Repeated rows are
-    scored each and count each in training. An empty table gives no rows. ``head_words`` bounds what is broadcast (words
-    of over 64 characters are never in the head).
+    counts: DataFrame
+    head: list[tuple[str, int]]
+    classes: np.ndarray
+    params: np.ndarray
+    total: int  # training tokens
+    distinct: int
+    other_size: int  # of the tokens outside the model's vocabulary: their number, their kinds and one for the unknown
+    model_words: int
+    width: int
+
+    def parts(self) -> tuple[Vocabulary, LogBilinear]:
+        model = LogBilinear(self.model_words, self.width, self.classes)
+        model.load(self.params)
+        return Vocabulary(self.head, self.model_words), model
+
+
+def learn_model(learn: DataFrame, head_words: int = 200_000, model_words: int = 2048, width: int = 16) -> LanguageModel:
+    """Counts and model of all texts of ``learn`` (column t, not null); no rows leave the untrained start.
+
+    A task trains on the documents of its input partition, in order, so the parameters depend on how the input is laid out
+    in files: the same files give the same scores, another layout gives a model of equal worth and slightly other scores.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("t"))
-    learn = rows.where("NOT held_out").select("t")
     counts = staged(learn.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     head = most_frequent(counts.where("length(word) <= 64"), head_words)
@@ -221,14 +235,34 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     classes[OTHER] = total - inside
     other_size = (total - inside) + (distinct - int((vocabulary.model_id[:-1] != OTHER).sum())) + 1
     params = train(learn, head, classes, model_words, width)
-    given = spark.sparkContext.broadcast((head, classes, params))
-    name = hashlib.sha256(params.tobytes()).hexdigest()
+    return LanguageModel(counts, head, classes, params, int(total), int(distinct), other_size, model_words, width)
+
+
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, model_words: int = 2048, width: int = 16) -> DataFrame:
+    """One row for each input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``held_out`` is a condition on the columns of ``docs``; the rest is learned from, all of it. Null text counts as
+    empty: its one token is the end. Whole texts are scored, however long. Scores are log10 probabilities of the whole
+    text and its end. Without training rows nothing is known, the base gives every token probability 1 and the model is
+    the untrained start. Repeated rows are scored each and count each in training; a null id stays null; other columns
+    go. An empty table gives no rows. ``head_words`` bounds what is broadcast (words of over 64 characters are never in
+    the head). Scores depend on the file layout as learn_model says; the other columns do not.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("t"))
+    return score_rows(rows, learn_model(rows.where("NOT held_out").select("t"), head_words, model_words, width))
+
+
+def score_rows(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """Scores of rows (row_no, doc_id, held_out, t) by a model that has been learned."""
+    given = rows.sparkSession.sparkContext.broadcast((model.head, model.classes, model.params))
+    name, model_words, width = hashlib.sha256(model.params.tobytes()).hexdigest(), model.model_words, model.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
-            model = LogBilinear(model_words, width, given.value[1])
-            model.load(given.value[2])
-            return Vocabulary(given.value[0], model_words), model.tables()
+            own = LogBilinear(model_words, width, given.value[1])
+            own.load(given.value[2])
+            return Vocabulary(given.value[0], model_words), own.tables()
 
         words_of, (first, second, norm) = held(name, made)
         for batch in batches:
@@ -253,12 +287,13 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     scored = staged(rows.mapInArrow(run, SCORED))
     rare = scored.select("row_no", F.explode("tail").alias("x")).select("row_no", "x.word", F.col("x.n").alias("tf"))
-    met = rare.join(counts, "word").groupBy("row_no").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
+    met = rare.join(model.counts, "word").groupBy("row_no").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     out = scored.drop("tail").join(met, "row_no", "left").withColumns({"more": F.coalesce("more", F.lit(0)), "more_logs": F.coalesce("more_logs", F.lit(0.0))})
-    base = F.col("logs") + F.col("more_logs") - F.col("n_tokens") * math.log10(total + distinct + 1)
-    score = F.col("model") / math.log(10) + F.col("other_logs") + F.col("more_logs") - F.col("n_other") * math.log10(other_size)
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    base = F.col("logs") + F.col("more_logs") - F.col("n_tokens") * math.log10(model.total + model.distinct + 1)
+    score = F.col("model") / math.log(10) + F.col("other_logs") + F.col("more_logs") - F.col("n_other") * math.log10(model.other_size)
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op3_lm_scores(spark, sf_dir) -> DataFrame:
+    """All whole texts of ``documents``, learning from those whose crc32 modulo 7 is not 2 (a null id counts as learned from). Odd rows as in score_texts."""
     return score_texts(read(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)

@@ -2,9 +2,9 @@
 
 Word totals per source give the targets. The mix's blocks are dealt to sources by highest quotients, then, within a
 source, to its shards in proportion to their words; each shard's documents, in a seeded order, form one stream of
-words that is cut into blocks, and one run of blocks, from a seeded one on and round the stream's end, gives as many as
-the quota says, so that all documents but those at the run's two ends go in whole or not at all. A quota above the
-number of blocks starts the stream again. Only one row per source reaches the driver; one per shard, at
+words that is cut into blocks, and a run of words, from the start of a seeded block on and round the stream's end, gives
+as many as the quota's blocks hold, so that all documents but those at the run's two ends go in whole or not at all. A
+quota above the words of the stream takes it whole first. Only one row per source reaches the driver; one per shard, at
 most ``max_shards`` of a source, reaches a task; documents are dealt by (source, shard), so that a large source is
 spread over many tasks.
 """
@@ -75,14 +75,15 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block_words: int = 16, docs_per_shard: int = 512, max_shards: int = 65536, seed: int = 17, carry: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block_words: int = 4, docs_per_shard: int = 512, max_shards: int = 65536, seed: int = 17, carry: bool = False) -> DataFrame:
     """One row for each input row: doc_id, source, size, source_size, target, taken, copies, pieces, and the input row as ``row`` if ``carry``.
 
     ``size`` counts words (null text: 0), ``taken`` the words that the mix takes, repeats counted: ``copies`` of the whole
     document and the word ranges ``pieces`` (from, to; 0-based, end exclusive) of the last, partial pass over its shard.
     There is one range, of all words, for each document inside the pass; of a shard's documents at most two are taken in part, and
     two ranges, which do not meet, are left only where a document holds both ends of the pass.
-    A source's taken words differ from its target by at most one block for each shard and one for rounding. A null source
+    A source's taken words differ from its target by the rounding to whole blocks, and where the target is at its limit by
+    at most a block for each shard. A null source
     is a source of its own; sources without words have target 0; an empty table gives an empty result. Rows that repeat
     an id are documents of their own, next to each other in their shard's order; which of two with the same id and size
     a block falls on does not show in the result. The number of sources has to fit the driver: one short row each.
@@ -103,28 +104,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
         shards = shards.sort_values("shard", ignore_index=True)
         got = sainte_lague([float(x) for x in shards["words"]], int(shards["quota"].iloc[0]))
-        blocks = [-(-int(w) // block_words) for w in shards["words"]]
-        got = [min(g, most * b) for g, b in zip(got, blocks, strict=True)]
-        return pd.DataFrame({"key": shards["key"], "shard": shards["shard"], "blocks": blocks, "seats": got})
+        give = [min(g * block_words, most * int(w)) for g, w in zip(got, shards["words"], strict=True)]
+        return pd.DataFrame({"key": shards["key"], "shard": shards["shard"], "words": shards["words"].astype("int64"), "give": give})
 
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
-    quotas = shards.groupBy("key").applyInPandas(shard_quotas, "key string, shard int, blocks long, seats long")
+    quotas = shards.groupBy("key").applyInPandas(shard_quotas, "key string, shard int, words long, give long")
     along = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = dealt.withColumn("end", F.sum("size").over(along)).join(quotas, ["key", "shard"])
-    start, b = F.col("end") - F.col("size"), F.lit(block_words)
-    some = F.when(F.col("blocks") > 0, F.col("seats") % F.col("blocks")).otherwise(0)
-    whole = F.when(F.col("blocks") > 0, F.floor(F.col("seats") / F.col("blocks"))).otherwise(0).cast("long")
-    offset = F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.greatest(F.col("blocks"), F.lit(1)))
-    first = F.pmod(-F.col("offset"), F.greatest(F.col("blocks"), F.lit(1)))
-    last = first + F.col("some")
-    passed = ((F.lit(0).cast("long"), (last - F.col("blocks")) * b), (first * b, last * b))  # what goes round the end comes first in the text
-    cut = F.array(*(F.struct((F.greatest(lo, F.col("start")) - F.col("start")).alias("from"), (F.least(hi, F.col("end")) - F.col("start")).alias("to")) for lo, hi in passed))
+    start, one = F.col("end") - F.col("size"), F.lit(1).cast("long")
+    some = F.when(F.col("words") > 0, F.col("give") % F.col("words")).otherwise(0)
+    whole = F.when(F.col("words") > 0, F.floor(F.col("give") / F.col("words"))).otherwise(0).cast("long")
+    first = block_words * F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.greatest(F.ceil(F.col("words") / block_words), one))
+    last = F.col("first") + F.col("some")
+    passed = ((F.lit(0).cast("long"), last - F.col("words")), (F.col("first"), last))  # what goes round the end comes first in the text
+    cut = F.array(*(F.struct((F.greatest(lo, F.col("start")) - F.col("start")).alias("from"), (F.least(hi, F.col("words"), F.col("end")) - F.col("start")).alias("to")) for lo, hi in passed))
     ranges = F.filter(cut, lambda x: x["from"] < x["to"])
     none = F.array().cast(T.ArrayType(T.StructType([T.StructField("from", T.LongType(), False), T.StructField("to", T.LongType(), False)]), False))
-    out = laid.withColumns({"start": start, "some": some, "copies": whole, "offset": offset}).withColumn("pieces", F.when((F.col("size") > 0) & (F.col("some") > 0), ranges).otherwise(none))
+    out = laid.withColumns({"start": start, "some": some, "copies": whole, "first": first}).withColumn("pieces", F.when((F.col("size") > 0) & (F.col("some") > 0), ranges).otherwise(none))
     taken = F.col("copies") * F.col("size") + F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "pieces", *(["row"] if carry else []))
 
 
 def op10_mix_sources(spark, sf_dir) -> DataFrame:
+    """All ``documents`` by source, with the weights and limits of mix_sources, and what it says of odd rows."""
     return mix_sources(read(spark, sf_dir, "documents"))

@@ -95,7 +95,9 @@ def pack_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
     positions start at 0 in every segment. ``cu_seqlens`` are the cumulative segment lengths over the flattened matrix,
     padding at the end of a row being a segment without an entry in ``segments``. Every id of every document is in
     exactly one segment; a document longer than a row has several, with ``doc_part`` and ``doc_offset``. A null or empty
-    text is its end id alone. Repeated rows are packed each. An empty table gives no rows.
+    text is its end id alone. Whole texts are encoded, however long. Ties of size go to the earlier document, ties of room
+    to the row filled last. Repeated rows are packed each, a null id stays null; other columns go. An empty table gives no
+    rows.
     """
     small_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
@@ -152,7 +154,10 @@ OUT = pa.schema([
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Writes the matrices, one binary value each, to Parquet files by shard task."""
+    """Writes the matrices, one binary value each, to Parquet files by shard task, in place of what the path held.
+
+    An empty table writes files without rows. ``matrix`` turns a row that is read back into its two arrays.
+    """
     packed.write.mode("overwrite").parquet(path)
 
 
@@ -164,4 +169,5 @@ def matrix(row) -> tuple[np.ndarray, np.ndarray]:
 
 
 def op9_packed_tokens(spark, sf_dir) -> DataFrame:
+    """All ``documents`` as packed matrices; odd rows as in pack_tokens."""
     return pack_tokens(read(spark, sf_dir, "documents"), model_bytes(spark))

@@ -168,4 +168,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def op7_quality_rules(spark, sf_dir) -> DataFrame:
+    """All whole texts of ``documents``, with rules learned from ``labels``; odd rows as in quality_rules."""
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -85,7 +85,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no spans. A weak identifier or value is reported if a part of the other sort starts at
     most ``scope`` code points away and one of these is strong or an endpoint is in scope as well; an endpoint, if both
-    sorts are in scope. Repeated rows are scanned each for itself; other columns are not looked at.
+    sorts are in scope. Whole texts are scanned, however long. Of matches that overlap within a kind the leftmost counts;
+    spans with the same start are listed by kind. Repeated rows are scanned each for itself, a null id stays null; other
+    columns are not looked at. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     # Ids pass pandas as text: beside a null, a long would become a double.
@@ -115,4 +117,5 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_scan_secrets(spark, sf_dir) -> DataFrame:
+    """All whole texts of ``documents``; odd rows as in scan_secrets."""
     return scan_secrets(read(spark, sf_dir, "documents"))

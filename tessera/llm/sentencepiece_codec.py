@@ -6,6 +6,10 @@ edges are then relaxed: for a unigram model along positions, for the best sum of
 of piece scores, which is what defines that model's ids (the best path is another segmentation there, so it can't be
 used). A chunk is a run of word marks with what follows up to the next mark or line end: no piece of the vocabulary
 reaches over such a border, which is checked when a model is loaded.
+
+Memory does not grow with the length of a text by more than its own size: long texts are taken in runs of chunks, and a
+chunk longer than what is indexed at a time is indexed in overlapping stretches. It is cut where no piece reaches over;
+a stretch without such a place is merged by itself, with arrays instead of objects.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +32,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2  # of the model format: fixed values
 MEMO = 500_000  # chunks whose ids a Python worker remembers
 INDEXED = 500_000  # characters that are indexed at a time
+RUN = 300_000  # characters of a text whose chunks are looked up at a time
 LONG = 40  # characters of a chunk from which on it is merged by itself
 NONE = np.iinfo(np.int32).max
 UNICODE = range(0x110000)
@@ -204,11 +210,15 @@ class Codec:
     def _learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk, in runs of bounded size; an empty chunk has none."""
         out = [b""] * len(chunks)
+        most = self.indexed if self.longest < 63 else max(map(len, chunks), default=0)  # a bit for each length of a piece
         if self.kind == BPE:
             short = [i for i, c in enumerate(chunks) if 0 < len(c) <= LONG]
-            rest = [i for i, c in enumerate(chunks) if len(c) > LONG]
+            rest = [i for i, c in enumerate(chunks) if LONG < len(c) <= most]
         else:
-            short, rest = [], [i for i, c in enumerate(chunks) if c]
+            short, rest = [], [i for i, c in enumerate(chunks) if 0 < len(c) <= most]
+        for i, c in enumerate(chunks):
+            if len(c) > most:
+                out[i] = self._learn_long(c)
         for which, together in ((short, True), (rest, False)):
             texts = [chunks[i] for i in which]
             for at, end in slices(texts, self.indexed):
@@ -216,6 +226,36 @@ class Codec:
                     out[i] = ids
         return out
 
+    def _learn_long(self, chunk: str) -> bytes:
+        """Ids of a chunk longer than what is indexed at a time, cut where no edge reaches over: nothing on one side of such a place bears on the other."""
+        lengths, reach, cuts = np.zeros(len(chunk), dtype=np.uint64), 0, array("q", [0])
+        step = self.indexed - self.longest
+        weights = np.uint64(1) << (np.uint64(8) * np.arange(-(-(self.longest + 1) // 8), dtype=np.uint64))
+        for at in range(0, len(chunk), step):
+            part = chunk[at : at + self.indexed]
+            own = min(step, len(part))
+            found = self.edges([part])[1][:own] >= 0
+            lengths[at : at + own] = np.packbits(found, axis=1, bitorder="little").astype(np.uint64) @ weights
+            ends = np.arange(at, at + own) + np.maximum(found.shape[1] - 1 - found[:, ::-1].argmax(axis=1), 1) * found.any(axis=1)
+            ends = np.maximum(np.maximum.accumulate(ends), reach)
+            border = np.r_[reach, ends[:-1]] <= np.arange(at, at + own)
+            for p in (np.flatnonzero(border) + at).tolist():
+                if p - cuts[-1] >= LONG // 2:
+                    cuts.append(p)
+            reach = int(ends[-1])
+        cuts.append(len(chunk))
+        out, held, size = bytearray(), [], 0
+        for a, b in zip(cuts, cuts[1:]):
+            if size + b - a > self.indexed:
+                out += b"".join(self._learn(held))
+                held, size = [], 0
+            if b - a > self.indexed:
+                out += (self._merge_long(chunk[a:b], lengths[a:b]) if self.kind == BPE else self._best_long(chunk[a:b], lengths[a:b]))
+            else:
+                held.append(chunk[a:b])
+                size += b - a
+        return bytes(out + b"".join(self._learn(held)))
+
     def _one_by_one(self, chunks: list[str]) -> list[bytes]:
         starts, table = self.edges(chunks)
         relax = self._merge if self.kind == BPE else self._best
@@ -311,6 +351,96 @@ class Codec:
             a = end[a]
         return self._joined(out)
 
+    def _merge_long(self, chunk: str, lengths: np.ndarray) -> bytes:
+        """As _merge, for a chunk of any length; ``lengths`` has a bit for the length of each edge that begins at a position.
+
+        Pairs wait by rank in arrays of positions. Ranks are taken in order, positions of a rank from the left; what a
+        merge makes possible goes first if its rank is not behind.
+        """
+        n = len(chunk)
+        end, prev, alive = array("i", range(1, n + 1)), array("i", range(-1, n - 1)), bytearray(b"\1") * n
+        bits = memoryview(lengths)
+        rank_of = {p: int(self.rank[i]) for p, i in self.pieces.items()}
+        waiting: dict[int, array] = {}
+
+        def rank(a: int) -> int:
+            m = end[a]
+            if m >= n:
+                return NONE
+            b = end[m]
+            return rank_of[chunk[a:b]] if b - a <= self.longest and bits[a] >> (b - a) & 1 else NONE
+
+        for a in range(n - 1):
+            if (r := rank(a)) < NONE:
+                waiting.setdefault(r, array("i")).append(a)
+        ranks = list(waiting)
+        heapq.heapify(ranks)
+        now: list[tuple[int, int]] = []  # pairs made of late that are not behind the current rank
+
+        def merge(a: int, current: int) -> None:
+            m = end[a]
+            end[a], alive[m] = end[m], 0
+            if end[a] < n:
+                prev[end[a]] = a
+            for p in (a, prev[a]):
+                if p >= 0 and (r := rank(p)) < NONE:
+                    if r <= current:
+                        heapq.heappush(now, (r, p))
+                    else:
+                        if r not in waiting:
+                            waiting[r] = array("i")
+                            heapq.heappush(ranks, r)
+                        waiting[r].append(p)
+
+        while ranks:
+            current = heapq.heappop(ranks)
+            for a in np.sort(np.frombuffer(waiting.pop(current), dtype=np.int32)):
+                a = int(a)
+                while now and now[0] < (current, a):
+                    r, p = heapq.heappop(now)
+                    if alive[p] and rank(p) == r:
+                        merge(p, current)
+                if alive[a] and rank(a) == current:
+                    merge(a, current)
+            while now:
+                r, p = heapq.heappop(now)
+                if alive[p] and rank(p) == r:
+                    merge(p, current)
+        out, a = array("i"), 0
+        while a < n:
+            i = self.pieces.get(chunk[a : end[a]]) if bits[a] >> (end[a] - a) & 1 else None
+            out.extend(self._loose(chunk[a]) if i is None else [i])
+            a = end[a]
+        return out.tobytes()
+
+    def _best_long(self, chunk: str, lengths: np.ndarray) -> bytes:
+        """As _best, for a chunk of any length: only the scores of the last few positions and one length for each are held."""
+        n, width = len(chunk), self.longest + 1
+        bits, back = memoryview(lengths), array("i", bytes(4 * (n + 1)))
+        best = [float("-inf")] * width
+        best[0] = 0.0
+        for a in range(n):
+            here, known = best[a % width], bits[a]
+            best[a % width] = float("-inf")
+            for size in range(1, min(width, n - a + 1)):
+                if known >> size & 1:
+                    v = here + self.score[self.pieces[chunk[a : a + size]]]
+                elif size == 1:
+                    v = here + self.floor
+                else:
+                    continue
+                if v > best[(a + size) % width]:
+                    best[(a + size) % width], back[a + size] = v, size
+        cuts, b = array("i"), n
+        while b:
+            cuts.append(b)
+            b -= back[b]
+        out, a = array("i"), 0
+        for b in reversed(cuts):
+            out.extend([self.pieces[chunk[a:b]]] if bits[a] >> (b - a) & 1 else self._loose(chunk[a]))
+            a = b
+        return out.tobytes()
+
     def _best(self, chunk: str, table: np.ndarray) -> list[int]:
         """The path of edges with the highest sum of scores; of equals the one found first, edges by position and length."""
         n = len(chunk)
@@ -337,18 +467,43 @@ class Codec:
         """Neighbouring unknown ids are one."""
         return ids if self.byte else [x for k, x in enumerate(ids) if x != self.unk or k == 0 or ids[k - 1] != self.unk]
 
-    def _keys(self, text: str) -> list[str]:
-        """What a text's ids are looked up by: its chunks, or where no normaliser and no run of blanks is involved, its words.
+    def _keys(self, text: str) -> Iterator[list[str]]:
+        """What a text's ids are looked up by, in runs of bounded size: its chunks, or where no normaliser and no run of blanks is involved, its words.
 
         A word stands for the word with a mark before it; one that begins with NUL for a line end and what follows it.
         """
         if self.normalise or not self.prefix or not text or text[0] == " " or "  " in text or MARK in text or "\0" in text:
-            return [MARK + c for c in self.chunks(self.normalised(text))]
-        return text.replace("\n", " \0").split(" ")
+            text, at = self.normalised(text), 0
+            while at < len(text):
+                cut = at + RUN
+                while cut < len(text) and not (text[cut] == MARK != text[cut - 1]):  # a chunk begins there
+                    cut = found if (found := text.find(MARK, cut + 1)) >= 0 else len(text)
+                yield [MARK + c for c in self.chunks(text[at:cut])]
+                at = cut
+            return
+        at = 0
+        while len(text) - at > RUN and 0 <= (cut := text.find(" ", at + RUN)) < len(text) - 1:
+            yield text[at:cut].replace("\n", " \0").split(" ")
+            at = cut + 1
+        yield (text[at:] if at else text).replace("\n", " \0").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian int32."""
-        cut = [self._keys(t) for t in texts]
+        """The ids of each text as little-endian int32. Texts of up to RUN characters are looked up together, longer ones run by run."""
+        short = [i for i, t in enumerate(texts) if len(t) <= RUN]
+        out = [b""] * len(texts)
+        for at, end in slices([texts[i] for i in short]):
+            which = short[at:end]
+            for i, ids in zip(which, self._looked_up([[k for run in self._keys(texts[i]) for k in run] for i in which]), strict=True):
+                out[i] = ids
+        for i, t in enumerate(texts):
+            if len(t) > RUN:
+                out[i] = b"".join(self._looked_up([keys])[0] for keys in self._keys(t))
+        if not self.byte:  # unknown ids next to each other over a border
+            out = [np.array(self._joined(np.frombuffer(x, dtype=np.int32).tolist()), dtype=np.int32).tobytes() for x in out]
+        return out
+
+    def _looked_up(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of lists of keys, one after the other. What is longer than RUN is not remembered."""
         needed = set().union(*cut)
         new = list(needed.difference(self.known))
         self.once.difference_update(needed)
@@ -366,13 +521,16 @@ class Codec:
         self.known.update((k, self.line_end + i) for k, i in zip(new, ids, strict=True) if k[:1] == "\0")
         get = self.known.__getitem__
         out = [b"".join(map(get, x)) for x in cut]
-        if not self.byte:  # unknown ids next to each other over a border
-            out = [np.array(self._joined(np.frombuffer(x, dtype=np.int32).tolist()), dtype=np.int32).tobytes() for x in out]
+        for k in new:
+            if len(k) > RUN:
+                del self.known[k]
+                self.once.discard(k)
         return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, as the format defines it: word marks are spaces and the first of them goes if the model added it."""
-        text = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype=np.int32).tolist())).decode("utf-8", "replace")
+        ids, get = np.frombuffer(ids, dtype=np.int32), self.bytes_of.__getitem__
+        text = b"".join(b"".join(map(get, ids[at : at + RUN].tolist())) for at in range(0, len(ids), RUN)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -386,7 +544,7 @@ def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
 
     Null text counts as empty and has no ids. Whole texts are encoded, however long. Decoding loses what the model's
     normaliser loses: with the identity normaliser only a literal word mark, which comes back as a space. Repeated rows
-    are encoded each; other columns are not looked at. ``memo`` bounds the chunks that a Python worker remembers and
+    are encoded each; other columns are not looked at. An empty table gives no rows. ``memo`` bounds the chunks that a Python worker remembers and
     the characters that it indexes at a time: it trades memory for time and changes no id.
     """
     small_batches(docs.sparkSession)
@@ -409,7 +567,10 @@ def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
 
 
 def decode_ids(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text for rows of ids; null and empty ids give an empty text."""
+    """doc_id and text for rows of ids, each whole row however long; null and empty ids give an empty text.
+
+    Ids outside the model are an error. Repeated rows are decoded each; other columns go. An empty table gives no rows.
+    """
     given = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,4 +583,5 @@ def decode_ids(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: s
 
 
 def op8_sentencepiece(spark, sf_dir) -> DataFrame:
+    """Ids of all whole texts of ``documents``; odd rows as in encode_texts."""
     return encode_texts(read(spark, sf_dir, "documents"), model_bytes(spark))

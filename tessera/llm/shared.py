@@ -17,9 +17,15 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver can reach: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that every executor and the driver can reach: spark.checkpoint.dir.
+
+    Where that is unset, a local session, whose executors are this process, gets a folder of its own; on a cluster it is an
+    error, as no machine's own folder is one that all can read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
