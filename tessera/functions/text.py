@@ -30,7 +30,12 @@ def entities(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
-RELATION = r"(\w+) (is based on|extends|improves|uses) (\w+)"
+#: What white space is in the chunkers: all of Unicode's.
+BLANKS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+#: Phrases and the relations that they state.
+_WORD = r"([\p{L}\p{N}_]+)"
+RELATIONS = [(f"{_WORD} {phrase} {_WORD}", name) for phrase, name in (("is based on", "based_on"), ("extends", "extends"), ("improves", "improves"), ("uses", "uses"))]
 
 
 def combined_hash(*parts: Column) -> Column:
@@ -60,7 +65,8 @@ def coverage(terms: Column, evidence: Column) -> Column:
     """0.65 of the share of terms that the evidence contains, 0.35 of its length up to 4000 characters; four digits."""
     low = F.lower(evidence)
     lexical = F.size(F.filter(terms, lambda x: F.contains(low, x))) / F.greatest(F.size(terms), F.lit(1))
-    return F.round(0.65 * lexical + 0.35 * F.least(F.lit(1.0), F.length(evidence) / 4000.0), 4)
+    score = 0.65 * lexical + 0.35 * F.least(F.lit(1.0), F.length(evidence) / 4000.0)
+    return F.round(score.cast("decimal(18,12)"), 4).cast("double")
 
 
 def completeness(terms: Column, answer: Column) -> Column:

@@ -30,6 +30,40 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[ \t\n\r\f]+"), lambda x: x != "")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; lambdas share no subexpressions otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def hash_cells(text: Column, dims: int = 128) -> Column:
+    """Array of (dim, v), v a signed count of the tokens by hash, not 0: the first 8 hex digits of SHA-256 give the cell and the next two the sign.
+
+    A token becomes cell * 2, plus 1 for a minus; sorted, a cell's tokens are neighbours.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r\f]+"), lambda x: x != "")
+    codes = F.transform(words, lambda w: let(F.sha2(w, 256), lambda d: ((F.conv(F.substring(d, 1, 8), 16, 10).cast("long") % dims) * 2 + F.conv(F.substring(d, 9, 2), 16, 10).cast("long") % 2).cast("int")))
+    cell = lambda x: F.shiftright(x, 1)
+
+    def summed(s: Column, starts: Column) -> Column:
+        run = lambda i, k: F.slice(s, i + 1, F.coalesce(F.get(starts, k + 1), F.size(s)) - i)
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + 1 - 2 * (x % 2))
+        return F.filter(F.transform(starts, lambda i, k: F.struct(cell(F.get(s, i)).alias("dim"), total(run(i, k)).alias("v"))), lambda x: x["v"] != 0)
+
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (cell(F.get(s, i)) != cell(F.get(s, F.greatest(i - 1, F.lit(0))))))
+    found = let(F.array_sort(codes), lambda s: F.when(F.size(s) > 0, let(starts(s), lambda st: summed(s, st))))
+    return F.coalesce(found, F.array().cast("array<struct<dim:int,v:double>>"))
+
+
+def cells_norm(cells: Column) -> Column:
+    return F.sqrt(F.aggregate(cells, F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
+
+
+def cells_cosine(cells: Column, vector: Column) -> Column:
+    """Of hash_cells and a dense vector; 0 where either has no length."""
+    dot = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x["v"] * F.get(vector, x["dim"]))
+    return F.coalesce(F.try_divide(dot, cells_norm(cells) * norm(vector)), F.lit(0.0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token arrays as sets; 0 if both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))

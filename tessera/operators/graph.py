@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +48,15 @@ def discovery_edges(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame
     return met.groupBy("id", "hops").agg(F.min("dst").alias("via"))
 
 
-def shortest_paths(edges: DataFrame, source, targets: DataFrame, most: int = 12) -> DataFrame:
-    """(id, hops, path): one shortest undirected path from the source to each target it reaches, the smallest in order of nodes."""
+def shortest_paths(edges: DataFrame, source, targets: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, hops, path): one shortest undirected path from the source to each target it reaches, the smallest in order of nodes.
+
+    Levels go on until nothing new is reached; ``most`` ends them earlier where a limit is asked for.
+    """
     steps = stored(_both_ways(edges), "edges")
     start = targets.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0).cast("long").alias("hops"), F.array(F.lit(source)).alias("path"))
     seen = frontier = stored(start, "frontier")
-    for level in range(1, most + 1):
+    for level in count(1) if most is None else range(1, most + 1):
         nxt = steps.join(frontier.select(F.col("id").alias("src"), "path"), "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path")).join(seen.select("id"), "id", "left_anti")
         frontier = stored(nxt.groupBy("id").agg(F.min("path").alias("path")).select("id", F.lit(level).cast("long").alias("hops"), "path"), "frontier")
         if not frontier.limit(1).count():

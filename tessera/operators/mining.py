@@ -29,11 +29,16 @@ def event_clusters(log: DataFrame, attributes: list[str], n: int) -> DataFrame:
     return log.withColumn("cluster", F.pmod(F.crc32(F.concat_ws("|", *attributes).cast("binary")), F.lit(n)).cast("long"))
 
 
-def variants(log: DataFrame, case: str, activity: str, order: list[str], most: int) -> DataFrame:
-    """(variant, n): the sequences of each case's first ``most`` activities and how many cases have them."""
-    first = log.withColumn("rn", F.row_number().over(Window.partitionBy(case).orderBy(*order))).where(F.col("rn") <= most)
-    runs = first.groupBy(case).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", activity))), lambda x: x[activity]), ">").alias("variant"))
-    return runs.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
+def variants(log: DataFrame, case: str, activity: str, order: list[str]) -> DataFrame:
+    """(n_events, first, last, n): the whole sequences of activities that cases have, with how many cases have each.
+
+    Sequences are told apart by length, ends and two 64-bit hashes of all (place, activity), which are folded by exclusive
+    or, so that no case is ever gathered.
+    """
+    placed = log.withColumn("at", F.row_number().over(Window.partitionBy(case).orderBy(*order)))
+    h = lambda seed: F.bit_xor(F.xxhash64("at", F.coalesce(F.concat(F.lit("s"), activity), F.lit("n")), F.lit(seed)))
+    cases = placed.groupBy(case).agg(F.count(F.lit(1)).alias("n_events"), F.min_by(activity, "at").alias("first"), F.max_by(activity, "at").alias("last"), h(1).alias("h1"), h(2).alias("h2"))
+    return cases.groupBy("n_events", "first", "last", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).drop("h1", "h2")
 
 
 # --- models ---------------------------------------------------------------------------------------------------------

@@ -16,9 +16,9 @@ def process_discovery(t):
     return M.directly_follows(t.events, "user_id", "event_type", ORDER)
 
 
-@query("process_variants", "SELECT variant, count(*) AS n FROM (SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS variant FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 3 GROUP BY 1) GROUP BY 1")
+@query("process_variants", "SELECT len(v) AS n_events, v[1] AS first, v[-1] AS last, count(*) AS n FROM (SELECT user_id, list(event_type ORDER BY ts, event_id) AS v FROM events GROUP BY 1) GROUP BY v")
 def process_variants(t):
-    return M.variants(t.events, "user_id", "event_type", ORDER, 3)
+    return M.variants(t.events, "user_id", "event_type", ORDER)
 
 
 @query("decision_mining", "SELECT o_orderpriority, big, o_orderstatus, support FROM (SELECT o_orderpriority, o_totalprice > 100000 AS big, o_orderstatus, count(*) AS support, row_number() OVER (PARTITION BY o_orderpriority, o_totalprice > 100000 ORDER BY count(*) DESC, o_orderstatus) AS rn FROM orders GROUP BY 1, 2, 3) WHERE rn = 1")

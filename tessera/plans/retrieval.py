@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import query
-from ..functions.vectors import jaccard
+from ..functions.vectors import jaccard, tokens
 from ..operators import retrieval as R
 
 K = 10
 TOKENS = "list_filter(regexp_split_to_array(replace(lower({}), 'ß', 'ss'), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')"
+_LOW = "list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')"
 BM25 = f"""bd AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents), bt AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest({TOKENS.format('text')}) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY 1, 2),
 bs AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM bd), bp AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM bd) WHERE term IN (SELECT term FROM bt) GROUP BY 1, 2),
 bf AS (SELECT term, count(*) AS df FROM bp GROUP BY 1), bm25 AS (SELECT qid, doc_id, round(sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score FROM bp JOIN bt USING (term) JOIN bf USING (term), bs GROUP BY 1, 2),
@@ -28,8 +29,7 @@ def _keyword(t, k=K):
 
 
 def _vector(t, k=K):
-    hits = R.vector_top_k(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", k + 10)
-    return R.top_k(hits.select("qid", F.col("id").alias("doc_id"), F.round("score", 6).alias("score")), ["qid"], "score", "doc_id", k)
+    return R.vector_top_k(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", k).withColumnRenamed("id", "doc_id")
 
 
 @query("bm25_top_k", f"WITH {BM25} SELECT qid, doc_id, score, rank FROM kw")
@@ -37,7 +37,7 @@ def bm25_top_k(t):
     return _keyword(t).select("qid", "doc_id", "score", "rank")
 
 
-@query("keyword_top_k", f"WITH d AS (SELECT doc_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents), q AS (SELECT DISTINCT item_id AS qid, unnest({TOKENS.format('text')}) AS term FROM benchmark WHERE item_id % 20 = 0), s AS (SELECT qid, doc_id, cast(count(*) AS DOUBLE) AS score FROM d JOIN q USING (term) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {K}")
+@query("keyword_top_k", f"WITH q AS (SELECT item_id AS qid, term, count(*) AS times FROM (SELECT item_id, unnest({_LOW.format('text')}) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY 1, 2), s AS (SELECT qid, doc_id, cast(sum(times) AS DOUBLE) AS score FROM documents d JOIN q ON contains(lower(d.text), q.term) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {K}")
 def keyword_top_k(t):
     return R.top_k(R.keyword_scores(t.documents, _queries(t)), ["qid"], "score", "doc_id", K)
 
@@ -49,8 +49,21 @@ def vector_cosine_top_k(t):
 
 @query("vector_inner_product_top_k", f"SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS qid, e.vec_id AS doc_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, embeddings e)) WHERE rank <= {K}")
 def vector_inner_product_top_k(t):
-    hits = R.vector_top_k(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", K + 10, metric="inner")
-    return R.top_k(hits.select("qid", F.col("id").alias("doc_id"), F.round("score", 6).alias("score")), ["qid"], "score", "doc_id", K).select("qid", "doc_id", "score", "rank")
+    hits = R.vector_top_k(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", K, metric="inner")
+    return hits.select("qid", F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query("vector_bucket_top_k")
+def vector_bucket_top_k(t):
+    """As the inner product search, through buckets: an approximation, so its recall is tested against the exact search."""
+    index = R.bucket_index(t.embeddings, "vec_id", "embedding")
+    return R.bucket_top_k(index, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", K).select("qid", F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query("retrieval_plan", f"SELECT item_id, CASE WHEN n <= 3 THEN 1 WHEN n <= 12 THEN 3 ELSE 5 END AS queries, CASE WHEN n <= 3 THEN 5 WHEN n <= 12 THEN 10 ELSE 20 END AS k, n > 3 AS rerank, greatest(3, least(20, CASE WHEN n < 5 THEN 5 WHEN n < 12 THEN 8 ELSE 12 END + greatest(-1, least(1, item_id % 5 - 2)))) AS chosen_k FROM (SELECT item_id, len({TOKENS.format('text')}) AS n FROM benchmark)")
+def retrieval_plan(t):
+    n = F.size(tokens(F.col("text")))
+    return t.benchmark.select("item_id", *(c.alias(k) for k, c in R.query_plan(n).items()), R.chosen_k(n, F.col("item_id") % 5 - 2).alias("chosen_k"))
 
 
 @query("filter_after_top_k", f"WITH {VEC} SELECT v.qid, v.doc_id, v.score FROM vec v JOIN embeddings a ON a.vec_id = v.qid JOIN embeddings b ON b.vec_id = v.doc_id WHERE a.label = b.label")
@@ -65,9 +78,10 @@ def reciprocal_rank_fusion(t):
     return R.rrf({"vector": _vector(t), "keyword": _keyword(t)}).withColumn("score", F.round("score", 9))
 
 
-@query("weighted_rank_fusion", f"WITH {BM25}, {VEC} SELECT qid, doc_id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT qid, doc_id, rank, 1.0::DOUBLE AS w FROM kw UNION ALL SELECT qid, doc_id, rank, 1.3::DOUBLE FROM vec) GROUP BY 1, 2")
+@query("weighted_rank_fusion", f"WITH {BM25}, {VEC}, n AS (SELECT item_id AS qid, len({TOKENS.format('text')}) AS n FROM benchmark) SELECT qid, doc_id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT kw.qid, doc_id, rank, CASE WHEN coalesce(n, 0) <= 4 THEN 1.35 ELSE 1.0 END::DOUBLE AS w FROM kw LEFT JOIN n USING (qid) UNION ALL SELECT vec.qid, doc_id, rank, CASE WHEN coalesce(n, 0) > 12 THEN 1.3 ELSE 1.0 END::DOUBLE FROM vec LEFT JOIN n USING (qid)) GROUP BY 1, 2")
 def weighted_rank_fusion(t):
-    return R.rrf({"vector": _vector(t), "keyword": _keyword(t)}, weights=R.length_weights(20)).withColumn("score", F.round("score", 9))
+    sizes = t.benchmark.select(F.col("item_id").alias("qid"), F.size(tokens(F.col("text"))).alias("n"))
+    return R.length_weighted_rrf({"vector": _vector(t), "keyword": _keyword(t)}, sizes).withColumn("score", F.round("score", 9))
 
 
 @query("cross_filter_boost", f"WITH {BM25}, {VEC} SELECT v.qid, v.doc_id, round(v.score * CASE WHEN k.doc_id IS NULL THEN 1.0 ELSE 1.2 END, 6) AS score FROM vec v LEFT JOIN kw k USING (qid, doc_id)")
@@ -107,16 +121,10 @@ def rerank_blend(t):
     return R.blended(_keyword(t), t.documents, _queries(t)).select("qid", "doc_id", "rerank", F.round("final", 6).alias("final"))
 
 
-@query("containment_search", "SELECT item_id AS qid, doc_id FROM documents, (SELECT item_id, lower(substr(text, 1, 12)) AS q FROM benchmark WHERE item_id % 20 = 0) b WHERE contains(lower(text), q)")
+@query("containment_search", "SELECT item_id AS qid, doc_id FROM documents d JOIN benchmark b ON item_id % 20 = 0 AND contains(lower(d.text), lower(b.text))")
 def containment_search(t):
-    """The whole text of each query in all documents; the query set is small by definition and sent along.
-
-    The SQL looks for the first 12 characters only, so it gives more; tested against brute force.
-    """
-    q = _queries(t).select(F.col("item_id").alias("qid"), F.lower("text").alias("q"))
-    from ..catalog import small
-
-    return t.documents.join(small(q), F.contains(F.lower(F.col("text")), F.col("q"))).select("qid", "doc_id")
+    """The whole text of each query in all documents."""
+    return R.containing(t.documents, _queries(t))
 
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text as X
-from ..functions.vectors import tokens
+from ..functions.vectors import cells_cosine, tokens
 from ..operators import text as O
 
 WORDS = "list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')"
@@ -19,13 +19,15 @@ def stride_chunks(t):
 
 @query("recursive_chunks")
 def recursive_chunks(t):
-    """Procedural with overlap bookkeeping: tested against fixed vectors."""
+    """Recursion over separators and a fold with overlap: tested against an independent version."""
     return O.recursive_chunks(t.documents)
 
 
-@query("sliding_chunks")
+@query("sliding_chunks", """WITH RECURSIVE c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents),
+w AS (SELECT doc_id, x, 0 AS b0, CASE WHEN length(x) > 800 AND contains(substr(x, 402, 399), ' ') THEN 800 - strpos(reverse(substr(x, 1, 800)), ' ') ELSE least(800, length(x)) END AS stop FROM c WHERE x <> ''
+UNION ALL SELECT doc_id, x, b0, CASE WHEN length(x) > b0 + 800 AND contains(substr(x, b0 + 402, 399), ' ') THEN b0 + 800 - strpos(reverse(substr(x, b0 + 1, 800)), ' ') ELSE least(b0 + 800, length(x)) END FROM (SELECT doc_id, x, stop - 120 AS b0 FROM w WHERE stop < length(x))),
+f AS (SELECT doc_id, b0, trim(substr(x, b0 + 1, stop - b0)) AS text FROM w), g AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b0) - 1 AS index, text FROM f WHERE text <> '') SELECT doc_id, cast(index AS INTEGER) AS index, doc_id || ':chunk:' || index AS chunk_id, text FROM g""")
 def sliding_chunks(t):
-    """Ends depend on the window before: tested against fixed vectors."""
     return O.sliding_chunks(t.documents)
 
 
@@ -34,22 +36,40 @@ def hash_embedding(t):
     return O.hash_embedding(t.documents).withColumn("value", F.round("value", 8))
 
 
-@query("sentence_compression", "SELECT doc_id, CASE WHEN n <= 1 THEN text ELSE array_to_string(list_transform(list_sort(list_transform(list_slice(list_sort(list_transform(range(1, n + 1), lambda i: {'s': -length(parts[i]), 'i': i})), 1, greatest(1, n // 2)), lambda x: x.i)), lambda i: parts[i]), '. ') END AS text FROM (SELECT doc_id, text, string_split(text, '. ') AS parts, len(string_split(text, '. ')) AS n FROM documents)")
+ASKED = "the report that was for the other"
+_CELL = "cast('0x' || substr(sha256(w), 1, 8) AS BIGINT) % 128 AS dim, CAST(sum(CASE WHEN cast('0x' || substr(sha256(w), 9, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS v"
+
+
+@query("sentence_compression", f"""WITH d AS (SELECT doc_id, text, string_split(text, '. ') AS parts FROM documents), s AS (SELECT doc_id, i, parts[i] AS t, len(parts) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM d)),
+c AS (SELECT doc_id, i, {_CELL} FROM (SELECT doc_id, i, unnest({WORDS.format('t')}) AS w FROM s) GROUP BY 1, 2, 3), q AS (SELECT {_CELL} FROM (SELECT unnest({WORDS.format(repr(ASKED))}) AS w) GROUP BY 1),
+r AS (SELECT doc_id, i, round(coalesce(sum(c.v * q.v), 0) / (sqrt(sum(c.v * c.v)) * (SELECT sqrt(sum(v * v)) FROM q)), 9) AS score FROM c LEFT JOIN q USING (dim) GROUP BY 1, 2 HAVING sum(c.v * c.v) > 0),
+k AS (SELECT doc_id, s.i, t, n, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, s.i) AS rn FROM s LEFT JOIN r USING (doc_id, i))
+SELECT doc_id, string_agg(t, '. ' ORDER BY i) AS text FROM k WHERE n = 1 OR rn <= greatest(1, n // 2) GROUP BY 1 UNION ALL SELECT doc_id, text FROM d WHERE text IS NULL""")
 def sentence_compression(t):
-    """The longer half of the sentences, in order; of equals the earlier."""
-    return O.compress_sentences(t.documents, lambda s: F.length(s))
+    """The half of the sentences that is nearest to a question by cosine, in order; of equals the earlier."""
+    asked = t.spark.range(1).select(O.hash_cells(F.lit(ASKED)).alias("c")).first()["c"]
+    dense = [0.0] * 128
+    for x in asked:
+        dense[x["dim"]] = x["v"]
+    vector = F.array(*map(F.lit, dense))
+    return O.compress_sentences(t.documents, lambda s: F.round(cells_cosine(O.hash_cells(s), vector), 9))
+
 
+# Letters and numerals outside ASCII become underscores, which are as much part of a word: so RE2's ASCII borders are Unicode's.
+_ASCII = "array_to_string(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) > 127 AND regexp_matches(c, '[\\p{{L}}\\p{{N}}]') THEN '_' ELSE c END), '')"
+_NAMES = "regexp_extract_all({}, '\\b[A-Z][a-zA-Z0-9\\-]{{2,}}\\b')"
 
-@query("entity_counts", "SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\b[A-Z][a-zA-Z0-9\\-]{2,}\\b')) AS name FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY 1")
+
+@query("entity_counts", f"SELECT name, count(*) AS n FROM (SELECT unnest({_NAMES.format(_ASCII.format('text'))}) AS name FROM conversations) GROUP BY 1")
 def entity_counts(t):
-    """Over all turns. The SQL leaves out turns with a character outside ASCII, so it gives less; tested against brute force."""
+    """Over all turns."""
     turns = t.conversations.select(F.col("conv_id").alias("doc_id"), "text")
     return O.entity_mentions(turns).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("entity_dedup", "SELECT conv_id AS doc_id, lower(name) AS key, arg_min(name, pos) AS name FROM (SELECT conv_id, unnest(x) AS name, generate_subscripts(x, 1) AS pos FROM (SELECT conv_id, regexp_extract_all(text, '\\b[A-Z][a-zA-Z0-9\\-]{2,}\\b') AS x FROM conversations WHERE turn = 0 AND NOT regexp_matches(text, '[^\\x00-\\x7F]'))) GROUP BY 1, 2")
+@query("entity_dedup", f"SELECT conv_id AS doc_id, lower(name) AS key, arg_min(name, (turn, pos)) AS name FROM (SELECT conv_id, turn, unnest(x) AS name, generate_subscripts(x, 1) AS pos FROM (SELECT conv_id, turn, {_NAMES.format(_ASCII.format('text'))} AS x FROM conversations)) GROUP BY 1, 2")
 def entity_dedup(t):
-    """Over all turns of a conversation, in their order. The SQL takes first turns in ASCII only; tested against brute force."""
+    """Over all turns of a conversation, in their order."""
     turns = t.conversations.select(F.struct("conv_id", "turn").alias("doc_id"), "text")
     along = F.col("doc_id.turn").cast("long") * (1 << 32) + F.col("pos")
     found = O.entity_mentions(turns).select(F.col("doc_id.conv_id").alias("doc_id"), "name", "confidence", along.alias("pos"))
@@ -57,16 +77,34 @@ def entity_dedup(t):
     return best.select("doc_id", F.lower("name").alias("key"), "name")
 
 
-@query("pattern_relations", "SELECT doc_id, m[2] AS src, m[3] AS relation, m[4] AS dst FROM (SELECT doc_id, [NULL, regexp_extract(x, '(\\w+) (is based on|extends|improves|uses) (\\w+)', 1), regexp_extract(x, '(\\w+) (is based on|extends|improves|uses) (\\w+)', 2), regexp_extract(x, '(\\w+) (is based on|extends|improves|uses) (\\w+)', 3)] AS m FROM (SELECT o_orderkey AS doc_id, 'Order' || (o_custkey % 50) || ' extends Order' || (o_orderkey % 50) AS x FROM orders)) WHERE m[2] IN (SELECT 'Order' || n_nationkey FROM nation) AND m[4] IN (SELECT 'Order' || n_nationkey FROM nation)")
+def _stated(t):
+    """Texts with relations in them: names of customers' segments and nations, in phrases that share ends."""
+    name = lambda c: F.concat(F.lit("Item"), F.col(c) % 7)
+    said = F.concat_ws(" ", name("o_orderkey"), F.lit("uses"), name("o_custkey"), F.lit("extends"), F.concat(F.lit("Item"), (F.col("o_orderkey") + F.col("o_custkey")) % 5), F.lit("is based on"), F.lower("o_orderpriority"), F.lit("and improves"), name("o_custkey"))
+    return t.orders.select(F.col("o_orderkey").alias("doc_id"), said.alias("text")).unionByName(t.conversations.select((-F.col("conv_id") - 1).alias("doc_id"), "text"))
+
+
+_SAID = "SELECT o_orderkey AS doc_id, concat_ws(' ', 'Item' || o_orderkey % 7, 'uses', 'Item' || o_custkey % 7, 'extends', 'Item' || (o_orderkey + o_custkey) % 5, 'is based on', lower(o_orderpriority), 'and improves', 'Item' || o_custkey % 7) AS text FROM orders UNION ALL SELECT -conv_id - 1, text FROM conversations"
+_STATED = " UNION ALL ".join(f"SELECT doc_id, x, regexp_extract_all(y, '([\\p{{L}}\\p{{N}}_]+) {p} ([\\p{{L}}\\p{{N}}_]+)', 1) AS s, regexp_extract_all(y, '([\\p{{L}}\\p{{N}}_]+) {p} ([\\p{{L}}\\p{{N}}_]+)', 2) AS d, '{r}' AS relation FROM n" for p, r in (("is based on", "based_on"), ("extends", "extends"), ("improves", "improves"), ("uses", "uses")))
+
+
+@query("pattern_relations", f"WITH t AS ({_SAID}), n AS (SELECT doc_id, text AS y, {_NAMES.format(_ASCII.format('text'))} AS x FROM t), p AS ({_STATED}), u AS (SELECT doc_id, x, unnest(s) AS src, relation, unnest(d) AS dst FROM p) SELECT doc_id, src, relation, dst, 0.6::DOUBLE AS confidence FROM u WHERE list_contains(x, src) AND list_contains(x, dst) AND src <> dst")
 def pattern_relations(t):
-    texts = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Order"), F.col("o_custkey") % 50, F.lit(" extends Order"), F.col("o_orderkey") % 50).alias("text"))
-    names = t.nation.select(F.concat(F.lit("Order"), F.col("n_nationkey")).alias("name"))
-    return O.pattern_relations(texts, names).select("doc_id", "src", "relation", "dst")
+    """Relations between entities of the same text, over made phrases and all turns."""
+    return O.pattern_relations(_stated(t))
+
+
+@query("relation_dedup", f"WITH t AS ({_SAID}), n AS (SELECT doc_id, text AS y, {_NAMES.format(_ASCII.format('text'))} AS x FROM t), p AS ({_STATED}), u AS (SELECT doc_id, x, unnest(s) AS src, relation, unnest(d) AS dst FROM p) SELECT lower(src) AS src_key, lower(dst) AS dst_key, relation, min(doc_id) AS doc_id, max(0.6::DOUBLE + doc_id % 3 / 10.0::DOUBLE) AS confidence FROM (SELECT *, max(doc_id % 3) OVER (PARTITION BY lower(src), lower(dst), relation) AS top FROM u WHERE list_contains(x, src) AND list_contains(x, dst) AND src <> dst) WHERE doc_id % 3 = top GROUP BY 1, 2, 3")
+def relation_dedup(t):
+    """Of relations that differ in case only the most confident, of equals the first."""
+    found = O.pattern_relations(_stated(t)).withColumn("confidence", F.col("confidence") + F.col("doc_id") % 3 / F.lit(10.0))
+    best = O.deduplicated(found, ["src", "dst", "relation"], "confidence", "doc_id")
+    return best.select(F.lower("src").alias("src_key"), F.lower("dst").alias("dst_key"), "relation", "doc_id", "confidence")
 
 
-@query("cooccurrence_pairs", "WITH f AS (SELECT l_orderkey AS doc_id, cast(l_partkey % 40 AS VARCHAR) AS name, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2) SELECT a, b, count(*) AS n FROM (SELECT least(x.name, y.name) AS a, greatest(x.name, y.name) AS b FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.pos < y.pos AND y.pos - x.pos <= 3) GROUP BY 1, 2")
+@query("cooccurrence_pairs", f"WITH d AS (SELECT {_ASCII.format('text')} AS x, length(text) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT list_sort(list_distinct({_NAMES.format('substr(x, cast(i * 680 + 1 AS BIGINT), 800)')})) AS names FROM (SELECT x, unnest(range(0, cast(greatest(ceil((n - 800) / 680.0), 0) AS BIGINT) + 1)) AS i FROM d)), p AS (SELECT names, unnest(range(1, len(names) + 1)) AS i FROM c) SELECT a, b, count(*) AS n FROM (SELECT names[i] AS a, unnest(names[i + 1:]) AS b FROM p) GROUP BY 1, 2")
 def cooccurrence_pairs(t):
-    """All pairs of distinct entities of each chunk of the documents. The SQL pairs numbers of lineitem; tested against brute force."""
+    """All pairs of distinct entities of each chunk of the documents."""
     chunks = t.documents.select(F.explode(X.stride_chunks(F.col("text"), 800, 120)).alias("c")).select("c.text")
     return O.cooccurrences(chunks).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
@@ -94,14 +132,17 @@ def html_links(t):
 _T = "list_distinct(list_filter(" + WORDS.format("replace(lower(q), 'ß', 'ss')") + ", lambda x: length(x) > 3))"
 
 
-@query("evidence_scores", f"""WITH p AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS q, max(CASE WHEN turn = 1 THEN text END) AS a FROM conversations GROUP BY 1), s AS (SELECT *, {_T} AS terms FROM p WHERE q IS NOT NULL AND a IS NOT NULL)
-SELECT conv_id, round(0.65 * len(list_filter(terms, lambda x: contains(lower(a), x))) / greatest(len(terms), 1) + 0.35 * least(1.0, length(a) / 4000.0), 4) AS coverage,
-CASE WHEN len(terms) = 0 THEN 1.0 ELSE round(len(list_filter(terms, lambda x: contains(lower(a), x))) / len(terms), 8) END AS completeness, least(1.0, len(regexp_extract_all(a, '\\[[0-9]+\\]')) / 2) AS citations FROM s""")
+@query("evidence_scores", f"""WITH p AS (SELECT q.conv_id, q.turn, q.text AS q, a.text AS a FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND q.text IS NOT NULL AND a.text IS NOT NULL), s AS (SELECT *, {_T} AS terms, list_filter({WORDS.format("replace(lower(a), 'ß', 'ss')")}, lambda x: length(x) > 5) AS said FROM p)
+SELECT conv_id, turn, cast(round(cast(0.65::DOUBLE * len(list_filter(terms, lambda x: contains(lower(a), x))) / greatest(len(terms), 1) + 0.35::DOUBLE * least(1.0, length(a) / 4000.0::DOUBLE) AS DECIMAL(18, 12)), 4) AS DOUBLE) AS coverage,
+CASE WHEN len(terms) = 0 THEN 1.0 ELSE round(len(list_filter(terms, lambda x: contains(lower(a), x))) / len(terms), 8) END AS completeness, CASE WHEN a = '' THEN 0.0 ELSE least(1.0, len(regexp_extract_all(a, '\\[[0-9]+\\]')) / 2) END AS citations,
+CASE WHEN a = '' THEN 1.0 WHEN len(said) = 0 THEN 0.0 ELSE round(len(list_filter(said, lambda x: NOT contains(lower(q), x))) / len(said), 8) END AS unsupported FROM s""")
 def evidence_scores(t):
-    """Scores of a conversation's second turn as an answer to its first."""
-    pairs = t.conversations.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("q"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("a")).where("q IS NOT NULL AND a IS NOT NULL")
-    scored = pairs.withColumn("terms", X.query_terms(F.col("q")))
-    return scored.select("conv_id", X.coverage(F.col("terms"), F.col("a")).alias("coverage"), F.round(X.completeness(F.col("terms"), F.col("a")), 8).alias("completeness"), X.citation_score(F.col("a"), F.lit(2)).alias("citations"))
+    """Scores of each turn after a user's as an answer to it."""
+    c = t.conversations
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    pairs = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q")).join(after, ["conv_id", "turn"]).where("q IS NOT NULL AND a IS NOT NULL")
+    scored, q, a = pairs.withColumn("terms", X.query_terms(F.col("q"))), F.col("q"), F.col("a")
+    return scored.select("conv_id", "turn", X.coverage(F.col("terms"), a).alias("coverage"), F.round(X.completeness(F.col("terms"), a), 8).alias("completeness"), X.citation_score(a, F.lit(2)).alias("citations"), F.round(X.unsupported(a, q), 8).alias("unsupported"))
 
 
 @query("citation_numbers", "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY first, source) AS number, source, snippet FROM (SELECT l_orderkey, cast(l_suppkey AS VARCHAR) AS source, min(l_linenumber) AS first, substr(arg_min(l_returnflag || l_linestatus, (l_linenumber, l_returnflag || l_linestatus)), 1, 180) AS snippet FROM lineitem GROUP BY 1, 2)")

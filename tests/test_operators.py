@@ -79,20 +79,110 @@ def test_as_of_and_interval_join_edges(spark):
     assert interval_join(left.limit(0), right, ["k"], "ts", 60).count() == 0
 
 
-def test_recursive_chunks():
-    assert text.split_recursively("aa bb\ncc", 5) == ["aa bb", "cc"]
-    assert text.split_recursively("abcdefgh", 3) == ["abc", "def", "gh"]
-    assert text.merge_pieces(["aaaa", "bbbb", "cccc"], 10, 2, 4, " ") == ["aaaa bbbb", "bb cccc"]
-    assert text.merge_pieces(["  ", ""], 10, 2, 4) == []
-    long = " ".join(f"word{i}" for i in range(400))
-    assert all(len(c) <= 921 for c in text.merge_pieces(text.split_recursively(long, 800), 800, 120, 120))  # overlap, blank, piece
+ODD_TEXTS = ["", None, " \n\n ", "x" * 2500, "ab " * 900, "a" * 799 + " b" * 900, "one", "\u00a0a\u2003b\u00a0"]
 
 
-def test_sliding_chunks_cover_the_text():
-    words = " ".join(f"w{i}" for i in range(700))
-    chunks = text.sliding_spans(words, 100, 20)
-    assert all(len(c) <= 100 for c in chunks) and {w for c in chunks for w in c.split()} >= set(words.split())
-    assert text.sliding_spans("", 10, 2) == []
+def made_texts():
+    rng = random.Random(2)
+    parts = lambda: ["word ", "w", "longerword ", ". ", "\n", "\n\n", "x" * rng.randrange(1, 50), "é ", "日本", "  "]
+    return ["".join(rng.choice(parts()) for _ in range(rng.choice([3, 50, 400, 900]))) for _ in range(60)] + ODD_TEXTS
+
+
+def chunks_of(spark, how, texts):
+    rows = how(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {i: [r["text"] for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["index"])] for i in range(len(texts))}, rows
+
+
+def test_recursive_chunks(spark):
+    import hashlib
+
+    def runs(x, seps):
+        """Groups as lists of parts, joined at the end."""
+        if len(x) <= 800:
+            return [x]
+        if not seps:
+            return [x[i : i + 800] for i in range(0, len(x), 800)]
+        groups = [[]]
+        for part in x.split(seps[0]):
+            now = seps[0].join(groups[-1])
+            if not now:
+                groups[-1] = [part]
+            elif len(now) + len(seps[0]) + len(part) <= 800:
+                groups[-1].append(part)
+            else:
+                groups.append([part])
+        return [z for g in groups if seps[0].join(g) for z in runs(seps[0].join(g), seps[1:])]
+
+    def want(t):
+        out, now = [], ""
+        for z in filter(None, (x.strip() for x in runs(t or "", ["\n\n", "\n", ". ", " "]))):
+            both = f"{now}\n\n{z}" if now else z
+            if not now or len(both) <= 800:
+                now = both
+            elif len(now) < 120:
+                out.append(both[:800])
+                now = both[680:].strip()
+            else:
+                out.append(now)
+                now = f"{now[-120:]} {z}".strip()
+        return [*out, now] if now else out
+
+    texts = made_texts()
+    got, rows = chunks_of(spark, text.recursive_chunks, texts)
+    assert got == {i: want(t) for i, t in enumerate(texts)}
+    assert all(r["chunk_id"] == "chunk_" + hashlib.sha1(f"{r['doc_id']}:{r['index']}:{r['text']}".encode()).hexdigest() for r in rows)
+
+
+def test_sliding_chunks(spark):
+    from bisect import bisect_left
+
+    def want(t):
+        t = " ".join((t or "").split())
+        blanks, begin, out = [i for i, c in enumerate(t) if c == " "], 0, []
+        while begin < len(t):
+            end = begin + 800
+            k = bisect_left(blanks, end) - 1
+            if end < len(t) and k >= 0 and blanks[k] > begin + 400:
+                end = blanks[k]
+            out.append(t[begin:end].strip())
+            begin = end - 120 if end < len(t) else len(t)
+        return out
+
+    texts = made_texts()
+    got, rows = chunks_of(spark, text.sliding_chunks, texts)
+    assert got == {i: want(t) for i, t in enumerate(texts)} and all(r["chunk_id"] == f"{r['doc_id']}:chunk:{r['index']}" for r in rows)
+
+
+def test_bucket_search_finds_nine_of_ten(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0")
+    hits = lambda df: {(r["qid"], r["id"]) for r in df.collect()}
+    exact = hits(retrieval.vector_top_k(e, q, "vec_id", "embedding", 10, metric="inner"))
+    near = hits(retrieval.bucket_top_k(retrieval.bucket_index(e, "vec_id", "embedding"), q, "vec_id", "embedding", 10))
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert retrieval.bucket_index(e, "vec_id", "embedding").rows.count() == e.count()
+
+
+def test_searches_of_odd_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, None]), (5, [0.0, 0.0]), (6, [1.0, 0.0]), (7, [])], "id long, v array<double>")
+    for found in (retrieval.vector_top_k(rows, rows, "id", "v", 2), retrieval.bucket_top_k(retrieval.bucket_index(rows, "id", "v"), rows, "id", "v", 2)):
+        got = [(r["qid"], r["id"], r["rank"]) for r in found.collect()]
+        assert {(1, 1, 1), (1, 6, 2), (6, 1, 1)} <= set(got) and not {i for q, i, _ in got if q in (1, 5, 6)} & {2, 3, 4, 7}
+    assert retrieval.vector_top_k(rows.limit(0), rows, "id", "v", 2).count() == 0 == retrieval.vector_top_k(rows, rows.limit(0), "id", "v", 2).count()
+    ties = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(1200)], "id long, v array<double>").coalesce(1)
+    assert [r["id"] for r in retrieval.vector_top_k(ties, ties.where("id = 1"), "id", "v", 5).orderBy("rank").collect()] == [1, 3, 5, 7, 9]
+
+
+def test_keywords_are_substrings(spark):
+    docs = spark.createDataFrame([(1, "The Category of cats"), (2, "dog"), (3, None), (4, "concatenate")], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "cat dog cat zebra"), (1, None)], "item_id long, text string")
+    assert {(r["qid"], r["doc_id"]): r["score"] for r in retrieval.keyword_scores(docs, q).collect()} == {(0, 1): 2.0, (0, 2): 1.0, (0, 4): 2.0}
+
+
+def test_pattern_relations_share_ends(spark):
+    docs = spark.createDataFrame([(1, "Alpha uses Beta extends Gamma. Beta uses Beta, Alpha is based on Delta"), (2, "alpha uses Beta"), (3, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["src"], r["relation"], r["dst"]) for r in text.pattern_relations(docs).collect()}
+    assert got == {(1, "Alpha", "uses", "Beta"), (1, "Beta", "extends", "Gamma"), (1, "Alpha", "based_on", "Delta")}
 
 
 def test_hash_embedding_against_python(spark):
@@ -130,7 +220,6 @@ def test_fusion(spark):
     got = {r["doc_id"]: r["score"] for r in retrieval.rrf({"vector": a, "keyword": b}).collect()}
     assert got[11] == pytest.approx(1 / 62 + 1 / 61) and got[10] == pytest.approx(1 / 61)
     assert {r["doc_id"]: r["score"] for r in retrieval.boosted(a, b).collect()} == {10: 0.9, 11: pytest.approx(0.6)}
-    assert retrieval.choose_k(3) == 5 and retrieval.choose_k(20, 9) == 13 and retrieval.plan_query(3)["k"] == 5
 
 
 def test_graph_edges(spark):
