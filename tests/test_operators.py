@@ -206,7 +206,7 @@ def test_vector_search_against_brute_force(spark):
     vs = rng.normal(size=(150, 8))
     vs[7] = 0
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)], "id long, v array<double>").repartition(5)
-    got = retrieval.vector_top_k(df, df.where("id % 20 = 0"), "id", "v", 4, block=3).collect()
+    got = retrieval.vector_top_k(df, df.where("id % 20 = 0"), "id", "v", 4, digits=9).collect()
     n = np.linalg.norm(vs, axis=1, keepdims=True)
     u = vs / np.where(n == 0, 1, n)
     for q in range(0, 150, 20):
