@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import tokens
+from .vectors import let, tokens
 
 
 def collapsed(text: Column) -> Column:
@@ -52,6 +52,57 @@ def html_text(html: Column) -> Column:
     return collapsed(out)
 
 
+#: Tags that begin an element of their own: fixed values of the markup.
+BLOCKS = "h[1-6]|title|p|li|td|th|tr|table|ul|ol|pre|blockquote|figcaption|div|article|section|nav|header|footer|aside|body|br"
+_KIND = {"li": "list_item", "td": "cell", "th": "cell", "p": "paragraph", "pre": "code", "blockquote": "quote", "title": "title", "figcaption": "caption", **{f"h{i}": "heading" for i in range(1, 7)}}
+
+
+def html_elements(html: Column) -> Column:
+    """Array of (pos, kind, level, row, col, text): headings, paragraphs, list items, table cells and the like that have text.
+
+    An element's text goes from its tag to the next block tag, so that missing end tags do no harm. Rows and columns count
+    the cells of all tables of the page, from 1.
+    """
+    clean = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
+    tags = F.transform(F.regexp_extract_all(clean, F.lit(rf"(?i)<(/?(?:{BLOCKS}))\b[^>]*>"), F.lit(1)), F.lower)
+    texts = F.split(clean, rf"(?i)</?(?:{BLOCKS})\b[^>]*>")
+    kinds = F.create_map(*(F.lit(x) for k in _KIND.items() for x in k))
+    cell = lambda a, t: t.isin("td", "th")
+    state = F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), F.array().cast("array<struct<row:int,col:int>>").alias("out"))
+
+    def place(a: Column, t: Column) -> Column:
+        row = F.when(t == "tr", a["row"] + 1).otherwise(a["row"])
+        col = F.when(t == "tr", 0).when(cell(a, t), a["col"] + 1).otherwise(a["col"])
+        here = F.when(cell(a, t), F.struct(row.alias("row"), col.alias("col"))).otherwise(F.struct(F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col")))
+        return F.struct(row.alias("row"), col.alias("col"), F.concat(a["out"], F.array(here)).alias("out"))
+
+    def found(tags: Column, texts: Column, places: Column) -> Column:
+        each = F.transform(tags, lambda t, i: F.struct(i.alias("pos"), F.try_element_at(kinds, t).alias("kind"), F.when(t.rlike("^h[1-6]$"), F.substring(t, 2, 1).cast("int")).alias("level"), F.get(places, i)["row"].alias("row"), F.get(places, i)["col"].alias("col"), html_text(F.get(texts, i + 1)).alias("text")))
+        return F.filter(each, lambda x: x["kind"].isNotNull() & (x["text"] != ""))
+
+    return let(tags, lambda t: let(texts, lambda x: let(F.aggregate(t, state, place, lambda a: a["out"]), lambda p: found(t, x, p))))
+
+
+def markdown_elements(text: Column) -> Column:
+    """Array of (line, kind, level, text): headings, list items, table rows, quotes, code inside fences and paragraphs; blank lines and fences are none."""
+    lines = F.split(text, "\n")
+    fence = lambda s: s.rlike(r"^\s*(```|~~~)")
+    state = F.struct(F.lit(False).alias("open"), F.array().cast("array<boolean>").alias("out"))
+    inside = lambda ls: F.aggregate(ls, state, lambda a, s: F.struct((a["open"] != fence(s)).alias("open"), F.concat(a["out"], F.array(a["open"])).alias("out")), lambda a: a["out"])
+    forms = {"heading": r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t#]*$", "list_item": r"^(\s*)(?:[-*+]|\d+[.)])[ \t]+(.*)$", "row": r"^\s*()\|(.*)\|\s*$", "quote": r"^ {0,3}()>[ \t]?(.*)$"}
+
+    def element(s: Column, code: Column, i: Column) -> Column:
+        kind, body, level = F.when(code, "code"), F.when(code, s), F.when(F.lit(False), 0)
+        for k, form in forms.items():
+            kind, body = kind.when(s.rlike(form), k), body.when(s.rlike(form), F.trim(F.regexp_extract(s, form, 2)))
+            level = level.when(code | ~s.rlike(form), None) if k not in ("heading", "list_item") else level.when(~code & s.rlike(form), F.length(F.regexp_extract(s, form, 1)))
+        return F.struct(i.alias("line"), kind.otherwise("paragraph").alias("kind"), level.otherwise(None).cast("int").alias("level"), body.otherwise(F.trim(s)).alias("text"))
+
+    rule = lambda s: s.rlike(r"^[\s|:-]*$") & s.contains("-")  # noqa: E731  of a table, or a thematic break
+    each = lambda ls, code: F.transform(F.filter(F.transform(ls, lambda s, i: F.struct(s.alias("s"), i.alias("i"), F.get(code, i).alias("c"))), lambda x: ~fence(x["s"]) & (x["c"] | (~rule(x["s"]) & (F.trim(x["s"]) != "")))), lambda x: element(x["s"], x["c"], x["i"]))
+    return let(lines, lambda ls: let(inside(ls), lambda code: each(ls, code)))
+
+
 def html_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)
 

@@ -6,6 +6,8 @@ events are streamed past; no key's events are gathered.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,3 +124,45 @@ def sliding_rate_limit(df: DataFrame, key: str, ts: str, tie: str, most: int, se
     rows = df.select(F.col(key).alias("k"), F.col(tie).alias("id"), F.unix_micros(ts).alias("at"))
     out = rows.repartition("k").sortWithinPartitions("k", "at", "id").mapInArrow(run, f"k {dict(df.dtypes)[key]}, id {dict(df.dtypes)[tie]}, admitted boolean")
     return out.select(F.col("k").alias(key), F.col("id").alias(tie), "admitted")
+
+
+def matches(df: DataFrame, key: str, kind: str, order: list[str], tree: tuple) -> DataFrame:
+    """The keys for which a rule document's tree holds.
+
+    ("event", condition): any event with it. ("threshold", condition, n): n or more. ("absence", condition): none.
+    ("sequence", kinds) and ("sequence", kinds, seconds): the kinds in order, within that time. ("window", condition, n,
+    seconds): n or more in a tumbling window of that length. ("and" | "or", trees...) and ("not", tree) combine them.
+    Conditions are SQL text. Every leaf is one grouped pass; leaves meet on the key.
+    """
+    what, *rest = tree
+    keys = df.select(key).distinct()
+    if what == "and":
+        return reduce(lambda a, b: a.join(b, key, "left_semi"), (matches(df, key, kind, order, t) for t in rest))
+    if what == "or":
+        return reduce(DataFrame.union, (matches(df, key, kind, order, t) for t in rest)).distinct()
+    if what == "not":
+        return keys.join(matches(df, key, kind, order, rest[0]), key, "left_anti")
+    if what == "sequence":
+        return followed_by(df, key, kind, order, rest[0], *rest[1:]).where("matched").select(key)
+    hits = F.count_if(F.expr(rest[0]))
+    if what == "window":
+        at = F.floor(F.unix_micros(order[0]) / (rest[2] * 1_000_000))
+        return df.groupBy(key, at.alias("_window")).agg(hits.alias("_n")).where(F.col("_n") >= rest[1]).select(key).distinct()
+    least = {"event": lambda n: n >= 1, "absence": lambda n: n == 0, "threshold": lambda n: n >= rest[1]}
+    if what not in least:
+        raise ValueError(f"no rule {what!r}")
+    return df.groupBy(key).agg(hits.alias("_n")).where(least[what](F.col("_n"))).select(key)
+
+
+def one_by_one(df: DataFrame, key: str, order: list[str], failed: Column, stop: bool = True) -> DataFrame:
+    """key, total, completed, failed of items run in order; with ``stop`` nothing runs after the first failure.
+
+    The first failure is a grouped minimum, so no key's items are sorted or gathered.
+    """
+    at = F.struct(*order)
+    items = df.select(key, at.alias("_at"), F.coalesce(failed, F.lit(True)).alias("_failed"))
+    if not stop:
+        return items.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("_failed")).alias("completed"), F.count_if("_failed").alias("failed"))
+    first = items.where("_failed").groupBy(key).agg(F.min("_at").alias("_first"))
+    ran = items.join(first, key, "left")
+    return ran.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("_first").isNull() | (F.col("_at") < F.col("_first"))).alias("completed"), F.max(F.when(F.col("_first").isNotNull(), 1).otherwise(0)).cast("long").alias("failed"))

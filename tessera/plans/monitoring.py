@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import query, small
-from ..functions.predicates import OPERATORS, condition, constraint, rule
+from ..functions.predicates import CELL_IS, DAYS, FORMATS, OPERATORS, PERIODS, cell_format, condition, constraint, dynamic_filter, icon, key_violations, rule, scaled
 from ..operators import monitoring as M
+from ..operators import patterns as P
 
 OPS = {
     "eq": ("event_type", "eq", "click"), "neq": ("event_type", "neq", "click"), "gt": ("value", "gt", 50), "gte": ("value", "gte", 50), "lt": ("value", "lt", 10), "lte": ("value", "lte", 10),
@@ -203,14 +204,43 @@ def sheet_value_and_custom_filters(t):
     return t.part.where(F.col("p_size").isin(1, 5, 9) | ((F.col("p_retailprice") >= 950) & (F.col("p_retailprice") < 960)) | F.col("p_name").like("red%")).select("p_partkey")
 
 
-@query("sheet_dynamic_filters", "SELECT o_orderkey, o_totalprice > (SELECT avg(o_totalprice) FROM orders) AS above_average, date_trunc('month', o_orderdate) = date_trunc('month', (SELECT max(o_orderdate) FROM orders)) AS this_month, date_trunc('month', o_orderdate) = date_trunc('month', (SELECT max(o_orderdate) FROM orders)) - INTERVAL 1 MONTH AS last_month, date_trunc('year', o_orderdate) = date_trunc('year', (SELECT max(o_orderdate) FROM orders)) AS this_year, quarter(o_orderdate) = 2 AS second_quarter FROM orders")
+_NOW = "TIMESTAMP '1998-05-17 12:00:00'"
+_SHIFT = {"week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH", "year": "INTERVAL 1 YEAR"}
+_DYNAMIC = {k: f"date_trunc('{u}', o_orderdate) = date_trunc('{u}', {_NOW}) + {n} * {_SHIFT[u]}" for k, (u, n) in PERIODS.items()}
+_DYNAMIC |= {k: f"date_trunc('day', o_orderdate) = date_trunc('day', {_NOW}) + {n} * INTERVAL 1 DAY" for k, n in DAYS.items()}
+_DYNAMIC |= {"yearToDate": f"date_trunc('year', o_orderdate) = date_trunc('year', {_NOW}) AND o_orderdate <= {_NOW}", "aboveAverage": "o_totalprice > (SELECT avg(o_totalprice) FROM orders)", "belowAverage": "o_totalprice < (SELECT avg(o_totalprice) FROM orders)"}
+
+
+@query("sheet_dynamic_filters", "SELECT o_orderkey, " + ", ".join(f"{e} AS {k}" for k, e in _DYNAMIC.items()) + " FROM orders")
 def sheet_dynamic_filters(t):
-    """Filters relative to the column or to a clock; the clock is the last order's date."""
-    known = t.orders.agg(F.avg("o_totalprice").alias("mean"), F.max("o_orderdate").alias("now"))  # one row
-    d, now = F.col("o_orderdate"), F.col("now")
-    return t.orders.crossJoin(F.broadcast(known)).select(
-        "o_orderkey", (F.col("o_totalprice") > F.col("mean")).alias("above_average"), (F.trunc(d, "month") == F.trunc(now, "month")).alias("this_month"),
-        (F.trunc(d, "month") == F.add_months(F.trunc(now, "month"), -1)).alias("last_month"), (F.trunc(d, "year") == F.trunc(now, "year")).alias("this_year"), (F.quarter(d) == 2).alias("second_quarter"),
+    """All filters relative to a clock or to the column's average."""
+    known = t.orders.agg(F.avg("o_totalprice").alias("mean"))  # one row
+    now = F.lit("1998-05-17 12:00:00").cast("timestamp")
+    value = lambda k: F.col("o_totalprice" if k.endswith("Average") else "o_orderdate")
+    return t.orders.crossJoin(F.broadcast(known)).select("o_orderkey", *(dynamic_filter(k, value(k), now, F.col("mean")).alias(k) for k in _DYNAMIC))
+
+
+_CELL = {"lessThan": "v < 950", "lessThanOrEqual": "v <= 950", "greaterThan": "v > 950", "greaterThanOrEqual": "v >= 950", "equal": "v = 950", "notEqual": "v <> 950", "between": "v BETWEEN 900 AND 950", "notBetween": "v NOT BETWEEN 900 AND 950"}
+_FORMAT = {
+    "containsText": "contains(s, 'ring')", "notContainsText": "NOT contains(s, 'ring')", "beginsWith": "starts_with(s, 'small')", "endsWith": "ends_with(s, 'ring')", "containsBlanks": "s IS NULL OR trim(s) = ''", "notContainsBlanks": "NOT (s IS NULL OR trim(s) = '')",
+    "containsErrors": "s IN ('#DIV/0!', '#N/A')", "notContainsErrors": "NOT coalesce(s IN ('#DIV/0!', '#N/A'), false)",
+}
+_CELLS = "SELECT p_partkey, CASE WHEN p_size % 9 <> 0 THEN p_retailprice END AS v, CASE p_size % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN '#DIV/0!' WHEN 3 THEN '#N/A' ELSE p_name END AS s FROM part"
+
+
+@query("conditional_formats_of_cells", "SELECT p_partkey, " + ", ".join(f"coalesce({e}, false) AS {k}" for k, e in (_CELL | _FORMAT).items()) + f", coalesce(p_partkey % 2 = 0 AND v > 900, false) AS expression, coalesce(v > (SELECT avg(v) FROM c), false) AS above, count(*) OVER (PARTITION BY v) = 1 AS unique_, round(coalesce((v - (SELECT min(v) FROM c)) / (SELECT max(v) - min(v) FROM c), 0), 8) AS bar, cast(least(2, floor(coalesce((v - (SELECT min(v) FROM c)) / (SELECT max(v) - min(v) FROM c), 0) * 3)) AS INTEGER) AS icon FROM ({_CELLS}) c".replace("FROM c)", f"FROM ({_CELLS}))"))
+def conditional_formats_of_cells(t):
+    """Every format of a cell by itself, and those relative to the column: averages, unique values, bars and icons."""
+    size = F.col("p_size") % 6
+    c = t.part.select("p_partkey", F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice")).alias("v"), F.when(size == 0, None).when(size == 1, "  ").when(size == 2, "#DIV/0!").when(size == 3, "#N/A").otherwise(F.col("p_name")).alias("s"))
+    known = c.agg(F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))  # one row
+    once = c.groupBy("v").agg((F.count(F.lit(1)) == 1).alias("unique_")).withColumnRenamed("v", "of")
+    v, s, args = F.col("v"), F.col("s"), {"between": (900, 950), "notBetween": (900, 950)}
+    words = {"containsText": "ring", "notContainsText": "ring", "beginsWith": "small", "endsWith": "ring"}
+    return c.crossJoin(F.broadcast(known)).join(once, v.eqNullSafe(F.col("of"))).select(
+        "p_partkey", *(cell_format("cellIs", v, k, *args.get(k, (950,))).alias(k) for k in CELL_IS), *(cell_format(k, s, *([words[k]] if k in words else [])).alias(k) for k in FORMATS),
+        cell_format("expression", v, "p_partkey % 2 = 0 AND v > 900").alias("expression"), dynamic_filter("aboveAverage", v, mean=F.col("mean")).alias("above"), "unique_",
+        F.round(scaled(v, F.col("low"), F.col("high")), 8).alias("bar"), icon(v, F.col("low"), F.col("high")).alias("icon"),
     )
 
 
@@ -240,6 +270,33 @@ def constraint_report(t):
     return counted.unpivot([], list(rules), "rule", "failed")
 
 
+_ROWS = {
+    "not_null": (("not_null", "p_odd"), "p_size % 8 = 0"), "length": (("length", "p_brand", 8), "length(p_brand) <> 8"), "min_inclusive": (("min_inclusive", "p_size", 3), "p_size < 3"), "max_inclusive": (("max_inclusive", "p_size", 40), "p_size > 40"),
+    "min_exclusive": (("min_exclusive", "p_size", 3), "p_size <= 3"), "max_exclusive": (("max_exclusive", "p_size", 40), "p_size >= 40"), "total_digits": (("total_digits", "p_size", 1), "p_size > 9"),
+    "fraction_digits": (("fraction_digits", "p_cents", 1), "p_partkey % 10 <> 0"), "white_space": (("white_space", "p_loose", "collapse"), "p_size % 4 = 0"), "must": (("must", "p_size", "p_size > 5"), "p_size <= 5"),
+    "when": (("when", "p_size", "p_size > 30", "p_retailprice > 950"), "p_size > 30 AND p_retailprice <= 950"), "some_values_from": (("some_values_from", "p_words", "red", "ring"), "NOT list_has_any(string_split(p_name, ' '), ['red', 'ring'])"),
+    "all_values_from": (("all_values_from", "p_words", "small", "ring"), "NOT list_has_all(['small', 'ring'], string_split(p_name, ' '))"), "min_cardinality": (("min_cardinality", "p_words", 2), "len(string_split(p_name, ' ')) < 2"), "positive": (("positive", "p_size"), "p_size <= 0"),
+    "multiple_of": (("multiple_of", "p_size", 5), "p_size % 5 <> 0"), "enum": (("enum", "p_brand", "Brand#11", "Brand#12"), "p_brand NOT IN ('Brand#11', 'Brand#12')"),
+}
+
+
+@query("constraints_of_rows", " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({w}) AS failed FROM part" for n, (_, w) in _ROWS.items()))
+def constraints_of_rows(t):
+    """Failures of each constraint of a row, in one pass."""
+    rows = t.part.withColumns({"p_cents": F.format_string("%d.%02d", F.col("p_size"), F.col("p_partkey") % 100), "p_odd": F.when(F.col("p_size") % 8 != 0, F.col("p_name")), "p_loose": F.when(F.col("p_size") % 4 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.col("p_name")), "p_words": F.split("p_name", " ")})
+    counted = rows.agg(*(F.count_if(~constraint(*c)).alias(n) for n, (c, _) in _ROWS.items()))
+    return counted.unpivot([], list(_ROWS), "rule", "failed")
+
+
+@query("constraints_of_tables", "SELECT 'primary_key' AS rule, count(*) AS n FROM (SELECT l_orderkey, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT 'unique', count(*) FROM (SELECT c_nationkey, c_mktsegment FROM customer GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT 'foreign_key', count(DISTINCT c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def constraints_of_tables(t):
+    counted = lambda name, df: df.agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("n"))
+    return (
+        counted("primary_key", key_violations(t.lineitem, "primary_key", ["l_orderkey", "l_partkey"])).unionByName(counted("unique", key_violations(t.customer, "unique", ["c_nationkey", "c_mktsegment"])))
+        .unionByName(counted("foreign_key", key_violations(t.customer, "foreign_key", ["c_custkey"], t.orders, ["o_custkey"])))
+    )
+
+
 @query("duplicate_and_dangling_keys", "SELECT 'duplicate' AS problem, count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT 'dangling', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def duplicate_and_dangling_keys(t):
     twice = t.lineitem.groupBy("l_orderkey", "l_linenumber").count().where("count > 1").agg(F.lit("duplicate").alias("problem"), F.count(F.lit(1)).alias("n"))
@@ -263,9 +320,41 @@ def gateway_inclusive(t):
     return t.orders.select("o_orderkey", F.explode(F.when(F.size(taken) > 0, taken).otherwise(F.array(F.lit("default")))).alias("branch"))
 
 
-@query("gateway_parallel", "SELECT n_nationkey, b.branch FROM nation, (VALUES ('left'), ('right')) b(branch)")
+@query("gateway_parallel", "SELECT o_orderkey, b.branch, b.no, o_totalprice * b.part AS amount FROM orders, (VALUES ('ship', 0, 0.75), ('bill', 1, 0.25)) b(branch, no, part)")
 def gateway_parallel(t):
-    return t.nation.select("n_nationkey", F.explode(F.array(F.lit("left"), F.lit("right"))).alias("branch"))
+    """All branches, each with its own mapping of the row."""
+    p = F.col("o_totalprice")
+    branches = F.array(F.struct(F.lit("ship").alias("branch"), (p * 0.75).alias("amount")), F.struct(F.lit("bill").alias("branch"), (p * 0.25).alias("amount")))
+    return t.orders.select("o_orderkey", F.posexplode(branches).alias("no", "b")).select("o_orderkey", "b.branch", "no", "b.amount")
+
+
+@query("gateway_event", "SELECT user_id, arg_min(event_type, (ts, event_id)) AS branch FROM events WHERE event_type IN ('purchase', 'error') AND value > 30 GROUP BY 1")
+def gateway_event(t):
+    """The branch of the event that comes first of those that are waited for."""
+    return t.events.where("event_type IN ('purchase', 'error') AND value > 30").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("branch"))
+
+
+@query("gateway_complex", "SELECT user_id, (max(CASE WHEN event_type = 'purchase' AND value > 90 THEN 1 ELSE 0 END) + max(CASE WHEN event_type = 'signup' AND value > 50 THEN 1 ELSE 0 END) + max(CASE WHEN event_type = 'error' AND value > 70 THEN 1 ELSE 0 END)) >= 2 AS active FROM events GROUP BY 1")
+def gateway_complex(t):
+    """Active when two of three branches have arrived."""
+    arrived = lambda kind, least: F.max(F.when((F.col("event_type") == kind) & (F.col("value") > least), 1).otherwise(0))
+    return t.events.groupBy("user_id").agg(((arrived("purchase", 90) + arrived("signup", 50) + arrived("error", 70)) >= 2).alias("active"))
+
+
+@query("loop_stop_on_failure", "SELECT o_custkey, count(*) AS total, count(*) FILTER (first IS NULL OR (o_orderdate, o_orderkey) < first) AS completed, max(CASE WHEN first IS NULL THEN 0 ELSE 1 END)::BIGINT AS failed FROM orders LEFT JOIN (SELECT o_custkey, min((o_orderdate, o_orderkey)) AS first FROM orders WHERE o_totalprice > 300000 GROUP BY 1) USING (o_custkey) GROUP BY 1")
+def loop_stop_on_failure(t):
+    """Items one by one until one fails."""
+    return P.one_by_one(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_totalprice") > 300000)
+
+
+_LEAF = "(SELECT user_id FROM events WHERE {} GROUP BY 1 HAVING count(*) >= {})"
+
+
+@query("rule_trees", f"SELECT DISTINCT user_id FROM events WHERE user_id IN {_LEAF.format(chr(39).join(['event_type = ', 'purchase', ' AND value > 60']), 1)} AND (user_id IN {_LEAF.format(chr(39).join(['event_type = ', 'error', '']), 12)} OR user_id NOT IN {_LEAF.format('value > 130', 1)}) AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' GROUP BY user_id, epoch_us(ts) // 86400000000 HAVING count(*) >= 3)")
+def rule_trees(t):
+    """And, or, not, thresholds, absence and windows of a rule document."""
+    tree = ("and", ("event", "event_type = 'purchase' AND value > 60"), ("or", ("threshold", "event_type = 'error'", 12), ("absence", "value > 130")), ("not", ("window", "event_type = 'signup'", 3, 86400)))
+    return P.matches(t.events, "user_id", "event_type", ["ts", "event_id"], tree)
 
 
 @query("sentry_ready_cases", "SELECT user_id, count(DISTINCT event_type) FILTER (event_type IN ('signup', 'purchase')) = 2 AND max(value) > 100 AS ready FROM events GROUP BY 1")

@@ -129,6 +129,29 @@ def html_links(t):
     return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
 
 
+_TAG = f"(?:{X.BLOCKS})"
+_CLEAN = "regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g')"
+_PLAIN = "regexp_replace(x, '<[^>]*>', ' ', 'g')"
+for _n, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_n}', '{_c}')"
+
+
+@query("html_elements", f"""WITH c AS (SELECT page_id, {_CLEAN} AS h FROM pages), t AS (SELECT page_id, regexp_extract_all(h, '(?i)<(/?{_TAG})\\b[^>]*>', 1) AS tags, regexp_split_to_array(h, '(?i)</?{_TAG}\\b[^>]*>') AS texts FROM c),
+e AS (SELECT page_id, i AS pos, lower(tags[i + 1]) AS tag, texts[i + 2] AS x FROM (SELECT *, unnest(range(0, len(tags))) AS i FROM t)), k AS (SELECT page_id, pos, tag, trim(regexp_replace({_PLAIN}, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM e)
+SELECT page_id, cast(pos AS INTEGER) AS pos, CASE WHEN tag[1] = 'h' THEN 'heading' WHEN tag = 'p' THEN 'paragraph' WHEN tag = 'li' THEN 'list_item' WHEN tag = 'title' THEN 'title' WHEN tag IN ('td', 'th') THEN 'cell' WHEN tag = 'pre' THEN 'code' WHEN tag = 'blockquote' THEN 'quote' ELSE 'caption' END AS kind, CASE WHEN tag[1] = 'h' THEN cast(tag[2] AS INTEGER) END AS level, text FROM k WHERE text <> '' AND regexp_full_match(tag, 'h[1-6]|p|li|title|td|th|pre|blockquote|figcaption')""")
+def html_elements(t):
+    """Headings, paragraphs, list items and the like of every page, in order."""
+    return t.pages.select("page_id", F.explode(X.html_elements(F.col("html"))).alias("e")).select("page_id", "e.pos", "e.kind", "e.level", "e.text")
+
+
+@query("markdown_elements", "SELECT c_custkey, k.line, k.kind, CASE k.kind WHEN 'heading' THEN cast(c_nationkey % 6 + 1 AS INTEGER) WHEN 'list_item' THEN k.line - 3 END AS level, CASE k.line WHEN 0 THEN c_name WHEN 2 THEN 'Plain *text* of ' || c_custkey WHEN 3 THEN c_mktsegment WHEN 5 THEN '# code ' || c_name WHEN 8 THEN c_name || ' | ' || c_nationkey WHEN 10 THEN 'said ' || c_custkey END AS text FROM customer, (VALUES (0, 'heading'), (2, 'paragraph'), (3, 'list_item'), (5, 'code'), (8, 'row'), (10, 'quote')) k(line, kind)")
+def markdown_elements(t):
+    """Lines of made Markdown by kind."""
+    hashes = F.repeat(F.lit("#"), F.col("c_nationkey") % 6 + 1)
+    lines = F.concat_ws("\n", F.concat_ws(" ", hashes, "c_name", F.lit("##")), F.lit(""), F.concat(F.lit("Plain *text* of "), "c_custkey"), F.concat(F.lit("- "), "c_mktsegment"), F.lit("```sql"), F.concat(F.lit("# code "), "c_name"), F.lit("```"), F.lit(" "), F.concat(F.lit("| "), "c_name", F.lit(" | "), "c_nationkey", F.lit(" |")), F.lit("|---|:-:|"), F.concat(F.lit("> said "), "c_custkey"))
+    return t.customer.select("c_custkey", F.explode(X.markdown_elements(lines)).alias("e")).select("c_custkey", "e.line", "e.kind", "e.level", "e.text")
+
+
 _T = "list_distinct(list_filter(" + WORDS.format("replace(lower(q), 'ß', 'ss')") + ", lambda x: length(x) > 3))"
 
 
