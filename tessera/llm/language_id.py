@@ -187,7 +187,9 @@ def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], id_col:
                 scores += s
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return rows.withColumn("p", predict("t")).select("doc_id", "p.lang_pred", "p.score", *(["row"] if carry else []))
+    # Called non-deterministic so that a filter on the prediction doesn't have every text parsed twice, by a second Python worker.
+    once = predict.asNondeterministic()
+    return rows.withColumn("p", once("t")).select("doc_id", "p.lang_pred", "p.score", *(["row"] if carry else []))
 
 
 def op2_language_id(spark, sf_dir) -> DataFrame:
