@@ -19,6 +19,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -210,19 +211,16 @@ class Codec:
     def _learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk, in runs of bounded size; an empty chunk has none."""
         out = [b""] * len(chunks)
-        most = self.indexed if self.longest < 63 else max(map(len, chunks), default=0)  # a bit for each length of a piece
-        if self.kind == BPE:
-            short = [i for i, c in enumerate(chunks) if 0 < len(c) <= LONG]
-            rest = [i for i, c in enumerate(chunks) if LONG < len(c) <= most]
-        else:
-            short, rest = [], [i for i, c in enumerate(chunks) if 0 < len(c) <= most]
-        for i, c in enumerate(chunks):
-            if len(c) > most:
-                out[i] = self._learn_long(c)
-        for which, together in ((short, True), (rest, False)):
-            texts = [chunks[i] for i in which]
-            for at, end in slices(texts, self.indexed):
-                for i, ids in zip(which[at:end], (self._merge_all if together else self._one_by_one)(texts[at:end]), strict=True):
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        most = self.indexed if self.longest < 63 else int(sizes.max(initial=0))  # a bit for each length of a piece
+        together = LONG if self.kind == BPE else 0
+        for i in np.flatnonzero(sizes > most).tolist():
+            out[i] = self._learn_long(chunks[i])
+        for which, how in ((np.flatnonzero((sizes > 0) & (sizes <= together)), self._merge_all), (np.flatnonzero((sizes > together) & (sizes <= most)), self._one_by_one)):
+            runs = np.cumsum(sizes[which]) // self.indexed
+            for run in np.split(which, np.flatnonzero(np.diff(runs)) + 1) if len(which) else []:
+                own = run.tolist()
+                for i, ids in zip(own, how([chunks[i] for i in own]), strict=True):
                     out[i] = ids
         return out
 
@@ -491,9 +489,9 @@ class Codec:
         """The ids of each text as little-endian int32. Texts of up to RUN characters are looked up together, longer ones run by run."""
         short = [i for i, t in enumerate(texts) if len(t) <= RUN]
         out = [b""] * len(texts)
-        for at, end in slices([texts[i] for i in short]):
+        for at, end in slices([texts[i] for i in short], 5 * self.memo):
             which = short[at:end]
-            for i, ids in zip(which, self._looked_up([[k for run in self._keys(texts[i]) for k in run] for i in which]), strict=True):
+            for i, ids in zip(which, self._looked_up([list(chain.from_iterable(self._keys(texts[i]))) for i in which]), strict=True):
                 out[i] = ids
         for i, t in enumerate(texts):
             if len(t) > RUN:
