@@ -261,3 +261,56 @@ def test_event_clusters_are_stable(spark):
 
     df = spark.createDataFrame([("a", "1"), ("b", None)], "k string, v string")
     assert [r["cluster"] for r in mining.event_clusters(df, ["k", "v"], 5).collect()] == [zlib.crc32(b"a|1") % 5, zlib.crc32(b"b") % 5]
+
+
+def test_tensor_functions_against_numpy(spark):
+    import numpy as np
+
+    from tessera.functions import tensors as X
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=12)
+    steps = rng.normal(size=(3, 2))
+    w3, u3, b3 = rng.normal(size=(6, 2)), rng.normal(size=(6, 2)), rng.normal(size=6)
+    w4, u4, b4 = rng.normal(size=(8, 2)), rng.normal(size=(8, 2)), rng.normal(size=8)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h = np.zeros(2)
+    for s in steps:
+        z, r = sig(w3[:2] @ s + u3[:2] @ h + b3[:2]), sig(w3[2:4] @ s + u3[2:4] @ h + b3[2:4])
+        n = np.tanh(w3[4:] @ s + u3[4:] @ (r * h) + b3[4:])
+        h = z * h + (1 - z) * n
+    k = c = np.zeros(2)
+    for s in steps:
+        i, o, f, g = (w4[2 * q : 2 * q + 2] @ s + u4[2 * q : 2 * q + 2] @ k + b4[2 * q : 2 * q + 2] for q in range(4))
+        c = sig(f) * c + sig(i) * np.tanh(g)
+        k = sig(o) * np.tanh(c)
+    groups = np.concatenate([(p - p.mean()) / np.sqrt(p.var() + 1e-5) for p in x.reshape(3, 4)])
+    df = spark.createDataFrame([([float(v) for v in x], [[float(v) for v in s] for s in steps])], "x array<double>, s array<array<double>>")
+    as_list = lambda m: m.tolist()
+    got = df.select(
+        X.gru(F.col("s"), as_list(w3), as_list(u3), as_list(b3)).alias("gru"), X.lstm(F.col("s"), as_list(w4), as_list(u4), as_list(b4)).alias("lstm"), X.group_normalization(F.col("x"), 3).alias("groups"),
+        X.batch_normalization(F.col("x"), as_list(np.arange(12) / 7), as_list(1 + np.arange(12.0))).alias("batch"), X.dft(F.col("x")).alias("dft"), X.determinant(X.reshaped(F.slice("x", 1, 9), 3), 3).alias("det"),
+        X.negative_log_likelihood(X.log_softmax(F.col("x")), F.lit(2)).alias("nll"), X.dynamic_quantize_linear(F.col("x"))["values"].alias("bytes"),
+    ).first()
+    assert got["gru"] == pytest.approx(h.tolist()) and got["lstm"] == pytest.approx(k.tolist()) and got["groups"] == pytest.approx(groups.tolist())
+    assert got["batch"] == pytest.approx(((x - np.arange(12) / 7) / np.sqrt(1 + np.arange(12.0) + 1e-5)).tolist())
+    assert [complex(r["re"], r["im"]) for r in got["dft"]] == pytest.approx(np.fft.fft(x).tolist())
+    assert got["det"] == pytest.approx(np.linalg.det(x[:9].reshape(3, 3))) and got["nll"] == pytest.approx(float(np.log(np.exp(x).sum()) - x[2]))
+    scale = (max(x.max(), 0) - min(x.min(), 0)) / 255
+    assert got["bytes"] == [int(v) for v in np.clip(np.rint(x / scale) + np.rint(-min(x.min(), 0) / scale), 0, 255)]
+
+
+def test_html_tables_and_missing_end_tags(spark):
+    from tessera.functions.text import html_elements, markdown_elements
+
+    html = "<h2 class=a>Head &amp; <b>more</b></h2><p>one<p>two<table><tr><th>A</th><th>B</th></tr><tr><td>1<td>2</tr></table><script>var p='<p>x'</script><ul><li>x<li></ul><pre>code</pre>"
+    got = spark.createDataFrame([(1, html), (2, None), (3, "plain")], "id long, html string").select("id", F.explode(html_elements(F.col("html"))).alias("e")).collect()
+    assert [(r["id"], r["e"]["kind"], r["e"]["level"], r["e"]["row"], r["e"]["col"], r["e"]["text"]) for r in got] == [
+        (1, "heading", 2, None, None, "Head & more"), (1, "paragraph", None, None, None, "one"), (1, "paragraph", None, None, None, "two"), (1, "cell", None, 1, 1, "A"), (1, "cell", None, 1, 2, "B"),
+        (1, "cell", None, 2, 1, "1"), (1, "cell", None, 2, 2, "2"), (1, "list_item", None, None, None, "x"), (1, "code", None, None, None, "code"),
+    ]
+    md = "# Top #\n\ntext\n  * item\n3. three\n```py\n# no heading\n\n- no item\n```\n|a|b|\n|---|---|\n> said\n---"
+    got = spark.createDataFrame([(md,)], "t string").select(F.explode(markdown_elements(F.col("t"))).alias("e")).collect()
+    assert [(r["e"]["line"], r["e"]["kind"], r["e"]["level"], r["e"]["text"]) for r in got] == [
+        (0, "heading", 1, "Top"), (2, "paragraph", None, "text"), (3, "list_item", 2, "item"), (4, "list_item", 0, "three"), (6, "code", None, "# no heading"), (7, "code", None, ""), (8, "code", None, "- no item"), (10, "row", None, "a|b"), (12, "quote", None, "said"),
+    ]
