@@ -136,8 +136,8 @@ class Codec:
 
     def _packed(self, text: np.ndarray):
         """Suffix array and piece ranges where characters fit a byte and pieces 16 characters: suffixes are ranked by 8 and then by 16."""
-        codes = np.unique(text)
-        if len(codes) > 254 or self.longest > 16 or int(codes[-1]) >= len(UNICODE):
+        codes = np.flatnonzero(np.bincount(text))
+        if len(codes) > 254 or self.longest > 16:
             return None
         n = len(text)
         to = np.zeros(len(UNICODE), dtype=np.uint64)
@@ -213,17 +213,26 @@ class Codec:
         out = [b""] * len(chunks)
         sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
         most = self.indexed if self.longest < 63 else int(sizes.max(initial=0))  # a bit for each length of a piece
-        together = LONG if self.kind == BPE else 0
         for i in np.flatnonzero(sizes > most).tolist():
             out[i] = self._learn_long(chunks[i])
-        for which, how in ((np.flatnonzero((sizes > 0) & (sizes <= together)), self._merge_all), (np.flatnonzero((sizes > together) & (sizes <= most)), self._one_by_one)):
-            runs = np.cumsum(sizes[which]) // self.indexed
-            for run in np.split(which, np.flatnonzero(np.diff(runs)) + 1) if len(which) else []:
-                own = run.tolist()
-                for i, ids in zip(own, how([chunks[i] for i in own]), strict=True):
-                    out[i] = ids
+        which = np.flatnonzero((sizes > 0) & (sizes <= most))
+        runs = np.cumsum(sizes[which]) // self.indexed
+        for run in np.split(which, np.flatnonzero(np.diff(runs)) + 1) if len(which) else []:
+            own = run[np.argsort(sizes[run] > LONG, kind="stable")].tolist()  # those merged together come first
+            for i, ids in zip(own, self._learn_run([chunks[i] for i in own], int((sizes[run] <= LONG).sum())), strict=True):
+                out[i] = ids
         return out
 
+    def _learn_run(self, chunks: list[str], short: int) -> list[bytes]:
+        """Ids of chunks that are indexed together, the first ``short`` of which are no longer than LONG."""
+        starts, table = self.edges(chunks)
+        if self.kind == BPE:
+            done, relax = self._merge_all(chunks[:short], starts[:short], table) if short else [], self._merge
+        else:
+            done, relax = [], self._best
+        left = zip(chunks[len(done) :], starts[len(done) :].tolist(), strict=True)
+        return done + [np.array(relax(c, table[a : a + len(c)]), dtype=np.int32).tobytes() for c, a in left]
+
     def _learn_long(self, chunk: str) -> bytes:
         """Ids of a chunk longer than what is indexed at a time, cut where no edge reaches over: nothing on one side of such a place bears on the other."""
         lengths, reach, cuts = np.zeros(len(chunk), dtype=np.uint64), 0, array("q", [0])
@@ -254,14 +263,8 @@ class Codec:
                 size += b - a
         return bytes(out + b"".join(self._learn(held)))
 
-    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
-        starts, table = self.edges(chunks)
-        relax = self._merge if self.kind == BPE else self._best
-        return [np.array(relax(c, table[a : a + len(c)]), dtype=np.int32).tobytes() for c, a in zip(chunks, starts.tolist(), strict=True)]
-
-    def _merge_all(self, chunks: list[str]) -> list[bytes]:
+    def _merge_all(self, chunks: list[str], starts: np.ndarray, table: np.ndarray) -> list[bytes]:
         """Merges in all chunks in step: in each round every chunk merges its best pair, the leftmost of equals."""
-        starts, table = self.edges(chunks)
         sizes = np.array([len(c) for c in chunks])
         width, flat = self.longest + 1, table.ravel()
         begin = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
@@ -485,13 +488,17 @@ class Codec:
             at = cut + 1
         yield (text[at:] if at else text).replace("\n", " \0").split(" ")
 
+    def _all_keys(self, text: str) -> list[str]:
+        runs = list(self._keys(text))
+        return runs[0] if len(runs) == 1 else list(chain.from_iterable(runs))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian int32. Texts of up to RUN characters are looked up together, longer ones run by run."""
         short = [i for i, t in enumerate(texts) if len(t) <= RUN]
         out = [b""] * len(texts)
         for at, end in slices([texts[i] for i in short], 5 * self.memo):
             which = short[at:end]
-            for i, ids in zip(which, self._looked_up([list(chain.from_iterable(self._keys(texts[i]))) for i in which]), strict=True):
+            for i, ids in zip(which, self._looked_up([self._all_keys(texts[i]) for i in which]), strict=True):
                 out[i] = ids
         for i, t in enumerate(texts):
             if len(t) > RUN:
