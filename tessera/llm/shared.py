@@ -39,6 +39,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A side is broadcast only if the bytes of its rows, added up, are at most this.
+BROADCAST_BYTES = 32 << 20
+
+
+def checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with a broadcast hint if the bytes of its rows, added up, allow it; else as it is, and Spark shuffles."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes), F.lit(16))
+    return F.broadcast(df) if (df.select(F.sum(width.cast("long")).alias("n")).first()["n"] or 0) <= limit else df
+
+
 def text_of(column: str = "text") -> Column:
     """The text as a string, empty for null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
