@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, quality_rules, secrets, sentencepiece_codec, spelling, token_counts
+from . import divergence, exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, quality_rules, repeats, secrets, sentencepiece_codec, spelling, token_counts
 
 QUERIES = {
     "op1_near_duplicates": near_dedup.op1_near_duplicates,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packed_tokens": packing.op9_packed_tokens,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_repeated_bytes": repeats.op12_repeated_bytes,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 SQL = {

@@ -298,5 +298,5 @@ def test_small_sources_meet_their_targets(spark):
 
 
 def test_every_query_is_tested_here():
-    assert set(QUERIES) == {f"op{n}_{x}" for n, x in enumerate(["near_duplicates", "language_id", "lm_scores", "exact_dedup", "scan_secrets", "token_counts", "quality_rules", "sentencepiece", "packed_tokens", "mix_sources", "source_divergence"], 1)} | {"op13_spelling_variants"}
+    assert set(QUERIES) == {f"op{n}_{x}" for n, x in enumerate(["near_duplicates", "language_id", "lm_scores", "exact_dedup", "scan_secrets", "token_counts", "quality_rules", "sentencepiece", "packed_tokens", "mix_sources", "source_divergence", "repeated_bytes", "spelling_variants"], 1)}
     assert zlib.crc32(b"7") % 4 == brute.crc(7, 4)
