@@ -137,29 +137,30 @@ def learn_samples(train: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(language, normalised training text) of every label that occurs with a text, ordered by language.
 
     ``train_bytes`` bounds the sample of a language; with so many languages that all tables would outgrow ``table_mb``,
-    each gets the same smaller share, none is left out. About ``docs_per_language`` documents are drawn by a hash of the
-    id, and a document gives a stretch of at most a twentieth of the bound, from a place that the hash picks, so that no
-    few long texts make up a sample. Null and blank texts and null labels teach nothing; repeated rows count repeatedly.
-    The driver gets one row a language.
+    each gets the same smaller share, none is left out. About ``docs_per_language`` of a language's rows that differ in id
+    or text are drawn by a hash of both, and each gives a stretch of at most a twentieth of the bound, from a place that the
+    hash picks, so that no few long texts make up a sample, and rows that share an id (or have none) are drawn like any
+    others. Null and blank texts and null labels teach nothing; rows alike in id and text teach once. The driver gets one
+    row a language.
     """
-    rows = train.where(F.col(lang_col).isNotNull() & (F.trim(F.col(text_col)) != "")).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
-    counts = rows.groupBy("lang").count().collect()
+    rows = train.where(F.col(lang_col).isNotNull() & (F.trim(F.col(text_col)) != "")).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)).alias("mark"), F.col(text_col).alias("t"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).collect()
     if not counts:
         return []
     room = max(min(train_bytes, int(table_mb * 1e6 / len(counts) / (1.6 * 80 * 4))), 64)
     stretch = max(train_bytes // 20, 64)
-    sizes = train.sparkSession.createDataFrame([(r["lang"], docs_per_language / r["count"]) for r in counts], "lang string, share double")
-    mark = F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1 << 30))
+    sizes = train.sparkSession.createDataFrame([(r["lang"], docs_per_language / max(r["n"], 1)) for r in counts], "lang string, share double")
     # One row a language, which the driver holds anyway, is sent along.
-    drawn = rows.withColumn("mark", mark).join(F.broadcast(sizes), "lang").where((F.col("mark") < F.col("share") * (1 << 30)) | (F.col("share") >= 1))
-    cut = F.substring("t", (1 + F.pmod(F.xxhash64("i", F.lit(6)), F.greatest(F.length("t") - stretch, F.lit(1)))).cast("int"), F.lit(stretch))
+    drawn = rows.join(F.broadcast(sizes), "lang").where((F.pmod("mark", F.lit(1 << 30)) < F.col("share") * (1 << 30)) | (F.col("share") >= 1))
+    cut = F.substring("t", (1 + F.pmod(F.xxhash64("mark", F.lit(6)), F.greatest(F.length("t") - stretch, F.lit(1)))).cast("int"), F.lit(stretch))
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["mark", "t"])
+        group = group.assign(drawn=group["mark"] % (1 << 30)).sort_values(["drawn", "mark", "t"])
         text = b" ".join(filter(None, map(normalised, group["t"])))[:room]
         return pd.DataFrame({"lang": group["lang"].iloc[:1], "sample": [text]})
 
-    got = drawn.select("i", "lang", "mark", cut.alias("t")).groupBy("lang").applyInPandas(gather, "lang string, sample binary").collect()
+    once = drawn.select("lang", "mark", cut.alias("t")).groupBy("lang", "mark").agg(F.first("t").alias("t"))
+    got = once.groupBy("lang").applyInPandas(gather, "lang string, sample binary").collect()
     return sorted((r["lang"], bytes(r["sample"])) for r in got if r["sample"])
 
 

@@ -17,12 +17,15 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .shared import WORD, read, text_of
 
 
+def no_pieces() -> Column:
+    return F.expr("cast(array() as array<struct<from: bigint, to: bigint>>)")
+
+
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
     """Words that each source is to give: ``share`` of all words by weight, each at most ``most`` times its size, the excess reshared by weight.
 
@@ -85,12 +88,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A source's taken words differ from its target by the rounding to whole blocks, and where the target is at its limit by
     at most a block for each shard. A null source
     is a source of its own; sources without words have target 0; an empty table gives an empty result. Rows that repeat
-    an id are documents of their own, next to each other in their shard's order; which of two with the same id and size
-    a block falls on does not show in the result. The number of sources has to fit the driver: one short row each.
+    an id or have none are documents of their own, dealt to shards by their texts as well; which of two that are alike in
+    both a block falls on does not show in the result. Whole texts are counted, however long. The number of sources has to fit the driver: one short row each.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), key.alias("key"), word_count(text_of(text_col)).alias("size"), *([F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if carry else [])
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), key.alias("key"), word_count(text_of(text_col)).alias("size"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).rlike(WORD).alias("has_words"), *([F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if carry else [])
     )
     found = rows.groupBy("key").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
     named = [(r["key"][1:] if r["key"] != "n" else None, r["n"]) for r in found]
@@ -99,7 +102,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     quota = sainte_lague([target[named[i][0]] for i in order], round(sum(target.values()) / block_words))
     table = [(found[i]["key"], int(found[i]["n"]), float(target[named[i][0]]), q, min(max_shards, max(1, -(-found[i]["docs"] // docs_per_shard)))) for i, q in zip(order, quota, strict=True)]
     per_source = docs.sparkSession.createDataFrame(table, "key string, source_size long, target double, quota long, shards int")
-    dealt = rows.join(F.broadcast(per_source), "key").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int"))
+    told = rows.join(F.broadcast(per_source), "key")
+    # Rows without words are part of no shard: there may be very many that are alike.
+    wordless = told.where("NOT has_words").select("doc_id", "source", F.lit(0).cast("long").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"), no_pieces().alias("pieces"), *(["row"] if carry else []))
+    dealt = told.where("has_words").withColumn("shard", F.pmod(F.xxhash64("doc_id", "th", F.lit(seed)), F.col("shards")).cast("int"))
 
     def shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
         shards = shards.sort_values("shard", ignore_index=True)
@@ -109,7 +115,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
     quotas = shards.groupBy("key").applyInPandas(shard_quotas, "key string, shard int, words long, give long")
-    along = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = dealt.withColumn("end", F.sum("size").over(along)).join(quotas, ["key", "shard"])
     start, one = F.col("end") - F.col("size"), F.lit(1).cast("long")
     some = F.when(F.col("words") > 0, F.col("give") % F.col("words")).otherwise(0)
@@ -119,10 +125,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     passed = ((F.lit(0).cast("long"), last - F.col("words")), (F.col("first"), last))  # what goes round the end comes first in the text
     cut = F.array(*(F.struct((F.greatest(lo, F.col("start")) - F.col("start")).alias("from"), (F.least(hi, F.col("words"), F.col("end")) - F.col("start")).alias("to")) for lo, hi in passed))
     ranges = F.filter(cut, lambda x: x["from"] < x["to"])
-    none = F.array().cast(T.ArrayType(T.StructType([T.StructField("from", T.LongType(), False), T.StructField("to", T.LongType(), False)]), False))
-    out = laid.withColumns({"start": start, "some": some, "copies": whole, "first": first}).withColumn("pieces", F.when((F.col("size") > 0) & (F.col("some") > 0), ranges).otherwise(none))
+    out = laid.withColumns({"start": start, "some": some, "copies": whole, "first": first}).withColumn("pieces", F.when((F.col("size") > 0) & (F.col("some") > 0), ranges).otherwise(no_pieces()))
     taken = F.col("copies") * F.col("size") + F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "pieces", *(["row"] if carry else []))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "pieces", *(["row"] if carry else [])).union(wordless)
 
 
 def op10_mix_sources(spark, sf_dir) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Counts of each text give a few features. Sequential covering then learns an ordered list of rules from labelled rows:
 each rule is a conjunction of feature thresholds that is grown for information gain on two thirds of the rows, pruned
-on the other third, and kept only if it is precise there; what it covers is set aside before the next is grown. Every
-step is one grouped count over binned features, so the driver sees features x bins rows. The list becomes one
-conditional expression that Spark evaluates for every document.
+on the other third, and kept only if it is precise there; what it covers is set aside before the next is grown. The
+labelled rows, a bounded sample, are counted once by their binned features; rules are grown from those counts. The list
+becomes one conditional expression that Spark evaluates for every document.
 """
 
 from __future__ import annotations
@@ -87,21 +87,28 @@ def decision_list(rules: list[Rule]) -> Column:
 
 
 def learn(labelled: DataFrame, bins: int = 32, max_rules: int = 6, max_terms: int = 3, precision: float = 0.9, least: int = 10) -> list[Rule]:
-    """Ordered rules for label ``bad`` (boolean) from rows with doc_id and the counts of text_counts. No rows or one class: no rules."""
+    """Ordered rules for label ``bad`` (boolean) from rows with doc_id and the counts of text_counts; ``weight``, if there, is how often a row counts. No rows or one class: no rules."""
     names = list(FEATURES)
-    valued = labelled.select("bad", (crc_mod("doc_id", 3) != 2).alias("grow"), *(F.expr(e).alias(f) for f, e in FEATURES.items()))
+    weight = F.col("weight") if "weight" in labelled.columns else F.lit(1).cast("long")
+    valued = staged(labelled.select("bad", (crc_mod("doc_id", 3) != 2).alias("grow"), weight.alias("weight"), *(F.expr(e).alias(f) for f, e in FEATURES.items())))
     cuts = valued.agg(*(F.percentile_approx(f, [i / bins for i in range(1, bins)], 10000).alias(f) for f in names)).first()
     edges = {f: sorted(set(cuts[f] or [])) for f in names}
-    binned = staged(valued.select("bad", "grow", *(sum((F.when(F.col(f) > e, 1).otherwise(0) for e in edges[f]), F.lit(0)).alias(f) for f in names)))
+    binned = valued.select("bad", "grow", "weight", *(sum((F.when(F.col(f) > e, 1).otherwise(0) for e in edges[f]), F.lit(0)).alias(f) for f in names))
+    # A row for each combination of bins that a labelled row has: as many as the sample has rows at most.
+    cube = [(r["grow"], dict(zip(names, r[2:-1], strict=True)), r["bad"], r["n"]) for r in binned.groupBy("grow", "bad", *names).agg(F.sum("weight").alias("n")).collect()]
 
-    def where(terms) -> str:
-        return " AND ".join(f"{f} {op} {k}" for f, op, k in terms) or "true"
+    def covers(terms, at: dict) -> bool:
+        return all(at[f] <= k if op == "<=" else at[f] > k for f, op, k in terms)
 
-    def counts(rest: str, terms) -> dict:
+    def counts(taken, terms) -> dict:
         """(grow, feature, bin) -> (bad, good) among the rows that the terms cover and no rule has taken."""
-        cells = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in names)))
-        got = binned.where(f"({rest}) AND ({where(terms)})").select("bad", "grow", cells.alias("c")).groupBy("grow", "c.f", "c.b").agg(F.sum(F.col("bad").cast("int")).alias("p"), F.sum((~F.col("bad")).cast("int")).alias("n"))
-        return {(r["grow"], r["f"], r["b"]): (r["p"], r["n"]) for r in got.collect()}
+        cell: dict = {}
+        for grow, at, bad, n in cube:
+            if covers(terms, at) and not any(covers(t, at) for t in taken):
+                for f in names:
+                    p, q = cell.get((grow, f, at[f]), (0, 0))
+                    cell[grow, f, at[f]] = (p + n, q) if bad else (p, q + n)
+        return cell
 
     def totals(cell: dict, grow: bool) -> tuple[int, int]:
         own = [v for (g, f, _), v in cell.items() if g == grow and f == names[0]]
@@ -109,10 +116,9 @@ def learn(labelled: DataFrame, bins: int = 32, max_rules: int = 6, max_terms: in
 
     rules, taken = [], []
     for _ in range(max_rules):
-        rest = " AND ".join(f"NOT ({where(t)})" for t in taken) or "true"
         terms: list[tuple[str, str, int]] = []
         held = []  # (bad, good) of the pruning rows after each term
-        cell = counts(rest, terms)
+        cell = counts(taken, terms)
         p0, n0 = totals(cell, True)
         while p0 >= least and n0 > 0 and len(terms) < max_terms:
             best = None
@@ -129,7 +135,7 @@ def learn(labelled: DataFrame, bins: int = 32, max_rules: int = 6, max_terms: in
             if best is None or best[0] <= 1e-9:
                 break
             terms.append(best[1:])
-            cell = counts(rest, terms)
+            cell = counts(taken, terms)
             p0, n0 = totals(cell, True)
             held.append((totals(cell, False), (p0, n0)))
         if not terms:
@@ -151,17 +157,20 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     ``base_failed``: under 20 words, or over 30 % of them in repeated windows. ``kept``: not base_failed, and no learned
     rule covers the row. Rules are learned from the documents that ``labels`` (doc_id, quality 0 or 1; null is no label)
-    covers; of more than ``max_labelled`` a share by hash of the id is used. Null text counts as empty, and so fails.
-    An empty table gives an empty result; without labels only the base rules hold. Repeated rows are judged alike;
-    repeated labels weigh repeatedly.
+    covers; of more than ``max_labelled`` labelled ids a share by hash of the id is used. Null text counts as empty, and so
+    fails; whole texts are counted, however long, with all words of a text in one array. An empty table gives an empty
+    result; without labels only the base rules hold. Repeated rows are judged alike; repeated labels weigh repeatedly, and
+    ids that have labels of both kinds count for both; a label without an id is no label.
     """
-    given = labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("label_id"), (F.col("quality") == 0).alias("bad"))
+    given = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg(F.count_if(F.col("quality") == 0).alias("label_bad"), F.count_if(F.col("quality") != 0).alias("label_good"))
     share = min(1.0, max_labelled / max(given.count(), 1))
-    # A sample of bounded size, and so fit to be sent to every task: no text is shuffled for it.
+    # One row a labelled id, about max_labelled at most, and so fit to be sent to every task: no text is shuffled for it.
     given = F.broadcast(given.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     labelled = text_counts(own.join(given, own["doc_id"] == given["label_id"], "left_semi")).join(given, F.col("doc_id") == F.col("label_id"))
-    rules = learn(staged(labelled), **learner)
+    kinds = F.inline(F.array(*(F.struct(F.lit(bad).alias("bad"), F.col(n).alias("weight")) for bad, n in ((True, "label_bad"), (False, "label_good")))))
+    labelled = labelled.drop("label_id").select("*", kinds).where("weight > 0")
+    rules = learn(labelled, **learner)
     counted = text_counts(docs, id_col, text_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counted.select("*", failed.alias("base_failed"), (~failed & decision_list(rules)).alias("kept"))

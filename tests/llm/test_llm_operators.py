@@ -375,3 +375,52 @@ def test_mixing_takes_whole_documents(docs):
     parts = Counter(r["source"] for r in got if 0 < sum(p["to"] - p["from"] for p in r["pieces"]) < r["size"])
     assert parts and all(n <= 2 for n in parts.values())
     assert all(len(r["pieces"]) <= 2 and all(a["to"] < b["from"] for a, b in zip(r["pieces"], r["pieces"][1:])) for r in got)
+
+
+def test_languages_whose_rows_share_an_id(spark):
+    """Each label is learned, whatever its rows have for an id, and one id's rows are drawn like any others."""
+    rng = random.Random(2)
+    rows = [(i, made(rng, ENGLISH, 12), "yy") for i in range(300)]
+    for shared in (None, 7, 8, 9, 10):
+        docs = spark.createDataFrame(rows + [(shared, made(rng, FRENCH, 12), "xx") for _ in range(300)] + [(shared, "le la " * 9, "zz")] * 400, "doc_id long, text string, lang string")
+        samples = dict(language_id.learn_samples(docs))
+        assert samples.keys() == {"xx", "yy", "zz"} and len(samples["xx"]) > 5000
+        assert samples["zz"].count(b"la") <= 9  # rows alike teach once
+        got = by_id(language_id.identify_language(docs.where("lang = 'yy'").limit(40), sorted(samples.items())))
+        assert {r["lang_pred"] for r in got.values()} == {"yy"}
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    samples = [("aa", b"the thing and the other "), ("bb", b"the thing and the other ")]
+    got = language_id.identify_language(spark.createDataFrame([(1, "the other thing"), (1, "the other thing")], "doc_id long, text string"), samples).collect()
+    assert [r["lang_pred"] for r in got] == ["aa", "aa"]
+
+
+def test_labels_that_repeat_an_id(spark):
+    """Few ids with very many labels: all are learned from, once an id; null ids and qualities are no labels; clashing columns play no part."""
+    texts = {i: ("".join(f"#{k}% " for k in range(40)) if i < 10 else "") + " ".join(f"w{i}x{k}" for k in range(40)) for i in range(20)}
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in texts.items()] + [(None, "w " * 30, 1, 2, 3, 4, 5)], "doc_id long, text string, bad long, label_id long, quality long, weight long, grow long")
+    labels = spark.createDataFrame([(k % 20, int(k % 20 >= 10)) for k in range(5000)] + [(None, 0), (3, None)], "doc_id long, quality int")
+    got = by_id(quality_rules.quality_rules(docs, labels, max_labelled=100))
+    assert {i for i, r in got.items() if not r["kept"] and not r["base_failed"]} == set(range(10))
+    plan = quality_rules.quality_rules(docs, labels, max_labelled=100)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_quality_of_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(300_000)) + "\n" + "a b c d e f g h " * 200
+    r = quality_rules.text_counts(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert tuple(r)[1:] == brute.quality(long)[:5]
+
+
+def test_mixing_of_one_id(spark):
+    """A third of all rows without an id, many without words: dealt to many shards by text, targets met."""
+    rows = [(None, f"a{k} b c d e", "s") for k in range(3000)] + [(None, None, "s")] * 500 + [(4, f"x{k} y " * 5, "t") for k in range(2000)] + [(k, "m n o p", None) for k in range(500)]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, source string, th long, key string")
+    got = mixing.mix_sources(docs, docs_per_shard=100).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 8 * 40 for s in target)
