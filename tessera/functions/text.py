@@ -64,31 +64,34 @@ def html_elements(html: Column) -> Column:
     the cells of all tables of the page, from 1.
     """
     clean = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
-    tags = F.transform(F.regexp_extract_all(clean, F.lit(rf"(?i)<(/?(?:{BLOCKS}))\b[^>]*>"), F.lit(1)), F.lower)
-    texts = F.split(clean, rf"(?i)</?(?:{BLOCKS})\b[^>]*>")
     kinds = F.create_map(*(F.lit(x) for k in _KIND.items() for x in k))
-    cell = lambda a, t: t.isin("td", "th")
-    state = F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), F.array().cast("array<struct<row:int,col:int>>").alias("out"))
+    tag = rf"(?i)<(/?(?:{BLOCKS}))\b[^>]*>"
 
-    def place(a: Column, t: Column) -> Column:
-        row = F.when(t == "tr", a["row"] + 1).otherwise(a["row"])
-        col = F.when(t == "tr", 0).when(cell(a, t), a["col"] + 1).otherwise(a["col"])
-        here = F.when(cell(a, t), F.struct(row.alias("row"), col.alias("col"))).otherwise(F.struct(F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col")))
-        return F.struct(row.alias("row"), col.alias("col"), F.concat(a["out"], F.array(here)).alias("out"))
+    def elements(tags: Column, texts: Column, row: Column) -> Column:
+        """Of one table row, or of what stands before the first: an entry for each tag, with a kind if it is an element."""
+        cells = F.filter(F.transform(tags, lambda t, i: F.when(t.isin("td", "th"), i)), lambda i: i.isNotNull())
+        entry = lambda t, i, c: F.struct(F.try_element_at(kinds, t).alias("kind"), F.when(t.rlike("^h[1-6]$"), F.substring(t, 2, 1).cast("int")).alias("level"), F.when(t.isin("td", "th"), row).alias("row"), F.when(t.isin("td", "th"), F.array_position(c, i).cast("int")).alias("col"), html_text(F.get(texts, i + 1)).alias("text"))
+        return let(cells, lambda c: F.transform(tags, lambda t, i: entry(t, i, c)))
 
-    def found(tags: Column, texts: Column, places: Column) -> Column:
-        each = F.transform(tags, lambda t, i: F.struct(i.alias("pos"), F.try_element_at(kinds, t).alias("kind"), F.when(t.rlike("^h[1-6]$"), F.substring(t, 2, 1).cast("int")).alias("level"), F.get(places, i)["row"].alias("row"), F.get(places, i)["col"].alias("col"), html_text(F.get(texts, i + 1)).alias("text")))
-        return F.filter(each, lambda x: x["kind"].isNotNull() & (x["text"] != ""))
-
-    return let(tags, lambda t: let(texts, lambda x: let(F.aggregate(t, state, place, lambda a: a["out"]), lambda p: found(t, x, p))))
+    # A page is cut at the tags that open a row: the rows before a cell are the cuts before it.
+    parts = F.split(clean, r"(?i)<tr\b[^>]*>")
+    of_part = lambda part, row: let(F.transform(F.regexp_extract_all(part, F.lit(tag), F.lit(1)), F.lower), lambda tags: let(F.split(part, tag), lambda texts: F.transform(elements(tags, texts, row), lambda e: F.struct(row.alias("rows"), e.alias("e")))))
+    each = F.transform(F.flatten(F.transform(parts, of_part)), lambda x, i: F.struct((i + x["rows"]).alias("pos"), *(x["e"][f].alias(f) for f in ("kind", "level", "row", "col", "text"))))
+    return F.filter(each, lambda x: x["kind"].isNotNull() & (x["text"] != ""))
 
 
 def markdown_elements(text: Column) -> Column:
     """Array of (line, kind, level, text): headings, list items, table rows, quotes, code inside fences and paragraphs; blank lines and fences are none."""
-    lines = F.split(text, "\n")
-    fence = lambda s: s.rlike(r"^\s*(```|~~~)")
-    state = F.struct(F.lit(False).alias("open"), F.array().cast("array<boolean>").alias("out"))
-    inside = lambda ls: F.aggregate(ls, state, lambda a, s: F.struct((a["open"] != fence(s)).alias("open"), F.concat(a["out"], F.array(a["open"])).alias("out")), lambda a: a["out"])
+    # A text is cut at its fences, of which every second one closes: what lies between an odd one and the next is code.
+    parts = F.split(text, r"(?md)^[^\S\n]*(?:```|~~~)[^\n]*$")
+    line = lambda s, fence, code: F.struct(s.alias("s"), fence.alias("fence"), code.alias("c"))
+
+    def lines_of(p: Column, k: Column, n: Column) -> Column:
+        """The lines of a part; the first of all but the first part is the fence before it, and the last of all but the last is what stands before the next fence."""
+        own = F.split(p, "\n")
+        whole = let(own, lambda ls: F.when(k == n - 1, ls).otherwise(F.slice(ls, F.lit(1), F.size(ls) - 1)))
+        return F.transform(whole, lambda s, i: line(s, (k > 0) & (i == 0), k % 2 == 1))
+
     forms = {"heading": r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t#]*$", "list_item": r"^(\s*)(?:[-*+]|\d+[.)])[ \t]+(.*)$", "row": r"^\s*()\|(.*)\|\s*$", "quote": r"^ {0,3}()>[ \t]?(.*)$"}
 
     def element(s: Column, code: Column, i: Column) -> Column:
@@ -99,8 +102,9 @@ def markdown_elements(text: Column) -> Column:
         return F.struct(i.alias("line"), kind.otherwise("paragraph").alias("kind"), level.otherwise(None).cast("int").alias("level"), body.otherwise(F.trim(s)).alias("text"))
 
     rule = lambda s: s.rlike(r"^[\s|:-]*$") & s.contains("-")  # noqa: E731  of a table, or a thematic break
-    each = lambda ls, code: F.transform(F.filter(F.transform(ls, lambda s, i: F.struct(s.alias("s"), i.alias("i"), F.get(code, i).alias("c"))), lambda x: ~fence(x["s"]) & (x["c"] | (~rule(x["s"]) & (F.trim(x["s"]) != "")))), lambda x: element(x["s"], x["c"], x["i"]))
-    return let(lines, lambda ls: let(inside(ls), lambda code: each(ls, code)))
+    lines = let(parts, lambda ps: F.flatten(F.transform(ps, lambda p, k: lines_of(p, k, F.size(ps)))))
+    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x["fence"].alias("fence"), x["c"].alias("c"))), lambda x: ~x["fence"] & (x["c"] | (~rule(x["s"]) & (F.trim(x["s"]) != ""))))
+    return F.transform(kept, lambda x: element(x["s"], x["c"], x["i"]))
 
 
 def html_title(html: Column) -> Column:

@@ -83,3 +83,23 @@ def softmax(weights: list[float]) -> list[float]:
 
     e = [math.exp(w - max(weights)) for w in weights]
     return [x / sum(e) for x in e]
+
+
+def folded(items: Column, done_type: str, opened: Column, step, last, block: int = 512) -> Column:
+    """What a fold over an array closes on its way: ``step(a, x)`` gives (done, open) from a state with these fields, ``last(open)`` an array of what is left at the end.
+
+    Spark copies a fold's whole state at every step, so the steps are taken in blocks that begin with nothing done, and
+    only the blocks' results are gathered over the whole array.
+    """
+    state = lambda done, open_: F.struct(done.alias("done"), open_.alias("open"))
+    none = F.array().cast(f"array<{done_type}>")
+
+    def over(values: Column) -> Column:
+        def add(a: Column, k: Column) -> Column:
+            part = F.aggregate(F.slice(values, k * block + 1, block), state(none, a["open"]), step)
+            return let(part, lambda r: state(F.concat(a["done"], F.array(r["done"])), r["open"]))
+
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block) - 1, F.lit(0)).cast("int"))
+        return F.aggregate(blocks, state(F.array().cast(f"array<array<{done_type}>>"), opened), add, lambda a: F.concat(F.flatten(a["done"]), last(a["open"])))
+
+    return let(items, over)

@@ -137,11 +137,12 @@ for _n, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), (
 
 
 @query("html_elements", f"""WITH c AS (SELECT page_id, {_CLEAN} AS h FROM pages), t AS (SELECT page_id, regexp_extract_all(h, '(?i)<(/?{_TAG})\\b[^>]*>', 1) AS tags, regexp_split_to_array(h, '(?i)</?{_TAG}\\b[^>]*>') AS texts FROM c),
-e AS (SELECT page_id, i AS pos, lower(tags[i + 1]) AS tag, texts[i + 2] AS x FROM (SELECT *, unnest(range(0, len(tags))) AS i FROM t)), k AS (SELECT page_id, pos, tag, trim(regexp_replace({_PLAIN}, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM e)
-SELECT page_id, cast(pos AS INTEGER) AS pos, CASE WHEN tag[1] = 'h' THEN 'heading' WHEN tag = 'p' THEN 'paragraph' WHEN tag = 'li' THEN 'list_item' WHEN tag = 'title' THEN 'title' WHEN tag IN ('td', 'th') THEN 'cell' WHEN tag = 'pre' THEN 'code' WHEN tag = 'blockquote' THEN 'quote' ELSE 'caption' END AS kind, CASE WHEN tag[1] = 'h' THEN cast(tag[2] AS INTEGER) END AS level, text FROM k WHERE text <> '' AND regexp_full_match(tag, 'h[1-6]|p|li|title|td|th|pre|blockquote|figcaption')""")
+e AS (SELECT page_id, i AS pos, lower(tags[i + 1]) AS tag, texts[i + 2] AS x FROM (SELECT *, unnest(range(0, len(tags))) AS i FROM t)), r AS (SELECT *, sum(CASE WHEN tag = 'tr' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS row FROM e),
+k AS (SELECT page_id, pos, tag, row, sum(CASE WHEN tag IN ('td', 'th') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, row ORDER BY pos) AS col, trim(regexp_replace({_PLAIN}, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM r)
+SELECT page_id, cast(pos AS INTEGER) AS pos, CASE WHEN tag[1] = 'h' THEN 'heading' WHEN tag = 'p' THEN 'paragraph' WHEN tag = 'li' THEN 'list_item' WHEN tag = 'title' THEN 'title' WHEN tag IN ('td', 'th') THEN 'cell' WHEN tag = 'pre' THEN 'code' WHEN tag = 'blockquote' THEN 'quote' ELSE 'caption' END AS kind, CASE WHEN tag[1] = 'h' THEN cast(tag[2] AS INTEGER) END AS level, CASE WHEN tag IN ('td', 'th') THEN cast(row AS INTEGER) END AS row, CASE WHEN tag IN ('td', 'th') THEN cast(col AS INTEGER) END AS col, text FROM k WHERE text <> '' AND regexp_full_match(tag, 'h[1-6]|p|li|title|td|th|pre|blockquote|figcaption')""")
 def html_elements(t):
-    """Headings, paragraphs, list items and the like of every page, in order."""
-    return t.pages.select("page_id", F.explode(X.html_elements(F.col("html"))).alias("e")).select("page_id", "e.pos", "e.kind", "e.level", "e.text")
+    """Headings, paragraphs, list items, cells with row and column and the like of every page, in order."""
+    return t.pages.select("page_id", F.explode(X.html_elements(F.col("html"))).alias("e")).select("page_id", "e.*")
 
 
 @query("markdown_elements", "SELECT c_custkey, k.line, k.kind, CASE k.kind WHEN 'heading' THEN cast(c_nationkey % 6 + 1 AS INTEGER) WHEN 'list_item' THEN k.line - 3 END AS level, CASE k.line WHEN 0 THEN c_name WHEN 2 THEN 'Plain *text* of ' || c_custkey WHEN 3 THEN c_mktsegment WHEN 5 THEN '# code ' || c_name WHEN 8 THEN c_name || ' | ' || c_nationkey WHEN 10 THEN 'said ' || c_custkey END AS text FROM customer, (VALUES (0, 'heading'), (2, 'paragraph'), (3, 'list_item'), (5, 'code'), (8, 'row'), (10, 'quote')) k(line, kind)")
@@ -152,6 +153,20 @@ def markdown_elements(t):
     return t.customer.select("c_custkey", F.explode(X.markdown_elements(lines)).alias("e")).select("c_custkey", "e.line", "e.kind", "e.level", "e.text")
 
 
+_FORMS = {"heading": "^ {0,3}(#{1,6})[ \\t]+(.*?)[ \\t#]*$", "list_item": "^([ \\t\\r\\f]*)(?:[-*+]|\\d+[.)])[ \\t]+(.*)$", "row": "^[ \\t\\r\\f]*()\\|(.*)\\|[ \\t\\r\\f]*$", "quote": "^ {0,3}()>[ \\t]?(.*)$"}
+_OF = lambda what, last: "CASE WHEN n % 2 = 1 THEN " + what[0] + " " + " ".join(f"WHEN regexp_matches(s, '{f}') THEN {what[1].format(k=k, f=f)}" for k, f in _FORMS.items()) + f" ELSE {last} END"
+
+
+@query("markdown_of_documents", f"""WITH l AS (SELECT doc_id, i AS line, ls[i + 1] AS s FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+m AS (SELECT *, regexp_matches(s, '^[ \\t\\r\\f]*(```|~~~)') AS fence FROM l), n AS (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS n FROM m),
+k AS (SELECT * FROM n WHERE NOT fence AND (n % 2 = 1 OR (NOT (regexp_matches(s, '^[ \\t\\r\\f|:-]*$') AND contains(s, '-')) AND trim(s) <> '')))
+SELECT doc_id, cast(line AS INTEGER) AS line, {_OF(("'code'", "'{k}'"), "'paragraph'")} AS kind, CASE WHEN n % 2 = 1 THEN NULL WHEN regexp_matches(s, '{_FORMS["heading"]}') THEN cast(length(regexp_extract(s, '{_FORMS["heading"]}', 1)) AS INTEGER) WHEN regexp_matches(s, '{_FORMS["list_item"]}') THEN cast(length(regexp_extract(s, '{_FORMS["list_item"]}', 1)) AS INTEGER) END AS level,
+{_OF(("s", "trim(regexp_extract(s, '{f}', 2))"), "trim(s)")} AS text FROM k""")
+def markdown_of_documents(t):
+    """Every line of every document by kind."""
+    return t.documents.select("doc_id", F.explode(X.markdown_elements(F.col("text"))).alias("e")).select("doc_id", "e.*")
+
+
 _T = "list_distinct(list_filter(" + WORDS.format("replace(lower(q), 'ß', 'ss')") + ", lambda x: length(x) > 3))"
 
 

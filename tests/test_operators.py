@@ -93,46 +93,67 @@ def chunks_of(spark, how, texts):
     return {i: [r["text"] for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["index"])] for i in range(len(texts))}, rows
 
 
-def test_recursive_chunks(spark):
-    import hashlib
+def squeezed(t):
+    """Without what cutting may take away or put in: white space and the full stops of sentence ends."""
+    return "".join(c for c in t if not c.isspace() and c != ".")
 
-    def runs(x, seps):
-        """Groups as lists of parts, joined at the end."""
-        if len(x) <= 800:
-            return [x]
-        if not seps:
-            return [x[i : i + 800] for i in range(0, len(x), 800)]
-        groups = [[]]
-        for part in x.split(seps[0]):
-            now = seps[0].join(groups[-1])
-            if not now:
-                groups[-1] = [part]
-            elif len(now) + len(seps[0]) + len(part) <= 800:
-                groups[-1].append(part)
-            else:
-                groups.append([part])
-        return [z for g in groups if seps[0].join(g) for z in runs(seps[0].join(g), seps[1:])]
 
-    def want(t):
-        out, now = [], ""
-        for z in filter(None, (x.strip() for x in runs(t or "", ["\n\n", "\n", ". ", " "]))):
-            both = f"{now}\n\n{z}" if now else z
-            if not now or len(both) <= 800:
-                now = both
-            elif len(now) < 120:
-                out.append(both[:800])
-                now = both[680:].strip()
-            else:
-                out.append(now)
-                now = f"{now[-120:]} {z}".strip()
-        return [*out, now] if now else out
+def test_recursive_chunks_keep_the_text(spark):
+    """Every chunk goes on where the one before ended, or up to 120 characters before; together they hold the whole text."""
+    import hashlib
 
     texts = made_texts()
     got, rows = chunks_of(spark, text.recursive_chunks, texts)
-    assert got == {i: want(t) for i, t in enumerate(texts)}
+    for i, t in enumerate(texts):
+        whole, ends = squeezed(t or ""), {0}  # where the last chunk may have ended: periodic texts leave a choice
+        for k, c in enumerate(got[i]):
+            assert c == c.strip() and 0 < len(c) <= 800 + 121
+            own = squeezed(c)
+            begins = {b for end in ends for b in range(max(0, end - 120), end + 1) if whole.startswith(own, b) and b + len(own) >= end} if k else {0}
+            ends = {b + len(own) for b in begins}
+        assert len(whole) in ends
+        assert all(len(c) >= 120 for c in got[i][:-1])
     assert all(r["chunk_id"] == "chunk_" + hashlib.sha1(f"{r['doc_id']}:{r['index']}:{r['text']}".encode()).hexdigest() for r in rows)
 
 
+def test_recursive_chunks_worked_by_hand(spark):
+    words = lambda n: " ".join(["abcd"] * n)  # noqa: E731  5 n - 1 characters
+    cases = [
+        ("\t" * 8 + "x" * 3 + "\n\n" + "y" * 789 + " \n", ["xxx\n\n" + "y" * 789]),  # 794 characters once stripped
+        ("a" * 800, ["a" * 800]),
+        ("a" * 500 + "\n\n" + "b" * 500, ["a" * 500, "a" * 120 + " " + "b" * 500]),  # paragraphs; the second opens with the end of the first
+        ("a" * 500 + "\n" + "b" * 200 + "\n\n" + "c" * 300, ["a" * 500 + "\n" + "b" * 200, "b" * 120 + " " + "c" * 300]),
+        ("p" * 100 + "\n\n" + "q" * 790, ["p" * 100 + "\n\n" + "q" * 698, "q" * 212]),  # too short to be closed: filled up
+        (words(200), [words(160), words(160)[-119:] + " " + words(40)]),  # the end begins with a blank, which goes; 999 characters of words: 160 words are 799
+        ("z" * 1700, ["z" * 800, "z" * 120 + " " + "z" * 800, "z" * 120 + " " + "z" * 100]),  # no separator: cut anywhere
+        ("A" * 390 + ". " + "B" * 390 + ". " + "C" * 100, ["A" * 390 + ". " + "B" * 390, "B" * 120 + " " + "C" * 100]),
+        (" \n\t\u3000 ", []), ("", []), (None, []),
+    ]
+    got, _ = chunks_of(spark, text.recursive_chunks, [t for t, _ in cases])
+    for i, (_, want) in enumerate(cases):
+        assert got[i] == want, i
+
+
+def test_one_very_long_text(spark):
+    """Work that grows with the text: a million words, and a page and a note of many thousand elements."""
+    import time
+
+    from tessera.functions.text import html_elements, markdown_elements
+
+    long = spark.createDataFrame([(1, "word five " * 500_000)], "doc_id long, text string")
+    for how in (text.recursive_chunks, text.sliding_chunks):
+        began = time.perf_counter()
+        assert how(long).count() > 6000 and time.perf_counter() - began < 30
+    page = "<p>one</p><table>" + "<tr><td>a<td>b</tr>" * 10_000 + "</table>" + "<p>x" * 20_000
+    began = time.perf_counter()
+    got = spark.createDataFrame([(page,)], "t string").select(F.explode(html_elements(F.col("t"))).alias("e")).where("e.kind = 'cell'").agg(F.max("e.row").alias("r"), F.max("e.col").alias("c"), F.count("*").alias("n")).first()
+    assert tuple(got) == (10_000, 2, 20_000) and time.perf_counter() - began < 30
+    note = "- item\n\n```\ncode\n```\n" * 8_000
+    began = time.perf_counter()
+    got = spark.createDataFrame([(note,)], "t string").select(F.explode(markdown_elements(F.col("t"))).alias("e")).groupBy("e.kind").count().collect()
+    assert {r["kind"]: r["count"] for r in got} == {"list_item": 8_000, "code": 8_000} and time.perf_counter() - began < 30
+
+
 def test_sliding_chunks(spark):
     from bisect import bisect_left
 
