@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..catalog import query
 from ..functions.predicates import condition
 from ..operators import patterns as P
+from ..streaming import closing as C
 from ..streaming import events as S
 
 ORDER = ["ts", "event_id"]
@@ -174,3 +175,23 @@ def stream_last_values(t):
 def stream_correlation(t):
     e = lambda kind: S.event_stream(t.spark, t.sf_dir).where(F.col("event_type") == kind)
     return S.run_to_end(S.correlated(e("click"), e("purchase"), "user_id", 3600), "append", "correlation").select("k", "left_id", "right_id")
+
+
+@query("stream_windows_closed", """WITH m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM events), w AS (SELECT cast(user_id AS VARCHAR) AS key, time_bucket(INTERVAL 1 DAY, ts) AS s, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+SELECT key, cast(epoch(s) AS BIGINT) AS window_start, 'closed' AS kind, n, total FROM w, m WHERE s + INTERVAL 1 DAY <= mark""")
+def stream_windows_closed(t):
+    """Daily windows of each user in append mode: each once, when the watermark has passed its end. Files in no order go into one trigger, so no row is late here."""
+    out = S.run_to_end(C.closing_windows(S.event_stream(t.spark, t.sf_dir), 86_400, "user_id"), "append", "closed")
+    return out.select("key", "window_start", "kind", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_correlation_buffer", """WITH r AS (SELECT event_id, user_id, ts, event_type FROM events WHERE event_type IN ('purchase', 'signup')), m AS (SELECT * FROM r WHERE event_type = 'purchase'), s AS (SELECT * FROM r WHERE event_type = 'signup'),
+mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM r), before AS (SELECT m.event_id AS m, s.event_id AS s FROM m JOIN s ON m.user_id = s.user_id AND s.ts <= m.ts),
+waits AS (SELECT m.*, (SELECT arg_min(s.event_id, (s.ts, s.event_id)) FROM s WHERE s.user_id = m.user_id AND s.ts > m.ts AND s.ts < m.ts + INTERVAL 1 DAY) AS taken, (SELECT max(r.ts) FROM r WHERE r.user_id = m.user_id) AS last FROM m WHERE event_id NOT IN (SELECT m FROM before)),
+o AS (SELECT m AS message_id, 'matched' AS outcome, s AS subscription_id FROM before UNION ALL SELECT event_id, 'matched', taken FROM waits WHERE taken IS NOT NULL UNION ALL SELECT event_id, 'expired', NULL FROM waits, mark WHERE taken IS NULL AND (last >= ts + INTERVAL 1 DAY OR mark >= ts + INTERVAL 1 DAY))
+SELECT cast(user_id AS VARCHAR) AS key, o.outcome, o.message_id, o.subscription_id FROM o JOIN m ON m.event_id = o.message_id""")
+def stream_correlation_buffer(t):
+    """Purchases go to their user's signups before them, or wait a day for the next; what has waited that long expires. The bound of the buffer is not reached here; tests reach it."""
+    rows = S.event_stream(t.spark, t.sf_dir).where("event_type IN ('purchase', 'signup')")
+    out = S.run_to_end(C.correlation_buffer(rows, "user_id", F.col("event_type") == "purchase", ttl_seconds=86_400, most=1_000_000), "append", "buffer")
+    return out.select("key", "outcome", "message_id", "subscription_id")
