@@ -51,9 +51,18 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A table with a broadcast hint if its rows times their widths, added up, allow it; else as it is, and Spark shuffles.
+
+    Counts what is there: for written tables and other cheap plans, as the plan runs once for the count.
+    """
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t in ("string", "binary") else F.coalesce(8 * F.size(c), F.lit(0)) + 16 if re.match(r"array<(big)?(int|long|double|float)", t) else F.lit(64 if "<" in t else 16) for c, t in df.dtypes), F.lit(16))
+    return F.broadcast(df) if (df.select(F.sum(width.cast("long")).alias("n")).first()["n"] or 0) <= limit else df
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The side with a broadcast hint if its estimated size allows it; else as it is, and Spark shuffles."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """The side with a broadcast hint if Spark's estimate allows it and, as that is the size of the files for a stored table, so do its rows; else as it is."""
+    return checked(df, limit) if estimated_bytes(df) <= limit else df
 
 
 def shared_dir(spark: SparkSession) -> str:

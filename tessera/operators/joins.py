@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .scans import BIN_ROWS, carried
 
-def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[str]) -> DataFrame:
+
+def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[str], bin_rows: int = BIN_ROWS) -> DataFrame:
     """Every left row with the columns ``take`` of the last right row at or before it; nulls if there is none.
 
-    Both sides are stacked and a window carries the last right row forward: one shuffle by the keys, no pairs.
+    Both sides are stacked and the last right row is carried forward: no pairs, and a key with very many rows goes in bins.
     """
     one = left.withColumn("side", F.lit(1))
     two = right.select(*by, at, F.lit(0).alias("side"), F.struct(*take).alias("found"))
-    w = Window.partitionBy(*by).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = one.unionByName(two, allowMissingColumns=True).withColumn("found", F.last("found", ignorenulls=True).over(w))
-    return both.where("side = 1").select(*left.columns, *(F.col("found")[c].alias(c) for c in take))
+    both = carried(one.unionByName(two, allowMissingColumns=True), by, [at, "side"], F.col("found"), "last_found", bin_rows=bin_rows)
+    return both.where("side = 1").select(*left.columns, *(F.col("last_found")[c].alias(c) for c in take))
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: list[str], at: str, seconds: int) -> DataFrame:

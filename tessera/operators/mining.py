@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import carried
+
 
 def directly_follows(log: DataFrame, case: str, activity: str, order: list[str]) -> DataFrame:
     """(source, target, n): how often an activity directly follows another in a case; null source: begins, null target: ends."""
-    w = Window.partitionBy(case).orderBy(*order)
-    steps = log.select(F.lag(activity).over(w).alias("source"), F.col(activity).alias("target"), F.lead(activity).over(w).alias("nxt"))
-    ends = steps.where("nxt IS NULL").select(F.col("target").alias("source"), F.lit(None).cast("string").alias("target"))
-    return steps.select("source", "target").unionByName(ends).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    nxt = carried(log.select(case, activity, *(c for c in order if c not in (case, activity))), [case], order, F.struct(F.col(activity).alias("a")), "_next", backwards=True, inclusive=False)
+    steps = nxt.select(F.col(activity).alias("source"), F.col("_next.a").alias("target"))
+    begins = log.groupBy(case).agg(F.min_by(activity, F.struct(*order)).alias("target")).select(F.lit(None).cast("string").alias("source"), "target")
+    return steps.unionByName(begins).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def decision_rules(cases: DataFrame, inputs: list[str], output: str) -> DataFrame:

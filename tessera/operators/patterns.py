@@ -1,7 +1,7 @@
 """Complex-event patterns over keyed, ordered events.
 
-Order-dependent matching is a chain of grouped minima, a window with a short frame, or a state that a key's ordered
-events are streamed past; no key's events are gathered.
+Order-dependent matching is a chain of grouped minima, or a scan in two levels in which a key with very many events goes
+in bins (operators.scans); no key's events are gathered.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .scans import BIN_ROWS, carried, runs_of, sequence_within
+
+SEQUENCE_ROWS = 10_000  # events of a key that are folded at a time
 
 ALLEN = {
     "before": lambda a, b: a[1] < b[0], "after": lambda a, b: a[0] > b[1], "meets": lambda a, b: a[1] == b[0], "met_by": lambda a, b: a[0] == b[1],
@@ -27,16 +30,15 @@ def allen(relation: str, a: tuple[Column, Column], b: tuple[Column, Column]) ->
     return ALLEN[relation](a, b)
 
 
-def followed_by(df: DataFrame, key: str, kind: str, order: list[str], steps: list[str], within: int | None = None) -> DataFrame:
+def followed_by(df: DataFrame, key: str, kind: str, order: list[str], steps: list[str], within: int | None = None, bin_rows: int = SEQUENCE_ROWS) -> DataFrame:
     """key, matched: whether the kinds occur in order, for keys with any of them; ``within`` seconds from first to last.
 
-    Without a limit each step is the earliest event after the step before, one grouped minimum a step. With one, a key's
-    events are streamed in order past a state of one time per step: the latest beginning that has come that far. Either
-    way no key's events are gathered.
+    Without a limit each step is the earliest event after the step before, one grouped minimum a step. With one, bins of
+    a key's events become maps of states that compose (see sequence_within). Either way no key's events are gathered.
     """
     named = df.where(F.col(kind).isin(steps))
     if within is not None:
-        return _followed_within(named, key, kind, order, steps, within)
+        return sequence_within(named, key, order, kind, steps, within, bin_rows)
     keys = named.select(key).distinct()
     at = F.struct(*order)
     reached = named.where(F.col(kind) == steps[0]).groupBy(key).agg(F.min(at).alias("reached"))
@@ -46,58 +48,30 @@ def followed_by(df: DataFrame, key: str, kind: str, order: list[str], steps: lis
     return keys.join(reached, key, "left").select(key, F.col("reached").isNotNull().alias("matched"))
 
 
-def _followed_within(named: DataFrame, key: str, kind: str, order: list[str], steps: list[str], within: int) -> DataFrame:
-    import pyarrow as pa
-
-    def run(batches):
-        now, since, done, begun = None, [None] * len(steps), False, False
-        for batch in batches:
-            keys, found = [], []
-            for k, what, micros in zip(*(batch.column(c).to_pylist() for c in ("k", "kind", "at")), strict=True):
-                if not begun or k != now:
-                    if begun:
-                        keys.append(now)
-                        found.append(done)
-                    now, since, done, begun = k, [None] * len(steps), False, True
-                for i in reversed(range(len(steps))):
-                    if what == steps[i]:
-                        start = micros if i == 0 else since[i - 1]
-                        if start is not None and micros - start <= within * 1_000_000:
-                            since[i] = start
-                            done = done or i == len(steps) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column("k").type), pa.array(found, pa.bool_())], names=["k", "matched"])
-            kind_of = batch.column("k").type
-        if begun:
-            yield pa.RecordBatch.from_arrays([pa.array([now], kind_of), pa.array([done], pa.bool_())], names=["k", "matched"])
-
-    rows = named.select(F.col(key).alias("k"), F.col(kind).alias("kind"), F.unix_micros(order[0]).alias("at"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
-    ties = [f"o{i}" for i in range(len(order))]
-    out = rows.repartition("k").sortWithinPartitions("k", *ties).select("k", "kind", "at").mapInArrow(run, f"k {dict(named.dtypes)[key]}, matched boolean")
-    return out.select(F.col("k").alias(key), "matched")
-
-
-def contiguous(df: DataFrame, key: str, kind: str, order: list[str], steps: list[str]) -> DataFrame:
+def contiguous(df: DataFrame, key: str, kind: str, order: list[str], steps: list[str], bin_rows: int = BIN_ROWS) -> DataFrame:
     """Rows that begin a strict sequence: the key's next events are exactly the steps."""
-    w = Window.partitionBy(key).orderBy(*order)
-    hit = F.lit(True)
-    for i, s in enumerate(steps):
-        hit = hit & F.coalesce((F.col(kind) if i == 0 else F.lead(kind, i).over(w)) == s, F.lit(False))
-    return df.withColumn("hit", hit).where("hit").drop("hit")
+    return runs_of(df, [key], order, kind, steps, bin_rows)
+
 
+def not_next(df: DataFrame, key: str, kind: str, order: list[str], first: str, never: str, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Rows of ``first`` whose key's next event is not ``never``, or that have none."""
+    out = carried(df, [key], order, F.struct(F.col(kind).alias("kind")), "_next", backwards=True, inclusive=False, bin_rows=bin_rows)
+    return out.where((F.col(kind) == first) & ~F.col("_next.kind").eqNullSafe(F.lit(never))).drop("_next")
 
-def not_followed_by(df: DataFrame, key: str, kind: str, order: list[str], first: str, never: str, within: int) -> DataFrame:
+
+def not_followed_by(df: DataFrame, key: str, kind: str, order: list[str], first: str, never: str, within: int, bin_rows: int = BIN_ROWS) -> DataFrame:
     """Rows of ``first`` without ``never`` in the key's next ``within`` seconds."""
-    w = Window.partitionBy(key).orderBy(F.desc(order[0]), *(F.desc(c) for c in order[1:])).rowsBetween(Window.unboundedPreceding, -1)
-    nxt = F.last(F.when(F.col(kind) == never, F.unix_micros(order[0])), ignorenulls=True).over(w)
-    out = df.withColumn("nxt", nxt).where(F.col(kind) == first)
-    return out.where(F.col("nxt").isNull() | (F.col("nxt") > F.unix_micros(order[0]) + within * 1_000_000)).drop("nxt")
+    named = df.where(F.col(kind).isin(first, never))
+    out = carried(named, [key], order, F.when(F.col(kind) == never, F.unix_micros(order[0])), "_nxt", backwards=True, inclusive=False, bin_rows=bin_rows).where(F.col(kind) == first)
+    return out.where(F.col("_nxt").isNull() | (F.col("_nxt") > F.unix_micros(order[0]) + within * 1_000_000)).drop("_nxt")
 
 
 def until(df: DataFrame, key: str, kind: str, order: list[str], counted: str, stop: str) -> DataFrame:
-    """How many of ``counted`` each key has before its first ``stop``."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    open_ = F.max(F.when(F.col(kind) == stop, 1).otherwise(0)).over(w) == 0
-    return df.withColumn("open", open_).groupBy(key).agg(F.count_if(F.col("open") & (F.col(kind) == counted)).alias("n"))
+    """How many of ``counted`` each key has before its first ``stop``: a grouped minimum and a count, no key is sorted."""
+    at = F.struct(*order)
+    first = df.where(F.col(kind) == stop).groupBy(F.col(key).alias("_k")).agg(F.min(at).alias("_first"))
+    open_ = F.col("_first").isNull() | (at < F.col("_first"))
+    return df.join(first, F.col(key).eqNullSafe(F.col("_k")), "left").groupBy(key).agg(F.count_if(open_ & (F.col(kind) == counted)).alias("n"))
 
 
 def sliding_rate_limit(df: DataFrame, key: str, ts: str, tie: str, most: int, seconds: int) -> DataFrame:

@@ -87,8 +87,7 @@ def pattern_strict(t):
 
 @query("pattern_not_next", "SELECT event_id FROM (SELECT event_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE event_type = 'signup' AND nxt IS DISTINCT FROM 'view'")
 def pattern_not_next(t):
-    nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy(*ORDER))
-    return t.events.withColumn("nxt", nxt).where((F.col("event_type") == "signup") & ~F.col("nxt").eqNullSafe(F.lit("view"))).select("event_id")
+    return P.not_next(t.events, "user_id", "event_type", ORDER, "signup", "view").select("event_id")
 
 
 @query("pattern_not_followed_by", "SELECT event_id FROM events e WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts, p.event_id) > (e.ts, e.event_id) AND p.ts <= e.ts + INTERVAL 1 DAY)")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..catalog import query, small
 from ..functions.predicates import CELL_IS, DAYS, FORMATS, OPERATORS, PERIODS, cell_format, condition, constraint, dynamic_filter, icon, key_violations, rule, scaled
 from ..operators import monitoring as M
+from ..operators.scans import carried
 from ..operators import patterns as P
 
 OPS = {
@@ -192,8 +193,8 @@ def priority_dispatch(t):
 
 @query("audit_transitions", "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events QUALIFY from_state IS DISTINCT FROM event_type")
 def audit_transitions(t):
-    was = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.select("event_id", was.alias("from_state"), F.col("event_type").alias("to_state")).where(~F.col("from_state").eqNullSafe(F.col("to_state")))
+    rows = carried(t.events.select("event_id", "ts", "user_id", "event_type"), ["user_id"], ["ts", "event_id"], F.struct("event_type"), "was", inclusive=False)
+    return rows.select("event_id", F.col("was.event_type").alias("from_state"), F.col("event_type").alias("to_state")).where(~F.col("from_state").eqNullSafe(F.col("to_state")))
 
 
 # --- filters of spreadsheets and constraints of schemas -------------------------------------------------------------
