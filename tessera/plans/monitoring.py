@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 from ..catalog import query, small
 from ..functions.predicates import CELL_IS, DAYS, FORMATS, OPERATORS, PERIODS, cell_format, condition, constraint, dynamic_filter, icon, key_violations, rule, scaled
 from ..operators import monitoring as M
-from ..operators.scans import carried
 from ..operators import patterns as P
+from ..operators.quantiles import exact_quantiles
+from ..operators.scans import carried
 
 OPS = {
     "eq": ("event_type", "eq", "click"), "neq": ("event_type", "neq", "click"), "gt": ("value", "gt", 50), "gte": ("value", "gte", 50), "lt": ("value", "lt", 10), "lte": ("value", "lte", 10),
@@ -80,12 +81,22 @@ def metric_stats(t):
 round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS v_rate, round(quantile_cont(value, 0.95), 6) AS v_percentile, round(median(value), 6) AS v_median, round(stddev_samp(value), 6) AS v_stddev,
 round(sum(value * user_id) / sum(user_id), 6) AS v_weighted, arg_min(value, (ts, event_id)) AS v_first, arg_max(value, (ts, event_id)) AS v_last FROM events GROUP BY 1""")
 def metric_aggregations(t):
+    """Percentile and median are exact and found by selection, so that no group's values are held together."""
     r = lambda kind, to=6, **k: F.round(M.metric_aggregation(kind, "value", **k), to)
-    return t.events.groupBy("event_type").agg(
+    sums = t.events.groupBy("event_type").agg(
         r("sum", 4).alias("v_sum"), r("avg").alias("v_avg"), M.metric_aggregation("min", "value").alias("v_min"), M.metric_aggregation("max", "value").alias("v_max"), M.metric_aggregation("count", "value").alias("v_count"),
-        M.metric_aggregation("distinct_count", "value").alias("v_distinct"), r("rate", 9).alias("v_rate"), r("percentile").alias("v_percentile"), r("median").alias("v_median"), r("stddev").alias("v_stddev"),
+        M.metric_aggregation("distinct_count", "value").alias("v_distinct"), r("rate", 9).alias("v_rate"), r("stddev").alias("v_stddev"),
         r("weighted_avg", weight="user_id").alias("v_weighted"), M.metric_aggregation("first", "value").alias("v_first"), M.metric_aggregation("last", "value").alias("v_last"),
     )
+    ranked = exact_quantiles(t.events, ["event_type"], "value", {"v_percentile": 0.95, "v_median": 0.5}).withColumnRenamed("event_type", "ranked_type")
+    told = sums.join(small(ranked), F.col("event_type").eqNullSafe(F.col("ranked_type"))).drop("ranked_type")
+    return told.withColumns({c: F.round(c, 6) for c in ("v_percentile", "v_median")})
+
+
+@query("quantiles_of_customers", "SELECT o_custkey, round(quantile_cont(o_totalprice::DOUBLE, 0.25), 4) AS low, round(quantile_cont(o_totalprice::DOUBLE, 0.5), 4) AS mid, round(quantile_cont(o_totalprice::DOUBLE, 0.9), 4) AS high FROM orders GROUP BY 1")
+def quantiles_of_customers(t):
+    out = exact_quantiles(t.orders, ["o_custkey"], "o_totalprice", {"low": 0.25, "mid": 0.5, "high": 0.9})
+    return out.select("o_custkey", *(F.round(c, 4).alias(c) for c in ("low", "mid", "high")))
 
 
 @query("aggregate_with_filter", "SELECT user_id, round(sum(value), 4) AS total, count(*) AS n FROM events WHERE value > 5 AND event_type <> 'error' GROUP BY user_id")

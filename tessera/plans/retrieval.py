@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..catalog import query
 from ..functions.vectors import jaccard, tokens
 from ..operators import retrieval as R
+from ..operators.fusion import train_fusion
 
 K = 10
 TOKENS = "list_filter(regexp_split_to_array(replace(lower({}), 'ß', 'ss'), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')"
@@ -159,3 +160,18 @@ def pair_jaccard(t):
 
 
 
+
+
+_STEP = "1 / (1 + exp(-(w0 * a + w1 * b + w2 * g + bias))) - y"
+
+
+@query("fusion_training", f"""WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, least(n_chars / 5000.0::DOUBLE, 1.0::DOUBLE) AS a, (length(text) - length(replace(text, ' ', ''))) / greatest(n_chars, 1)::DOUBLE AS b, toxic::DOUBLE AS g, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)), n AS (SELECT count(*) AS n FROM s),
+w AS (SELECT 0::BIGINT AS k, (1 / 3.0)::DOUBLE AS w0, (1 / 3.0)::DOUBLE AS w1, (1 / 3.0)::DOUBLE AS w2, 0::DOUBLE AS bias, 0::DOUBLE AS loss
+UNION ALL SELECT k + 1, w0 - 0.05 * e * a, w1 - 0.05 * e * b, w2 - 0.05 * e * g, bias - 0.05 * e, (CASE WHEN i = 0 THEN 0 ELSE loss END) + e * e FROM (SELECT w.*, s.*, {_STEP} AS e FROM w, n, s WHERE w.k < 2 * n.n AND s.i = w.k % n.n))
+SELECT round(w0, 6) AS vector, round(w1, 6) AS keyword, round(w2, 6) AS graph, round(bias, 6) AS bias, round(loss / n, 6) AS loss FROM w, n WHERE k = 2 * n""")
+def fusion_training(t):
+    """The fusion model trained on all labelled documents in the order of their ids, twice through; bins of 64 here, so that even a small table goes in many."""
+    docs = t.documents.select("doc_id", F.least(F.col("n_chars") / F.lit(5000.0), F.lit(1.0)).alias("vector"), ((F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))) / F.greatest("n_chars", F.lit(1))).alias("keyword"))
+    samples = t.labels.join(docs, "doc_id").select("doc_id", "vector", "keyword", F.col("toxic").alias("graph"), "quality")
+    m = train_fusion(samples, ["vector", "keyword", "graph"], "quality", ["doc_id"], rate=0.05, epochs=2, bin_rows=64)
+    return t.spark.createDataFrame([(*m.weights, m.bias, m.loss)], "vector double, keyword double, graph double, bias double, loss double").select(*(F.round(c, 6).alias(c) for c in ("vector", "keyword", "graph", "bias", "loss")))
