@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..catalog import query
 from ..functions.vectors import jaccard, tokens
 from ..operators import retrieval as R
+from ..operators.compressed import compressed_index, compressed_top_k
 from ..operators.fusion import train_fusion
 
 K = 10
@@ -61,6 +62,13 @@ def vector_bucket_top_k(t):
     return R.bucket_top_k(index, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", K).select("qid", F.col("id").alias("doc_id"), "score", "rank")
 
 
+@query("vector_compressed_top_k")
+def vector_compressed_top_k(t):
+    """As the inner product search, over product-quantised codes with exact reranking: its recall is tested against the exact search."""
+    index = compressed_index(t.embeddings, "vec_id", "embedding")
+    return compressed_top_k(index, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", K).select("qid", F.col("id").alias("doc_id"), "score", "rank")
+
+
 @query("retrieval_plan", f"SELECT item_id, CASE WHEN n <= 3 THEN 1 WHEN n <= 12 THEN 3 ELSE 5 END AS queries, CASE WHEN n <= 3 THEN 5 WHEN n <= 12 THEN 10 ELSE 20 END AS k, n > 3 AS rerank, greatest(3, least(20, CASE WHEN n < 5 THEN 5 WHEN n < 12 THEN 8 ELSE 12 END + greatest(-1, least(1, item_id % 5 - 2)))) AS chosen_k FROM (SELECT item_id, len({TOKENS.format('text')}) AS n FROM benchmark)")
 def retrieval_plan(t):
     n = F.size(tokens(F.col("text")))
