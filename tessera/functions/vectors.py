@@ -41,7 +41,10 @@ def hash_cells(text: Column, dims: int = 128) -> Column:
     A token becomes cell * 2, plus 1 for a minus; sorted, a cell's tokens are neighbours.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r\f]+"), lambda x: x != "")
-    codes = F.transform(words, lambda w: let(F.sha2(w, 256), lambda d: ((F.conv(F.substring(d, 1, 8), 16, 10).cast("long") % dims) * 2 + F.conv(F.substring(d, 9, 2), 16, 10).cast("long") % 2).cast("int")))
+    digit = lambda d, i: F.position(F.substring(d, i, 1), F.lit("0123456789abcdef")) - 1
+    # Of the first 8 digits only the last two matter where dims divides 256; of the next two only the last one tells odd from even.
+    at = (lambda d: (digit(d, 7) * 16 + digit(d, 8)) % dims) if 256 % dims == 0 else (lambda d: F.conv(F.substring(d, 1, 8), 16, 10).cast("long") % dims)
+    codes = F.transform(words, lambda w: let(F.sha2(w, 256), lambda d: (at(d) * 2 + digit(d, 10) % 2).cast("int")))
     cell = lambda x: F.shiftright(x, 1)
 
     def summed(s: Column, starts: Column) -> Column:

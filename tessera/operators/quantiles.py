@@ -21,12 +21,23 @@ GRID = 256  # intervals that a round lays through one
 def exact_quantiles(df: DataFrame, by: list[str], value: str, percents: dict[str, float], most: int = 100_000) -> DataFrame:
     """(by..., one column for each of ``percents``): linear between the two nearest ranks, as doubles.
 
-    Null values are left out; a group without any has nulls. Not-a-numbers are above all numbers. ``most`` bounds the rows of
-    an interval that are sorted at a time and changes no result.
+    Null values are left out; a group without any has nulls. Not-a-numbers are above all numbers. Groups of up to ``most``
+    values are aggregated as they are, larger ones go by selection; ``most`` also bounds the rows of an interval that are
+    sorted at a time. It changes no result.
     """
     keys = [f"_{i}" for i in range(len(by))]
     rows = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.col(value).cast("double").alias("v"))
-    sizes = stored(rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest")), "sizes")
+    counted = rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    large = stored(counted.where(F.col("n") > most), "large-groups")
+    plain = rows if not large.limit(1).count() else _joined(rows, checked(large.select(*keys)), keys, "left_anti")
+    out = plain.groupBy(*keys).agg(*(F.percentile("v", F.lit(float(p))).alias(name) for name, p in percents.items()))
+    if plain is not rows:
+        out = out.unionByName(_selected(rows, large, keys, percents, most))
+    return out.select(*(F.col(k).alias(b) for k, b in zip(keys, by, strict=True)), *percents)
+
+
+def _selected(rows: DataFrame, sizes: DataFrame, keys: list[str], percents: dict[str, float], most: int) -> DataFrame:
+    """The same for the groups of ``sizes``, by selection."""
     asked = F.inline(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in percents.items())))
     exact = sizes.where("n > 0").select(*keys, "n", "least", "greatest", asked).withColumn("at", F.col("p") * (F.col("n") - 1))
     floor = F.floor("at").cast("long")
@@ -61,8 +72,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, percents: dict[str
     both = _joined(low.withColumn("rank", F.least(floor + 1, F.col("n") - 1)), at("x1"), [*keys, "rank"])
     part = F.col("at") - floor
     told = both.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.when(part == 0, F.col("x0")).otherwise(F.col("x0") + (F.col("x1") - F.col("x0")) * part))).alias(name) for name in percents))
-    out = _joined(sizes.select(*keys), told, keys, "left")
-    return out.select(*(F.col(k).alias(b) for k, b in zip(keys, by, strict=True)), *percents)
+    return told.select(*keys, *percents)
 
 
 def _within(rows: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,4 +87,4 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
     """A join on keys that may be null; right columns of the same names go."""
     renamed = right.withColumnsRenamed({k: f"r{k}" for k in on})
     same = reduce(lambda a, b: a & b, (left[k].eqNullSafe(renamed[f"r{k}"]) for k in on), F.lit(True))
-    return left.join(renamed, same, how).drop(*(f"r{k}" for k in on))
+    return left.join(renamed, same, how).drop(*(f"r{k}" for k in on)) if how != "left_anti" else left.join(renamed, same, how)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions.text import stride_chunks
 from ..operators import evidence as E
+from ..operators import rdf
 
 
 @query("evidence_cluster_heads")
@@ -63,3 +64,12 @@ def n_triples_lines(t):
     link = F.concat(F.lit("<n"), F.col("n_nationkey"), F.lit("> <in> <r"), F.col("n_regionkey"), F.lit("> ."))
     label = F.concat(F.lit("<n"), F.col("n_nationkey"), F.lit('> <label> "'), F.col("n_name"), F.lit('" .'))
     return E.n_triples(t.nation.select(F.explode(F.array(link, label, F.lit("# none"))).alias("value")))
+
+
+@query("rdf_identity", "SELECT p, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders), (VALUES ('customer'), ('status'), ('priority')) v(p) GROUP BY 1")
+def rdf_identity(t):
+    """Orders as blank nodes: those that say the same are one node, whatever their names. Triples go out as lines and are read back first."""
+    string = "http://www.w3.org/2001/XMLSchema#string"
+    said = F.array(*(F.struct(F.lit(p).alias("p"), F.col(c).cast("string").alias("o"), F.lit(kind).alias("o_type")) for p, c, kind in (("customer", "o_custkey", "int"), ("status", "o_orderstatus", string), ("priority", "o_orderpriority", string))))
+    triples = t.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("s"), F.lit("blank").alias("s_kind"), F.inline(said)).select("s", "s_kind", "p", "o", F.lit("literal").alias("o_kind"), "o_type", F.lit(None).cast("string").alias("o_lang"))
+    return rdf.canonical(rdf.read_triples(rdf.write_lines(triples))).distinct().groupBy("p").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, shared_path
 from ..sources import readers as R
+from ..sources.ingestion import Step
+from ..sources.ingestion import ingest as ingest_table
 
 
 @query("csv_coerced", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_acctbal > 5000 AS rich FROM customer")
@@ -103,3 +105,28 @@ def bulk_lines(t):
     numbered = lines.select(F.col("user_id").alias("source"), (F.col("event_id") * 2 + F.col("i")).alias("line_no"), "value")
     out = R.parse_bulk(numbered)
     return out.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("document", "$.user").cast("long")).alias("users"))
+
+
+def _steps() -> tuple[list[str], dict]:
+    k = F.expr("try_cast(get_json_object(props, '$.k') AS INT)")
+    return ["parse", "check", "chunk", "store"], {
+        "parse": Step({"k": k}, F.when(F.col("k").isNull(), "no number")),
+        "check": Step(error=F.when(F.col("value") > 150, F.lit("value over 150")).when(F.col("event_type") == "error", F.lit("is an error"))),
+        "chunk": Step(explode=("part", F.expr("CASE WHEN k % 4 > 0 THEN sequence(1, k % 4) ELSE array() END"))),
+        "store": Step({"stored_as": F.concat_ws(":", "event_id", "part")}),
+    }
+
+
+_FAILED = "CASE WHEN k IS NULL THEN 'parse' WHEN value > 150 OR event_type = 'error' THEN 'check' WHEN k % 4 <= 0 THEN 'chunk' END"
+_PARSED = "(SELECT *, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
+
+
+@query("ingest_events", f"SELECT event_id, cast(part AS INTEGER) AS part, event_id || ':' || part AS stored_as FROM (SELECT event_id, unnest(range(1, k % 4 + 1)) AS part FROM {_PARSED} WHERE {_FAILED} IS NULL)")
+def ingest_events(t):
+    """Events in four named steps; what a step can't take is in ingest_event_errors."""
+    return ingest_table(t.events, *_steps()).rows.select("event_id", "part", "stored_as")
+
+
+@query("ingest_event_errors", f"SELECT event_id, {_FAILED} AS failed_step, CASE WHEN k IS NULL THEN 'no number' WHEN value > 150 THEN 'value over 150' WHEN event_type = 'error' THEN 'is an error' ELSE 'nothing to store' END AS error FROM {_PARSED} WHERE {_FAILED} IS NOT NULL")
+def ingest_event_errors(t):
+    return ingest_table(t.events, *_steps()).errors.select("event_id", "failed_step", "error")

@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import draws as D
+from ..functions import grids as G2
+from ..functions import spectra as SP
 from ..functions import tensors as X
 
 
@@ -145,3 +148,36 @@ def tensor_sequences(t):
         "p_partkey", text(X.sequence_erase(xs, 1)).alias("erased"), text(X.sequence_insert(xs, F.lit(9), 1)).alias("inserted"), text(X.sequence_pop(xs)).alias("popped"), text(F.array_append(xs, 4)).alias("pushed"), X.optional_has_element(maybe).alias("has_"),
         F.coalesce(maybe, F.lit(-1)).alias("got"), F.aggregate(F.sequence(F.lit(0), size), F.lit(0).cast("long"), lambda a, i: a + i).alias("ranged"), F.when(size > 25, "then").otherwise("else").alias("branch"),
     )
+
+
+_KERNEL = [[0.5, -1.0, 2.0], [0.0, 3.0, 0.25], [1.0, 1.0, -0.5]]
+_TAPS = " + ".join(f"({k}::DOUBLE) * e[(i + {u}) * 8 + j + {v} + 1]" for u, row in enumerate(_KERNEL) for v, k in enumerate(row))
+
+
+@query("grid_convolution", f"SELECT vec_id, cast(i AS INTEGER) AS i, cast(j AS INTEGER) AS j, round({_TAPS}, 6) AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), (SELECT unnest(range(0, 6)) AS i), (SELECT unnest(range(0, 6)) AS j)")
+def grid_convolution(t):
+    """Each vector as a grid of eight rows, under a kernel of three by three."""
+    out = t.embeddings.select("vec_id", G2.convolved(X.reshaped(F.col("embedding").cast("array<double>"), 8), _KERNEL).alias("g"))
+    return out.select("vec_id", F.posexplode("g").alias("i", "row")).select("vec_id", "i", F.posexplode("row").alias("j", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("grid_pools", "SELECT vec_id, cast(i AS INTEGER) AS i, cast(j AS INTEGER) AS j, list_max(w) AS largest, round(list_sum(w) / 4, 6) AS mean FROM (SELECT vec_id, i, j, [e[i * 16 + j * 2 + 1], e[i * 16 + j * 2 + 2], e[i * 16 + 8 + j * 2 + 1], e[i * 16 + 8 + j * 2 + 2]] AS w FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j))")
+def grid_pools(t):
+    grid = t.embeddings.select("vec_id", X.reshaped(F.col("embedding").cast("array<double>"), 8).alias("g"))
+    both = grid.select("vec_id", G2.pooled(F.col("g"), (2, 2)).alias("a"), G2.pooled(F.col("g"), (2, 2), how="average").alias("b"))
+    cells = both.select("vec_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "r")).select("vec_id", "i", F.posexplode(F.arrays_zip(F.col("r.a").alias("largest"), F.col("r.b").alias("mean"))).alias("j", "c"))
+    return cells.select("vec_id", "i", "j", "c.largest", F.round("c.mean", 6).alias("mean"))
+
+
+@query("fourier_power", "SELECT vec_id, cast(k AS INTEGER) AS k, round(power(sum(v * cos(2 * pi() * k * i / 64)), 2) + power(sum(v * sin(2 * pi() * k * i / 64)), 2), 6) AS power FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, 64)) AS i FROM embeddings), (SELECT unnest(range(0, 33)) AS k) GROUP BY vec_id, k")
+def fourier_power(t):
+    """The power spectrum of each vector, by a transform in six stages."""
+    x = t.embeddings.select("vec_id", F.slice(SP.fourier(F.col("embedding").cast("array<double>"), 64), 1, 33).alias("f"))
+    return x.select("vec_id", F.posexplode("f").alias("k", "c")).select("vec_id", "k", F.round(F.col("c.re") * F.col("c.re") + F.col("c.im") * F.col("c.im"), 6).alias("power"))
+
+
+@query("random_draws")
+def random_draws(t):
+    """Draws keyed by customer, the same on any partitioning; hashes that SQL does not have, so frequencies and repeats are tested."""
+    key = F.col("c_custkey")
+    return t.customer.select(key, D.uniform(key, 0, 11).alias("u"), D.normal(key, 0, 11).alias("z"), D.bernoulli(F.lit(0.25), key, 1, 11).alias("hit"), D.multinomial([5, 2, 1], key, 4, 11).alias("places"))
