@@ -162,6 +162,8 @@ def cell_format(kind: str, c: Column, *args) -> Column:
         return F.coalesce(CELL_IS[args[0]](c, *args[1:]), F.lit(False))
     if kind == "expression":
         return F.coalesce(F.expr(args[0]), F.lit(False))
+    if kind == "timePeriod":
+        return F.coalesce(dynamic_filter(args[0], c, *args[1:]), F.lit(False))
     return F.coalesce(FORMATS[kind](c, *args), F.lit(False))
 
 

@@ -432,3 +432,13 @@ def optional_has_element(x: Column) -> Column:
 def loop(start: Column, most: int, go_on, body) -> Column:
     """``body`` up to ``most`` times while ``go_on`` holds for the state."""
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda a, i: F.when(go_on(a), body(a, i)).otherwise(a))
+
+
+def do_until(start: Column, most: int, done, body) -> Column:
+    """``body`` once, and again, up to ``most`` times in all, until ``done`` holds for the state."""
+    once = F.struct(start.alias("a"), F.lit(False).alias("done"))
+
+    def step(s: Column, i: Column) -> Column:
+        return F.when(s["done"], s).otherwise(let(body(s["a"], i), lambda a: F.struct(a.alias("a"), F.coalesce(done(a), F.lit(False)).alias("done"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), once, step)["a"]

@@ -129,6 +129,14 @@ def completeness(terms: Column, answer: Column) -> Column:
     return F.when(F.size(terms) == 0, 1.0).otherwise(F.size(F.filter(terms, lambda x: F.contains(low, x))) / F.size(terms))
 
 
+def retrieval_score(query: Column, evidence: Column) -> Column:
+    """Of an array of evidence texts: the mean share of the query's distinct terms of more than three characters that are among a text's tokens; empty texts don't count, no texts: 0."""
+    terms = query_terms(query)
+    texts = F.filter(evidence, lambda x: x.isNotNull() & (x != ""))
+    share = lambda q: lambda x: F.size(F.array_intersect(q, tokens(x))) / F.greatest(F.size(q), F.lit(1))
+    return let(terms, lambda q: F.coalesce(F.try_divide(F.aggregate(F.transform(texts, share(q)), F.lit(0.0), lambda a, x: a + x), F.size(texts)), F.lit(0.0)))
+
+
 def unsupported(answer: Column, evidence: Column) -> Column:
     """Share of the answer's terms of more than five characters that the evidence lacks; no answer: 1, no such terms: 0."""
     low, terms = F.lower(evidence), F.filter(tokens(answer), lambda x: F.length(x) > 5)

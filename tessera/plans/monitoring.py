@@ -271,6 +271,26 @@ def conditional_top_ten(t):
     return t.part.orderBy(F.desc("p_retailprice"), "p_partkey").limit(10).select("p_partkey", "p_retailprice")
 
 
+@query("conditional_top_percent", "WITH n AS (SELECT greatest(1, cast(floor(count(*) * 0.1) AS BIGINT)) AS n FROM part), b AS (SELECT min(p_retailprice) FILTER (hi <= n) AS top, max(p_retailprice) FILTER (lo <= n) AS bottom FROM (SELECT p_retailprice, row_number() OVER (ORDER BY p_retailprice DESC) AS hi, row_number() OVER (ORDER BY p_retailprice) AS lo FROM part), n) SELECT p_partkey, p_retailprice >= top AS in_top, p_retailprice <= bottom AS in_bottom FROM part, b WHERE p_retailprice >= top OR p_retailprice <= bottom")
+def conditional_top_percent(t):
+    """Cells among the tenth with the largest and the tenth with the smallest values, ties at the border too; the borders are ranks found by selection."""
+    part = t.part.select("p_partkey", "p_retailprice", F.lit(0).alias("sheet"))
+    n = part.count()
+    most = max(1, n // 10)
+    borders = exact_quantiles(part, ["sheet"], "p_retailprice", {"bottom": (most - 1) / max(n - 1, 1), "top": (n - most) / max(n - 1, 1)})
+    edge = 1e-9  # the two ranks are whole numbers but for the last digits of a double
+    out = part.crossJoin(F.broadcast(borders.drop("sheet")))  # one row
+    marked = out.select("p_partkey", (F.col("p_retailprice") >= F.col("top") - edge * F.abs("top")).alias("in_top"), (F.col("p_retailprice") <= F.col("bottom") + edge * F.abs("bottom")).alias("in_bottom"))
+    return marked.where("in_top OR in_bottom")
+
+
+@query("conditional_time_periods", "SELECT o_orderkey, coalesce(date_trunc('month', o_orderdate) = DATE '1996-05-01', false) AS last_month, coalesce(date_trunc('year', o_orderdate) = DATE '1996-01-01', false) AS this_year FROM orders")
+def conditional_time_periods(t):
+    """Time periods as formats of date cells, seen from a day of 1996."""
+    now = F.lit("1996-06-15").cast("date")
+    return t.orders.select("o_orderkey", cell_format("timePeriod", F.col("o_orderdate"), "lastMonth", now).alias("last_month"), cell_format("timePeriod", F.col("o_orderdate"), "thisYear", now).alias("this_year"))
+
+
 @query("constraint_report", "SELECT 'name_pattern' AS rule, count(*) FILTER (NOT regexp_matches(c_name, '^Customer#[0-9]{9}')) AS failed FROM customer UNION ALL SELECT 'balance_range', count(*) FILTER (NOT c_acctbal BETWEEN 0 AND 9000) FROM customer UNION ALL SELECT 'segment_enum', count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')) FROM customer UNION ALL SELECT 'key_required', count(*) FILTER (c_custkey IS NULL) FROM customer UNION ALL SELECT 'name_length', count(*) FILTER (length(c_name) > 18) FROM customer")
 def constraint_report(t):
     """Failures of each constraint in one pass."""

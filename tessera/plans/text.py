@@ -193,3 +193,15 @@ def citation_numbers(t):
 def token_statistics(t):
     n = F.size(tokens(F.col("text"))).cast("long")
     return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).alias("n_tokens"), F.max(n).alias("longest"))
+
+
+_TERMS = "list_distinct(list_filter(" + WORDS.format("replace(lower(q), 'ß', 'ss')") + ", lambda x: length(x) > 3))"
+
+
+@query("retrieval_scores", f"""WITH q AS (SELECT conv_id, text AS q FROM conversations WHERE turn = 0 AND text IS NOT NULL), e AS (SELECT q.conv_id, {_TERMS} AS terms, {WORDS.format("replace(lower(c.text), 'ß', 'ss')")} AS said FROM q JOIN conversations c ON c.conv_id = q.conv_id AND c.turn > 0 AND c.text <> '')
+SELECT conv_id, round(avg(len(list_intersect(terms, said)) / greatest(len(terms), 1)), 8) AS score FROM e GROUP BY 1""")
+def retrieval_scores(t):
+    """How well the later turns of a conversation, as evidence, cover its first one. Each turn is scored by itself and the mean is taken by partial aggregates."""
+    first = t.conversations.where("turn = 0 AND text IS NOT NULL").select("conv_id", F.col("text").alias("q"))
+    each = t.conversations.where("turn > 0 AND text <> ''").join(first, "conv_id").select("conv_id", X.retrieval_score(F.col("q"), F.array("text")).alias("s"))
+    return each.groupBy("conv_id").agg(F.round(F.avg("s"), 8).alias("score"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..catalog import small
+
 
 def coerced(text: Column, kind: str, default=None) -> Column:
     """Text as a type: blank is the default, what can't be read is null."""
@@ -28,9 +32,16 @@ def out_type(kind: str) -> str:
     return {"uuid": "string", "long": "bigint"}.get(kind, kind)
 
 
-def read_delimited(spark: SparkSession, path: str, columns: dict[str, str] | None = None, sep: str = ",", encoding: str = "UTF-8", defaults: dict | None = None) -> DataFrame:
-    """A table with a header row. With ``columns`` (name -> type) values are coerced and <name>_raw keeps what could not be read; without, all are strings."""
-    raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", False).csv(path)
+def read_delimited(spark: SparkSession, path: str, columns: dict[str, str] | None = None, sep: str = ",", encoding: str = "UTF-8", defaults: dict | None = None, skip_rows: int = 0, header_row: int | None = 0) -> DataFrame:
+    """A table with a header row. With ``columns`` (name -> type) values are coerced and <name>_raw keeps what could not be read; without, all are strings.
+
+    ``skip_rows`` lines at the top of each file are passed over; of those after, line ``header_row`` names the columns and
+    what stands before it goes too. None: no header, columns are c0, c1 and so on. Quoted fields don't go over lines.
+    """
+    if not skip_rows and header_row == 0:
+        raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", False).csv(path)
+    else:
+        raw = _below_header(spark, path, sep, encoding, skip_rows, header_row)
     if not columns:
         return raw
     out = []
@@ -42,6 +53,24 @@ def read_delimited(spark: SparkSession, path: str, columns: dict[str, str] | Non
     return raw.select(*out)
 
 
+def _below_header(spark: SparkSession, path: str, sep: str, encoding: str, skip_rows: int, header_row: int | None) -> DataFrame:
+    """Lines are counted from the start of each file's first block, so only what lies there can be passed over."""
+    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("top"), F.monotonically_increasing_id().alias("at"))
+    tops = lines.where("top").groupBy(F.col("file").alias("of")).agg(F.min("at").alias("begin"))
+    line = F.when(F.col("top"), F.col("at") - F.col("begin"))
+    numbered = lines.join(small(tops), F.col("file") == F.col("of")).withColumn("line", line)
+    first = skip_rows + (header_row if header_row is not None else 0)
+    top = numbered.where(F.col("line") == first).orderBy("file").limit(1).collect()
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    fields = next(csv.reader([top[0]["value"]], delimiter=sep)) if top else []
+    names = [n if header_row is not None and n else f"c{i}" for i, n in enumerate(fields)]
+    kept = numbered.where(F.col("line").isNull() | (F.col("line") > first if header_row is not None else F.col("line") >= first)).where(F.trim("value") != "")
+    if not names:
+        return kept.select().limit(0)
+    parsed = F.from_csv("value", F.lit(", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)), options)
+    return kept.select(parsed.alias("r")).select("r.*")
+
+
 def read_fixed_width(spark: SparkSession, path: str, fields: list[tuple[str, int, int, str]]) -> DataFrame:
     """Fields (name, start from 0, width, type) of each line."""
     lines = spark.read.text(path)

@@ -48,3 +48,12 @@ def test_schema_of_json_and_triples(spark):
     assert {f.name for f in R.inferred_schema(spark, df, "j")["v"].dataType} == {"a", "b", "c"}
     lines = spark.createDataFrame([('<a> <p> "x \\" y"@en .',), ("junk",)], "value string")
     assert [tuple(r) for r in n_triples(lines).collect()] == [("a", "p", 'x \\" y')]
+
+
+def test_delimited_below_a_title(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"f{k}.csv").write_text(f"Report {k}\n\nunits;of;year\nid;name;amount\n{k}1;\"a;b\";2.5\n\n{k}2;;x\n")
+    got = R.read_delimited(spark, str(tmp_path), {"id": "long", "amount": "double"}, sep=";", skip_rows=2, header_row=1)
+    assert sorted((r["id"], r["amount"], r["amount_raw"]) for r in got.collect()) == [(11, 2.5, None), (12, None, "x"), (21, 2.5, None), (22, None, "x")]
+    plain = R.read_delimited(spark, str(tmp_path / "f1.csv"), sep=";", skip_rows=4, header_row=None)
+    assert plain.columns == ["c0", "c1", "c2"] and sorted(map(tuple, plain.collect())) == [("11", "a;b", "2.5"), ("12", None, "x")]

@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 import tessera.plans  # noqa: F401
 from tessera.catalog import QUERIES
@@ -93,3 +94,38 @@ def test_no_group_is_gathered(spark, tmp_path):
     assert {tuple(r) for r in got} == {(7, 2, 12.5, "2-B"), (8, 1, 0.0, None), (9, 0, 0.0, None)}
     plans = "".join(QUERIES[q](spark, str(tmp_path))._jdf.queryExecution().toString() for q in ("custom_aggregation", "nested_counts"))
     assert "collect_list" not in plans and "Python" not in plans and "partial_sum" in plans
+
+
+def test_cluster_heads(spark):
+    """Far apart clusters: the first row of each."""
+    from tessera.operators.evidence import cluster_heads
+
+    rows = [(i, [100.0 * (i % 3) + i / 1000, 50.0 * (i % 3)], f"l{i}") for i in range(7, 67)]
+    got = cluster_heads(spark.createDataFrame(rows, "vec_id long, v array<double>, label string"), "v", ["vec_id"], k=3).collect()
+    assert sorted(r["vec_id"] for r in got) == [7, 8, 9] and {r["label"] for r in got} == {"l7", "l8", "l9"} and len({r["cluster"] for r in got}) == 3
+
+
+def test_catch_event_clusters(spark, tmp_path):
+    import zlib
+
+    rows = [(i, T0 + timedelta(minutes=97 * i % 500), ["view", "click", "error"][i % 3], f"p{i % 4}") for i in range(60)]
+    got = run(spark, "catch_event_clusters", tmp_path, events=(rows, "event_id long, ts timestamp, event_type string, props string"))
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        want.setdefault(zlib.crc32(f"{r[2]}|{r[3]}".encode()) % 5, []).append(r[0])
+    assert {(r["cluster"], r["event_id"]) for r in got} == {(c, i) for c, ids in want.items() for i in ids[:3]}
+
+
+def test_do_until_runs_once_at_least(spark):
+    from tessera.functions.tensors import do_until
+
+    out = spark.range(6).select("id", do_until(F.col("id"), 5, lambda a: a >= 4, lambda a, i: a + i).alias("v")).collect()
+
+    def want(a):
+        for i in range(1, 6):
+            a += i
+            if a >= 4:
+                break
+        return a
+
+    assert {r["id"]: r["v"] for r in out} == {k: want(k) for k in range(6)}
