@@ -30,8 +30,12 @@ def trimmed_mean(value: str) -> Column:
 def routed(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Messages for each subscriber of their topic; a pattern that ends in * takes all topics that begin so."""
     exact = messages.join(subscriptions.where(~F.col("pattern").endswith("*")), F.col("topic") == F.col("pattern"))
-    stem = F.regexp_replace("pattern", r"\*$", "")
-    prefix = messages.join(F.broadcast(subscriptions.where(F.col("pattern").endswith("*"))), F.startswith("topic", stem))
+    begins = subscriptions.where(F.col("pattern").endswith("*")).withColumn("stem", F.regexp_replace("pattern", r"\*$", ""))
+    # Patterns have few lengths: one row sends them along, and a topic's beginnings of these lengths meet the stems in an equi-join.
+    sizes = begins.agg(F.array_sort(F.collect_set(F.length("stem"))).alias("sizes"))
+    cut = F.explode(F.filter("sizes", lambda n: n <= F.length("topic"))).alias("size")
+    parts = messages.crossJoin(F.broadcast(sizes)).select(*messages.columns, cut)
+    prefix = parts.withColumn("beginning", F.expr("left(topic, size)")).join(begins, F.col("beginning") == F.col("stem")).drop("size", "beginning", "stem")
     return exact.unionByName(prefix).drop("pattern")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scans import BIN_ROWS, carried
+from .scans import BIN_ROWS, carried, running_sum
 
 
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[str], bin_rows: int = BIN_ROWS) -> DataFrame:
@@ -29,3 +29,15 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], at: str, sec
     two = right.withColumn("bin", bin_of(at)).withColumnRenamed(at, "right_at")
     near = (F.col("right_at") > F.col("left_at")) & (F.unix_micros("right_at") <= F.unix_micros("left_at") + seconds * 1_000_000)
     return one.join(two, [*by, "bin"]).where(near).drop("bin")
+
+
+def counts_within(left: DataFrame, right: DataFrame, by: list[str], at: str, seconds: int, row_id: str, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """(row_id, n): for each left row, whose ids are distinct, the right rows with its keys and left.at < right.at <= left.at + seconds.
+
+    The difference of two running counts, so no pairs are made: each left row asks at its own time and at the end of its span.
+    """
+    times = F.array(F.struct(F.unix_micros(at).alias("t"), F.lit(-1).alias("sign")), F.struct((F.unix_micros(at) + seconds * 1_000_000).alias("t"), F.lit(1).alias("sign")))
+    asked = left.where(F.col(at).isNotNull()).select(*by, F.col(row_id).alias("id"), F.inline(times), F.lit(1).alias("side"))
+    there = right.where(F.col(at).isNotNull()).select(*by, F.lit(None).cast(dict(left.dtypes)[row_id]).alias("id"), F.unix_micros(at).alias("t"), F.lit(0).alias("sign"), F.lit(0).alias("side"))
+    counted = running_sum(asked.unionByName(there), by, ["t", "side"], 1 - F.col("side"), "upto", bin_rows).where("side = 1")
+    return counted.groupBy(F.col("id").alias(row_id)).agg(F.sum(F.col("sign") * F.col("upto")).cast("long").alias("n"))

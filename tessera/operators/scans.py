@@ -55,6 +55,19 @@ def carried(df: DataFrame, by: list[str], order: list[str], value: Column, name:
     return out.withColumn(name, F.coalesce("_own", "_into")["v"]).drop("_bin", "_value", "_own", "_into")
 
 
+def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Adds ``name``: the sum of a key's ``value`` up to the row, itself included; null values add nothing."""
+    rows = binned(df, by, order[0], bin_rows, "_bin").withColumn("_value", F.coalesce(value, F.lit(0)))
+    own = F.sum("_value").over(Window.partitionBy(*by, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    if not _has_bins(rows):
+        return rows.withColumn(name, own).drop("_bin", "_value")
+    sums = rows.where("_bin IS NOT NULL").groupBy(*by, "_bin").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    into = stored(sums.withColumn("_into", F.sum("_sum").over(before)).drop("_sum"), "sums")
+    out = _joined(rows.withColumn("_own", own), checked(into), [*by, "_bin"])
+    return out.withColumn(name, F.col("_own") + F.coalesce("_into", F.lit(0))).drop("_bin", "_value", "_own", "_into")
+
+
 def _has_bins(rows: DataFrame) -> bool:
     """False where binned found no large key: the column is a null in the plan, not a join's result."""
     return "_cuts" in rows._jdf.queryExecution().analyzed().toString()

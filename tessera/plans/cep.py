@@ -102,11 +102,11 @@ def pattern_until(t):
 
 @query("pattern_followed_by_any", "SELECT e.event_id, count(p.event_id) AS n_after FROM events e JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts > e.ts AND p.ts <= e.ts + INTERVAL 6 HOUR WHERE e.event_type = 'click' GROUP BY 1")
 def pattern_followed_by_any(t):
-    from ..operators.joins import interval_join
+    """Purchases in the six hours after each click that has any, as a difference of running counts."""
+    from ..operators.joins import counts_within
 
-    c = t.events.where("event_type = 'click'").select("user_id", "ts", "event_id")
-    p = t.events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("after"))
-    return interval_join(c, p, ["user_id"], "ts", 6 * 3600).groupBy("event_id").agg(F.count("after").alias("n_after"))
+    of = lambda kind: t.events.where(F.col("event_type") == kind).select("user_id", "ts", "event_id")
+    return counts_within(of("click"), of("purchase"), ["user_id"], "ts", 6 * 3600, "event_id").where("n > 0").withColumnRenamed("n", "n_after")
 
 
 ALLEN_SQL = {

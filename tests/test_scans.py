@@ -115,6 +115,22 @@ def test_as_of(spark, events, bin_rows):
     assert got == want
 
 
+@BINS
+def test_running_sums_and_counts(events, bin_rows):
+    got = {r["event_id"]: r["x"] for r in scans.running_sum(events, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") != "error", F.col("value")), "x", bin_rows).collect()}
+    want, counts = {}, {}
+    for rows in by_user(ROWS).values():
+        total = 0.0
+        for r in rows:
+            total += r[4] if r[3] != "error" else 0.0
+            want[r[0]] = total
+            if r[3] == "click":
+                counts[r[0]] = sum(x[3] == "purchase" and r[1] < x[1] <= r[1] + timedelta(seconds=900) for x in rows)
+    assert got == pytest.approx(want)
+    of = lambda kind: events.where(F.col("event_type") == kind)
+    assert {r["event_id"]: r["n"] for r in joins.counts_within(of("click"), of("purchase"), ["user_id"], "ts", 900, "event_id", bin_rows).collect()} == counts
+
+
 def test_until_and_follows(events):
     got = {r["user_id"]: r["n"] for r in patterns.until(events, "user_id", "event_type", ["ts", "event_id"], "view", "error").collect()}
     want, pairs = {}, Counter()
