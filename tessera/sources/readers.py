@@ -150,10 +150,3 @@ def inferred_schema(spark: SparkSession, sample: DataFrame, column: str) -> T.St
     """The schema of JSON text from one grouped aggregate over all rows."""
     merged = sample.select(F.expr(f"schema_of_variant_agg(try_parse_json(`{column}`))").alias("s")).first()["s"]
     return T.StructType.fromDDL(f"v {merged.replace('OBJECT<', 'STRUCT<')}") if merged else T.StructType([])
-
-
-def ingest(df: DataFrame, *steps) -> DataFrame:
-    """Steps one after the other."""
-    for step in steps:
-        df = df.transform(step)
-    return df
