@@ -5,8 +5,9 @@ A sketch has ``bands * rows`` coordinates. In round i every shingle is thrown in
 2t rounds always suffice. Texts with the same shingle set are one node from then on. Nodes that share a band form the
 family of the band's smallest node; links are confirmed on the full shingle sets inside families. A family of up to
 ``block`` nodes and ``block_mb`` of sets is compared in one task. Of a larger one, every member is first compared with the head; members that
-are not linked to it are compared, block by block, with each other and with those that the triangle inequality of the
-Jaccard distance leaves possible. Only links are emitted, never candidate pairs, and components come from an iterated
+are not linked to it are dealt to squares by the size of their sets and by their distance from the head, both of which
+differ little between linked ones, and compared, block by block, inside their square and with the squares next to it, and
+with those linked members that the triangle inequality of the Jaccard distance leaves possible. Only links are emitted, never candidate pairs, and components come from an iterated
 join.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exact_dedup import BITS, _passed
-from .shared import read, released, slices, small_batches, staged, text_of
+from .shared import checked, read, released, slices, small_batches, staged, text_of
 from .words import mix, shingle_sets
 
 SLICE = 1_000_000  # characters of text whose shingles are hashed at a time
@@ -262,17 +263,34 @@ def _large_links(large: DataFrame, sets: DataFrame, percent: int, blocks) -> Dat
     to_head = met.where("linked AND head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
     # A member at distance x from the head can be linked to one at distance y only if |x - y| is at most the largest distance of a link.
     most = 1 - percent / 100 + 1e-9
-    per_family = staged(met.groupBy("fam").agg(blocks(F.count_if(~F.col("linked")), F.sum(F.when(~F.col("linked"), F.col("bytes")))).alias("blocks"), F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest")).where("blocks > 0"))
+    loose, weight = ~F.col("linked"), F.sum(F.when(~F.col("linked"), F.col("bytes")))
+    per_family = staged(met.groupBy("fam").agg(blocks(F.count_if(loose), weight).alias("blocks"), F.min(F.when(loose, F.col("far"))).alias("nearest")).where("blocks > 0"))
     rest = met.where("NOT linked").join(per_family, "fam").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cell = lambda a, b, what: F.concat_ws(":", F.col("fam").cast("string"), a.cast("string"), b.cast("string"), F.lit(what)).alias("grp")
+    cell = lambda what, *parts: F.concat_ws(":", F.lit(what), *(p.cast("string") for p in parts)).alias("grp")
     k = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")
-    among = rest.select("fam", "node", "own", k).select(cell(F.least("own", "k"), F.greatest("own", "k"), "r"), "node", F.lit(False).alias("anchor"))
+    # Sets of linked members differ in size by a factor of 100 / percent at most, and their distances from the head by most.
+    span = float(np.log(100 / percent)) * (1 + 1e-9) or 1e-9
+    across, down = F.floor(F.log(F.col("bytes") / 8) / span), F.floor(F.col("far") / most)
+    squared = staged(rest.select("fam", "node", "bytes", across.alias("x"), down.alias("y")))
+    squares = checked(staged(squared.groupBy("fam", "x", "y").agg(blocks(F.count(F.lit(1)), F.sum("bytes")).alias("parts"))))
+    lot = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    # Each member goes to its own square and to the eight around it; of two neighbours the one ahead names their cells.
+    around = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    ways = F.inline(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit((dx, dy) > (0, 0)).alias("ahead"), F.lit((dx, dy) == (0, 0)).alias("same")) for dx, dy in around)))
+    mine = squared.join(squares, ["fam", "x", "y"]).select("fam", "node", "x", "y", lot.alias("lot"), ways).withColumns({"x2": F.col("x") + F.col("dx"), "y2": F.col("y") + F.col("dy")})
+    others = squares.select("fam", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("parts").alias("parts2"))
+    met_by = mine.join(others, ["fam", "x2", "y2"]).select("*", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)).alias("other"))
+    forth = lambda a, b: F.when(F.col("ahead") | F.col("same"), a).otherwise(b)
+    i = F.when(F.col("same"), F.least("lot", "other")).otherwise(forth(F.col("lot"), F.col("other")))
+    j = F.when(F.col("same"), F.greatest("lot", "other")).otherwise(forth(F.col("other"), F.col("lot")))
+    square = (forth(F.col("x"), F.col("x2")), forth(F.col("y"), F.col("y2")), forth(F.col("dx"), -F.col("dx")), forth(F.col("dy"), -F.col("dy")))
+    among = met_by.select(cell("r", F.col("fam"), *square, i, j), "node", F.col("ahead").alias("anchor"))
     near = met.where("linked AND head <> node").join(per_family, "fam").where(F.col("nearest") - F.col("far") <= most)
     parts = staged(near.groupBy("fam").agg(blocks(F.count(F.lit(1)), F.sum("bytes")).alias("parts")))
     near = near.join(parts, "fam").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    anchors = near.select("fam", "node", "part", k).select(cell(F.col("k"), F.col("part"), "n"), "node", F.lit(True).alias("anchor"))
+    anchors = near.select("fam", "node", "part", k).select(cell("n", F.col("fam"), F.col("k"), F.col("part")), "node", F.lit(True).alias("anchor"))
     close = rest.join(parts, "fam").where(F.col("far") <= 2 * most).select("fam", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    close = close.select(cell(F.col("own"), F.col("part"), "n"), "node", F.lit(False).alias("anchor"))
+    close = close.select(cell("n", F.col("fam"), F.col("own"), F.col("part")), "node", F.lit(False).alias("anchor"))
     cells = among.unionByName(anchors).unionByName(close).join(sets, "node")
     found = cells.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(_links(percent), "a long, b long")
     return to_head.union(found)

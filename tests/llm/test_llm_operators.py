@@ -85,6 +85,28 @@ def test_near_duplicates(docs, rows, width, percent, block):
     assert all(r["kept"] == (d == r["component_id"]) for d, r in got.items())
 
 
+@pytest.mark.parametrize("percent", [85, 100])
+def test_a_family_of_unlike_members(spark, percent, monkeypatch):
+    """Rows around one boilerplate, few of them linked: all links are found, and sets move to few cells."""
+    rng, plate = random.Random(percent), [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(900):
+        own = [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 160))]
+        rows.append((3 * i, " ".join(plate + own)))
+        if rng.random() < 0.15:
+            w = (plate + own)[:]
+            w[-1] = "z"
+            rows.append((3 * i + 1, " ".join(w)))
+            rows.append((3 * i + 2, " ".join(w[:-2])))
+    want = brute.components(rows, 3, percent)
+    # All that share a band with anything are one family, whose head is the first row.
+    monkeypatch.setattr(near_dedup, "_families", lambda met: met.select("node").distinct().crossJoin(F.broadcast(met.agg(F.min("node").alias("head")))).select(F.col("head").alias("fam"), "head", "node"))
+    seen = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = near_dedup.near_duplicates(seen, width=3, percent=percent, block=48)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: c for d, (_, c) in want.items()}
+    assert len({c for _, c in want.values()}) > 300
+
+
 def test_near_duplicates_odd_rows(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None)], "doc_id long, text string")
