@@ -72,7 +72,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no ids; whole texts are encoded, however long; repeated rows are encoded each; other columns
     go. An empty table gives an empty result. The workers that served the stages before have little memory to spare.
     """
-    return sentencepiece_codec.encode_texts(docs, sentencepiece_codec.model_bytes(spark), memo=200_000)
+    return sentencepiece_codec.encode_texts(docs, sentencepiece_codec.model_bytes(spark), memo=120_000)
 
 
 STAGES = [
