@@ -141,16 +141,11 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\
 
 @query("memory_jaccard", f"SELECT qid, conv_id, turn, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, conv_id, turn) AS rank FROM (SELECT q.conv_id AS qid, c.conv_id, c.turn, round(len(list_intersect({_WORDS.format('q.text')}, {_WORDS.format('c.text')})) / len(list_distinct(list_concat({_WORDS.format('q.text')}, {_WORDS.format('c.text')})))::DOUBLE + CASE WHEN c.role = 'user' THEN 0.1 ELSE 0 END, 6) AS score FROM conversations c, (SELECT * FROM conversations WHERE conv_id % 20 = 0 AND turn = 0 AND text <> '') q) WHERE score >= 0.15) WHERE rank <= 10")
 def memory_jaccard(t):
-    """The first turn of every twentieth conversation against all turns, by shared tokens through an inverted index."""
+    """The first turn of every twentieth conversation against all turns, by shared tokens."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\r\f]+"), lambda x: x != ""))
     c = t.conversations.select("conv_id", "turn", "role", words.alias("w"))
-    q = c.where("conv_id % 20 = 0 AND turn = 0 AND size(w) > 0").select(F.col("conv_id").alias("qid"), F.col("w").alias("qw"))
-    qt = q.select("qid", F.size("qw").alias("nq"), F.explode("qw").alias("term"))
-    ct = c.select("conv_id", "turn", "role", F.size("w").alias("nc"), F.explode("w").alias("term"))
-    met = ct.join(qt, "term").groupBy("qid", "nq", "conv_id", "turn", "role", "nc").agg(F.count(F.lit(1)).alias("both"))
-    overlap = met.select("qid", "conv_id", "turn", (F.col("both") / (F.col("nq") + F.col("nc") - F.col("both")) + F.when(F.col("role") == "user", 0.1).otherwise(0.0)).alias("score"))
-    scored = overlap.withColumn("score", F.round("score", 6)).where("score >= 0.15").withColumn("tie", F.struct("conv_id", "turn"))
-    return R.top_k(scored, ["qid"], "score", "tie", 10).drop("tie")
+    bonus = F.when(F.col("role") == "user", 0.1).otherwise(0.0)
+    return R.jaccard_top_k(c, c.where("conv_id % 20 = 0 AND turn = 0"), "conv_id", ["conv_id", "turn"], "w", 10, bonus, least=0.15)
 
 
 @query("session_search", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE contains(lower(text), 'the')) WHERE rn <= 10")
