@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import stored
-from .retrieval import _matrix, _passes, top_k
+from .retrieval import BLOCK, Kept, _matrix, _passes, top_k
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ def compressed_top_k(index: CompressedIndex, queries: DataFrame, id_col: str, ve
     """
     spark, kind = queries.sparkSession, "qid long, id long, score double"
     found = None
-    for size, qids, vectors in _passes(queries, id_col, vector_col):
+    for size, qids, vectors in _passes(queries, id_col, vector_col, candidates):
         if index.centres.shape[1:] != (size,):
             continue
         best_lists = np.argsort(-(vectors @ index.centres.T), axis=1)[:, :probes]
@@ -113,21 +113,7 @@ def compressed_top_k(index: CompressedIndex, queries: DataFrame, id_col: str, ve
         shared = spark.sparkContext.broadcast((qids, vectors, asked, index.centres, index.words))
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            """Each task keeps the best candidates of a query while it reads its codes, and only these move."""
-            qid, q, asked, centres, words = shared.value
-            scores, ids = np.empty((len(qid), 0)), np.empty((len(qid), 0), dtype=np.int64)
-            for whole in batches:
-                for at in range(0, len(whole), 4096):
-                    batch = whole.slice(at, 4096)
-                    lists = batch.column("list").to_numpy()
-                    codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(len(batch), -1)
-                    s = np.where(asked[:, lists], q @ decode(lists, codes, centres, words).T, -np.inf)
-                    all_s = np.hstack([scores, s])
-                    all_ids = np.hstack([ids, np.broadcast_to(batch.column("id").to_numpy(), s.shape)])
-                    order = np.lexsort((all_ids, -all_s), axis=1)[:, :candidates]
-                    scores, ids = np.take_along_axis(all_s, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
-            some = np.isfinite(scores)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, some.sum(axis=1))), pa.array(ids[some]), pa.array(scores[some])], names=["qid", "id", "score"])
+            return best_codes(batches, *shared.value, candidates)
 
         def exact(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value[:2]
@@ -141,3 +127,17 @@ def compressed_top_k(index: CompressedIndex, queries: DataFrame, id_col: str, ve
         part = near.join(index.vectors, "id").select("qid", "id", "v").mapInArrow(exact, kind)
         found = part if found is None else found.union(part)
     return top_k(spark.createDataFrame([], kind) if found is None else found, ["qid"], "score", "id", k)
+
+
+def best_codes(batches: Iterator[pa.RecordBatch], qids: np.ndarray, q: np.ndarray, asked: np.ndarray, centres: np.ndarray, words: np.ndarray, candidates: int) -> Iterator[pa.RecordBatch]:
+    """Each task keeps the best candidates of a query while it reads its codes block by block, and only these move. ``asked`` tells the lists of each query."""
+    kept = Kept(len(qids), candidates)
+    for whole in batches:
+        for at in range(0, len(whole), BLOCK):
+            batch = whole.slice(at, BLOCK)
+            lists, ids = batch.column("list").to_numpy(), batch.column("id").to_numpy()
+            rows = decode(lists, np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(len(batch), -1), centres, words).T
+            for first in range(0, len(q), BLOCK):
+                s = np.where(asked[first : first + BLOCK][:, lists], q[first : first + BLOCK] @ rows, -np.inf)
+                kept.offer(np.arange(first, first + len(s)), s, 0.0, lambda i, j, s=s: s[i, j], ids)
+    yield from kept.rows(qids, ["qid", "id", "score"])
