@@ -86,3 +86,15 @@ def test_compressed_search_holds_blocks_alone():
     for i in (0, 5, 9, 10, 19_999):
         may = np.flatnonzero(asked[i][lists])
         assert got[i] == may[np.argsort(-(rows[may] @ q[i]))[:8]].tolist()
+
+
+def test_vector_search_holds_blocks_alone():
+    """With 20,000 queries, and with a tie of very many rows."""
+    rng = np.random.default_rng(3)
+    q, rows = rng.normal(size=(20_000, 8)), rng.normal(size=(4000, 8))
+    rows[500:3500] = rows[500]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(rows.tolist())], names=["id", "v"])
+    out = []
+    assert peak_mb(lambda: out.extend(retrieval.nearest_vectors(iter([batch]), np.arange(len(q)), q, 10, "inner", 6))) < 200
+    ids, scores = brute(q, rows, 10)
+    assert sorted(zip(np.repeat(np.arange(len(q)), 10).tolist(), ids.ravel().tolist(), scores.ravel().tolist(), strict=True)) == sorted(x for b in out for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
