@@ -31,42 +31,61 @@ def with_clock(stream: DataFrame, ts: str, delay_seconds: int) -> DataFrame:
 
 
 class _Closing(StatefulProcessor):
-    """State of one key and window: its rows' count and sum so far. A timer at the window's end emits and clears it."""
+    """State of one window and shard of the keys: its keys' counts and sums so far. A timer at the window's end emits and clears it.
+
+    Calls to the state and timers cost far more than rows, so they go by shard: what comes is added up and appended, and
+    the list is added up again when it has twice the entries that it needs.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", "n long, total double")
+        self.sums = handle.getListState("sums", "key string, n long, total double")
+        self.held = handle.getValueState("held", "entries long, least long")
+
+    def _added(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).groupby("key", sort=False).sum().reset_index()
+
+    def _all(self) -> pd.DataFrame:
+        return pd.DataFrame([(x[0], int(x[1]), float(x[2])) for x in self.sums.get()], columns=["key", "n", "total"])
+
+    def _rows(self, sums: pd.DataFrame) -> list[tuple[str, int, float]]:
+        return list(zip(sums["key"].tolist(), sums["n"].tolist(), sums["total"].tolist(), strict=True))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        k, start, end = key
+        _, start, end = key
         if end * 1000 <= timerValues.getCurrentWatermarkInMs():
             for batch in rows:
-                yield pd.DataFrame({"key": [k] * len(batch), "window_start": start, "kind": "late", "n": 1, "total": batch["value"].astype(float).to_numpy(), "row_id": batch["row_id"].to_numpy()})
+                yield pd.DataFrame({"key": batch["key"].to_numpy(), "window_start": start, "kind": "late", "n": 1, "total": batch["value"].astype(float).to_numpy(), "row_id": batch["row_id"].to_numpy()})
             return
-        n, total = self.sums.get() if self.sums.exists() else (0, 0.0)
-        if not n:
+        came = self._added([pd.DataFrame({"key": batch["key"], "n": 1, "total": batch["value"].astype(float).fillna(0.0)}).groupby("key", sort=False).sum().reset_index() for batch in rows])
+        entries, least = self.held.get() if self.held.exists() else (0, 0)
+        if not entries:
             self.handle.registerTimer(int(end) * 1000)
-        for batch in rows:
-            n, total = n + len(batch), total + float(batch["value"].fillna(0.0).sum())
-        self.sums.update((int(n), float(total)))
+        if not entries or entries + len(came) > 2 * max(least, len(came)):
+            came = self._added([self._all(), came]) if entries else came
+            self.sums.put(self._rows(came))
+            self.held.update((len(came), len(came)))
+        else:
+            self.sums.appendList(self._rows(came))
+            self.held.update((int(entries) + len(came), int(least)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        k, start, _ = key
-        n, total = self.sums.get()
+        sums = self._added([self._all()])
         self.sums.clear()
-        yield pd.DataFrame({"key": [k], "window_start": [start], "kind": ["closed"], "n": [n], "total": [total], "row_id": pd.array([None], dtype="Int64")})
+        self.held.clear()
+        yield pd.DataFrame({"key": sums["key"], "window_start": key[1], "kind": "closed", "n": sums["n"], "total": sums["total"], "row_id": pd.array([None] * len(sums), dtype="Int64")})
 
     def close(self) -> None:
         pass
 
 
-def closing_windows(stream: DataFrame, seconds: int, by: str, value: str = "value", ts: str = "ts", row_id: str = "event_id", delay_seconds: int = 3600, policy: str = "event", arrived: str | None = None) -> DataFrame:
+def closing_windows(stream: DataFrame, seconds: int, by: str, value: str = "value", ts: str = "ts", row_id: str = "event_id", delay_seconds: int = 3600, policy: str = "event", arrived: str | None = None, shards: int = 64) -> DataFrame:
     """Append-mode rows (key, window_start, kind, n, total, row_id): each window once, ``closed``, when the watermark has passed its end; each row that comes after that once, ``late``.
 
     ``policy`` "event" goes by ``ts``; "ingestion" by the column ``arrived`` that the source stamped rows with; "processing" by
     the time of the trigger. The last two never see a row late but for the order in which they are read. A null time or key
-    belongs to no window and is left out; null values count but add nothing. State is one pair of numbers for each open
-    window of a key, and goes with it.
+    belongs to no window and is left out; null values count but add nothing. State is at most two pairs of numbers for each
+    open window of a key, kept together by window and ``shards`` parts of the keys, and goes with the window.
     """
     if policy not in POLICIES:
         raise ValueError(f"no policy {policy!r}; there are {', '.join(POLICIES)}")
@@ -76,8 +95,8 @@ def closing_windows(stream: DataFrame, seconds: int, by: str, value: str = "valu
     time = {"event": F.col(ts), "ingestion": F.col(arrived or ts), "processing": F.current_timestamp()}[policy]
     rows = stream.select(F.col(by).cast("string").alias("key"), time.alias("at"), F.col(value).cast("double").alias("value"), F.col(row_id).cast("long").alias("row_id")).where("key IS NOT NULL AND at IS NOT NULL")
     start = (F.floor(F.unix_seconds("at") / seconds) * seconds).cast("long")
-    rows = with_clock(rows, "at", delay_seconds).withColumns({"start": start, "end": start + seconds})
-    return rows.groupBy("key", "start", "end").transformWithStateInPandas(_Closing(), "key string, window_start long, kind string, n long, total double, row_id long", "append", "eventTime")
+    rows = with_clock(rows, "at", delay_seconds).withColumns({"shard": F.pmod(F.xxhash64("key"), F.lit(shards)), "start": start, "end": start + seconds})
+    return rows.groupBy("shard", "start", "end").transformWithStateInPandas(_Closing(), "key string, window_start long, kind string, n long, total double, row_id long", "append", "eventTime")
 
 
 class _Correlating(StatefulProcessor):

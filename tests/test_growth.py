@@ -4,12 +4,14 @@ import random
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import tessera.plans  # noqa: F401
 from tessera.catalog import QUERIES
 from tessera.operators import compressed, retrieval
+from tessera.streaming import closing
 
 
 def plan(df):
@@ -109,3 +111,58 @@ def test_bucket_search_moves_k_rows_a_query():
     ids, scores = brute(q, rows, 10)
     assert sum(map(len, out)) == 3000
     assert sorted(zip(np.repeat(np.arange(300), 10).tolist(), ids.ravel().tolist(), scores.ravel().tolist(), strict=True)) == sorted(x for b in out for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+
+class Held:
+    """A processor's state in memory, with every call counted."""
+
+    calls = timers = 0
+
+    def __init__(self, top=None):
+        self.top, self.value = top, None
+
+    def getListState(self, *_):
+        return Held(self)
+
+    getValueState = getListState
+
+    def registerTimer(self, _):
+        self.timers += 1
+
+    def exists(self):
+        self.top.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.top.calls += 1
+        return self.value
+
+    def put(self, value):
+        self.top.calls += 1
+        self.value = value
+
+    update = put
+
+    def appendList(self, value):
+        self.top.calls += 1
+        self.value = self.value + value
+
+    def clear(self):
+        self.put(None)
+
+
+class Watermark:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_windows_close_by_shard_not_by_key():
+    handle, p = Held(), closing._Closing()
+    p.init(handle)
+    for trigger in range(10):
+        rows = pd.DataFrame({"key": [f"k{i}" for i in range(1000)] * 2, "value": [1.0, None] * 1000, "row_id": range(2000)})
+        assert not list(p.handleInputRows((3, 0, 60), iter([rows[:700], rows[700:]]), Watermark()))
+        assert len(p.sums.value) <= 2000, trigger
+    out = pd.concat(list(p.handleExpiredTimer((3, 0, 60), None, None)))
+    assert len(out) == 1000 and (out["n"] == 20).all() and out["total"].sum() == 10_000 and set(out["kind"]) == {"closed"}
+    assert handle.timers == 1 and handle.calls < 100
