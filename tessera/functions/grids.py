@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,12 +22,23 @@ def _cells(rows: Column, cols: Column, f) -> Column:
     return F.when((rows > 0) & (cols > 0), F.transform(upto(rows), lambda i: F.transform(upto(cols), lambda j: f(i, j)))).otherwise(F.array().cast("array<array<double>>"))
 
 
+def once(f):
+    """The operator with its grid computed once a row: what an operator is given is an expression, which each cell would compute anew."""
+
+    @wraps(f)
+    def run(x: Column, *args, **kwargs) -> Column:
+        return let(x, lambda grid: f(grid, *args, **kwargs))
+
+    return run
+
+
 def _at(x: Column, i: Column, j: Column, outside: Column) -> Column:
     """A value of the grid; what lies outside has one of its own."""
     row = F.when(i >= 0, F.get(x, i))
     return F.coalesce(F.when(j >= 0, F.get(row, j)), outside)
 
 
+@once
 def convolved(x: Column, kernel: list[list[float]], stride: Pair = (1, 1), pad: Pair = (0, 0), dilation: Pair = (1, 1), bias: float = 0.0) -> Column:
     """Each output is the product of the kernel with the patch below it; outside the grid is 0."""
     h, w = len(kernel), len(kernel[0])
@@ -40,6 +51,7 @@ def convolved(x: Column, kernel: list[list[float]], stride: Pair = (1, 1), pad:
     return _cells(_out(F.size(x), h, stride[0], pad[0], dilation[0]), _out(F.size(F.get(x, F.lit(0))), w, stride[1], pad[1], dilation[1]), of)
 
 
+@once
 def conv_transposed(x: Column, kernel: list[list[float]], stride: Pair = (1, 1), pad: Pair = (0, 0), bias: float = 0.0) -> Column:
     """Each value lays the kernel down, times itself, at its own place; an output adds up what lies on it."""
     h, w = len(kernel), len(kernel[0])
@@ -57,6 +69,7 @@ def conv_transposed(x: Column, kernel: list[list[float]], stride: Pair = (1, 1),
     return _cells(rows, cols, of)
 
 
+@once
 def columns_of(x: Column, size: Pair, stride: Pair = (1, 1), pad: Pair = (0, 0)) -> Column:
     """The patches of a grid, row by row, each as one array."""
     offsets = [(u, v) for u in range(size[0]) for v in range(size[1])]
@@ -66,6 +79,7 @@ def columns_of(x: Column, size: Pair, stride: Pair = (1, 1), pad: Pair = (0, 0))
     return F.when((rows > 0) & (cols > 0), F.flatten(F.transform(upto(rows), lambda i: F.transform(upto(cols), lambda j: patch(i, j))))).otherwise(F.array().cast("array<array<double>>"))
 
 
+@once
 def grid_of(patches: Column, shape: Pair, size: Pair, stride: Pair = (1, 1), pad: Pair = (0, 0)) -> Column:
     """What columns_of took apart, laid down again: where patches overlap they add up."""
     across = (shape[1] + 2 * pad[1] - size[1]) // stride[1] + 1
@@ -83,6 +97,7 @@ def grid_of(patches: Column, shape: Pair, size: Pair, stride: Pair = (1, 1), pad
     return _cells(F.lit(shape[0]), F.lit(shape[1]), of)
 
 
+@once
 def pooled(x: Column, size: Pair, stride: Pair | None = None, pad: Pair = (0, 0), how: str = "max", p: int = 2) -> Column:
     """max, average (of what lies inside the grid) or lp over windows."""
     stride = stride or size
@@ -101,6 +116,7 @@ def pooled(x: Column, size: Pair, stride: Pair | None = None, pad: Pair = (0, 0)
     return _cells(_out(F.size(x), size[0], stride[0], pad[0], 1), _out(F.size(F.get(x, F.lit(0))), size[1], stride[1], pad[1], 1), of)
 
 
+@once
 def depth_to_space(x: Column, block: int) -> Column:
     """block * block grids of one size as one grid: each block of cells is made of their cells at one place."""
     first = F.get(x, F.lit(0))
@@ -108,12 +124,14 @@ def depth_to_space(x: Column, block: int) -> Column:
     return _cells(F.size(first) * block, F.size(F.get(first, F.lit(0))) * block, pick)
 
 
+@once
 def space_to_depth(x: Column, block: int) -> Column:
     """The grids that depth_to_space puts together."""
     rows, cols = F.floor(F.size(x) / block).cast("int"), F.floor(F.size(F.get(x, F.lit(0))) / block).cast("int")
     return F.array(*(_cells(rows, cols, lambda i, j, u=u, v=v: F.get(F.get(x, (i * block + u).cast("int")), (j * block + v).cast("int"))) for u in range(block) for v in range(block)))
 
 
+@once
 def resized(x: Column, rows: int, cols: int) -> Column:
     """Nearest cells, by the centres of the new ones."""
     near = lambda i, n, m: F.floor((i + 0.5) * n / m).cast("int")

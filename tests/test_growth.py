@@ -166,3 +166,9 @@ def test_windows_close_by_shard_not_by_key():
     out = pd.concat(list(p.handleExpiredTimer((3, 0, 60), None, None)))
     assert len(out) == 1000 and (out["n"] == 20).all() and out["total"].sum() == 10_000 and set(out["kind"]) == {"closed"}
     assert handle.timers == 1 and handle.calls < 100
+
+
+def test_grids_are_made_once_a_row(spark):
+    """Not once for each tap of each cell."""
+    for name in ("grid_convolution", "grid_pools"):
+        assert plan(QUERIES[name](spark, "/root/testdata/sf0.001")).count("cast(embedding") <= 2, name
