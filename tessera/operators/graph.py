@@ -107,3 +107,19 @@ def from_triples(spo: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = lambda p: F.max(F.when(F.col("p") == p, F.col("o"))).alias(p)
     nodes = spo.where(F.col("p").isin("type", "label")).groupBy(F.col("s").alias("id")).agg(said("type"), said("label"))
     return nodes, spo.where(~F.col("p").isin("type", "label")).select(F.col("s").alias("src"), F.col("p").alias("relation"), F.col("o").alias("dst"))
+
+
+def met_within(rows: DataFrame, group: str, item: str, task_rows: int = 500_000) -> DataFrame:
+    """(a, b, n), a before b: pairs of items that share a group, and how many groups they share.
+
+    Spark gathers small partitions by their bytes before it is known that the join multiplies their rows, and adds up the
+    pairs in the same task. So the numbers of partitions are set here, by the rows of the table and the pairs of the groups.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = lambda n: max(least, -(-n // task_rows))
+    own = rows.select(F.col(group).alias("g"), F.col(item).alias("a")).where("g IS NOT NULL AND a IS NOT NULL")
+    own = stored(own.repartition(parts(rows.count()), "g").distinct(), "members")
+    n = own.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2")).cast("long")).first()[0] or 0
+    dealt = own.repartition(parts(2 * n), "g")
+    pairs = dealt.join(dealt.withColumnRenamed("a", "b"), "g").where("a < b").select("a", "b")
+    return pairs.repartition(parts(n), "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))

