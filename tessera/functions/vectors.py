@@ -61,10 +61,11 @@ def cells_norm(cells: Column) -> Column:
     return F.sqrt(F.aggregate(cells, F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
 
 
-def cells_cosine(cells: Column, vector: Column) -> Column:
-    """Of hash_cells and a dense vector; 0 where either has no length."""
-    dot = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x["v"] * F.get(vector, x["dim"]))
-    return F.coalesce(F.try_divide(dot, cells_norm(cells) * norm(vector)), F.lit(0.0))
+def cells_cosine(cells: Column, vector: Column, length: Column | None = None) -> Column:
+    """Of hash_cells and a dense vector, whose ``length`` may be given; 0 where either has no length. The cells are computed once."""
+    dot = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["v"] * F.get(vector, x["dim"]))
+    whole = norm(vector) if length is None else length
+    return let(cells, lambda c: F.coalesce(F.try_divide(dot(c), cells_norm(c) * whole), F.lit(0.0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

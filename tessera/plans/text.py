@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -51,8 +53,8 @@ def sentence_compression(t):
     dense = [0.0] * 128
     for x in asked:
         dense[x["dim"]] = x["v"]
-    vector = F.array(*map(F.lit, dense))
-    return O.compress_sentences(t.documents, lambda s: F.round(cells_cosine(O.hash_cells(s), vector), 9))
+    vector, length = F.array(*map(F.lit, dense)), F.lit(math.sqrt(sum(x * x for x in dense)))
+    return O.compress_sentences(t.documents, lambda s: F.round(cells_cosine(O.hash_cells(s), vector, length), 9))
 
 
 # Letters and numerals outside ASCII become underscores, which are as much part of a word: so RE2's ASCII borders are Unicode's.

@@ -199,3 +199,7 @@ def test_keyword_search_counts_each_row(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "Banana split"), (1, "an"), (2, None), (3, ""), (4, "x" * 300 + "an")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "an an SPLIT it q"), (5, "x")], "item_id long, text string")
     assert {(r["qid"], r["doc_id"], r["score"]) for r in retrieval.keyword_scores(docs, q).collect()} == {(0, 1, 6.0), (0, 4, 2.0), (5, 4, 1.0)}
+
+
+def test_a_sentence_is_hashed_once(spark):
+    assert plan(QUERIES["sentence_compression"](spark, "/root/testdata/sf0.001")).count("sha2(") == 1
