@@ -9,7 +9,7 @@ from ..catalog import stored
 
 #: Fixed by the format: an IRI, a blank node, a literal with its type or language.
 _IRI, _BLANK = r"<([^<>\x00-\x20]*)>", r"_:([\p{L}\p{N}_](?:[\p{L}\p{N}_.-]*[\p{L}\p{N}_-])?)"
-_LITERAL = r'"((?:[^"\\\n\r]|\\.)*)"(?:\^\^<([^<>\x00-\x20]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
+_LITERAL = r'(")((?:[^"\\\n\r]++|\\.)*+)"(?:\^\^<([^<>\x00-\x20]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
 LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*(?:{_IRI}|{_BLANK}|{_LITERAL})\s*\.\s*(?:#.*)?$"
 _PLAIN = "http://www.w3.org/2001/XMLSchema#string"
 _ESCAPES = (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'))
@@ -31,14 +31,19 @@ def _escaped(c: Column) -> Column:
 
 
 def read_triples(lines: DataFrame, text: str = "value") -> DataFrame:
-    """(s, s_kind, p, o, o_kind, o_type, o_lang); kinds iri, blank and literal. Comments, blank lines and lines that are none are left out. A literal without a type is a string."""
-    part = lambda i: F.regexp_extract(text, LINE, i)
-    rows = lines.where(F.col(text).rlike(LINE)).select(*(part(i).alias(f"g{i}") for i in range(1, 9)), F.col(text).rlike(rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*\"").alias("literal"), F.col(text).rlike(rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*_:").alias("blank"))
-    o_kind = F.when(F.col("literal"), "literal").when(F.col("blank"), "blank").otherwise("iri")
-    return rows.select(
-        F.when(F.col("g2") != "", F.col("g2")).otherwise(F.col("g1")).alias("s"), F.when(F.col("g2") != "", "blank").otherwise("iri").alias("s_kind"), F.col("g3").alias("p"),
-        F.when(F.col("literal"), _unescaped(F.col("g6"))).when(F.col("blank"), F.col("g5")).otherwise(F.col("g4")).alias("o"), o_kind.alias("o_kind"),
-        F.when(F.col("literal"), F.when(F.col("g7") != "", F.col("g7")).when(F.col("g8") == "", F.lit(_PLAIN))).alias("o_type"), F.when(F.col("literal") & (F.col("g8") != ""), F.lower("g8")).alias("o_lang"),
+    """(s, s_kind, p, o, o_kind, o_type, o_lang); kinds iri, blank and literal. Comments, blank lines and lines that are none are left out. A literal without a type is a string.
+
+    The pattern runs once a line: its groups are written one below the other, as no group holds a line break, after a sign
+    that no triple's line begins with; where it fails, the line stays as it was. Off a generator, it isn't run again for the filter.
+    """
+    groups = "=\n" + "\n".join(f"${i}" for i in range(1, 10)) + "\n"
+    found = lines.select(F.col(text).alias("line"), F.explode(F.array(F.regexp_replace(text, LINE, groups))).alias("groups")).where("groups <> line")
+    part = lambda i: F.get("g", F.lit(i))
+    literal, blank, tag = part(6) != "", part(5) != "", part(9) != ""
+    return found.select(F.split("groups", "\n").alias("g")).select(
+        F.when(part(2) != "", part(2)).otherwise(part(1)).alias("s"), F.when(part(2) != "", "blank").otherwise("iri").alias("s_kind"), part(3).alias("p"),
+        F.when(literal, _unescaped(part(7))).when(blank, part(5)).otherwise(part(4)).alias("o"), F.when(literal, "literal").when(blank, "blank").otherwise("iri").alias("o_kind"),
+        F.when(literal, F.when(part(8) != "", part(8)).when(~tag, F.lit(_PLAIN))).alias("o_type"), F.when(literal & tag, F.lower(part(9))).alias("o_lang"),
     )
 
 
@@ -50,31 +55,49 @@ def write_lines(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat_ws(" ", node("s", "s_kind"), F.concat(F.lit("<"), "p", F.lit(">")), F.when(F.col("o_kind") == "literal", literal).otherwise(node("o", "o_kind")), F.lit(".")).alias("value"))
 
 
+def _some(df: DataFrame) -> bool:
+    return bool(df.limit(1).count())
+
+
+def _sums(ends: DataFrame) -> DataFrame:
+    """What each node's ends (node, way, p, of) say, whatever their order. They are added up as hashes, so that a node with very many is split over tasks."""
+    mark = lambda k: F.xxhash64(F.lit(k), "way", "p", "of")
+    return ends.groupBy("node").agg(F.bit_xor(mark(1)).alias("x"), F.sum(F.shiftright(mark(2), 8)).alias("y"), F.count(F.lit(1)).alias("m"))
+
+
+def _renamed(t: DataFrame, end: str, colours: DataFrame) -> DataFrame:
+    """The triples with the blank nodes at one end named by their colours. Others are dealt to no task by a term that most of them may share."""
+    kind = F.col(f"{end}_kind")
+    named = t.where(kind == "blank").join(colours.toDF(end, "colour"), end, "left").withColumn(end, F.coalesce(F.concat(F.lit("c"), F.lower(F.hex("colour"))), end))
+    return named.select(t.columns).union(t.where(~kind.eqNullSafe("blank")))
+
+
 def canonical(triples: DataFrame, most_rounds: int = 100) -> DataFrame:
     """The distinct triples with every blank node named by what it is connected to, whatever it was called.
 
-    A blank node's colour is hashed from its own and from those of its triples, seen from it, round by round, until a round
-    tells no more nodes apart. A node's triples are added up as hashes, so that one with very many is split over tasks.
-    Nodes that no round tells apart share a name.
+    A blank node's colour is hashed from its triples with IRIs and literals, once. Those of nodes that are linked to blank
+    nodes are hashed again from their own and the others' colours, seen from it, round by round, until a round tells no more
+    nodes apart; a graph without such links needs no round. Nodes that no round tells apart share a name.
     """
-    t = stored(triples.distinct().withColumn("o_term", F.xxhash64("o_kind", "o", "o_type", "o_lang")).withColumn("s_term", F.xxhash64("s_kind", "s")), "triples")
-    ends = t.where("s_kind = 'blank'").select(F.col("s").alias("node"), F.lit(0).alias("way"), "p", F.col("o_kind").alias("kind"), F.col("o").alias("other"), F.col("o_term").alias("term"))
-    ends = stored(ends.union(t.where("o_kind = 'blank'").select("o", F.lit(1), "p", "s_kind", "s", "s_term")), "ends")
-    colours, n = stored(ends.select("node").distinct().withColumn("colour", F.lit(0).cast("long")), "colours"), 1
-    for _ in range(most_rounds):
-        known = colours.select(F.col("node").alias("other"), F.col("colour").alias("other_colour"))
-        seen = ends.where("kind = 'blank'").join(known, "other").select("node", "way", "p", F.col("other_colour").alias("of")).union(ends.where("kind <> 'blank'").select("node", "way", "p", "term"))
-        mark = lambda k: F.xxhash64(F.lit(k), "way", "p", "of")
-        sums = seen.groupBy("node").agg(F.bit_xor(mark(1)).alias("x"), F.sum(F.shiftright(mark(2), 8)).alias("y"), F.count(F.lit(1)).alias("m"))
-        colours = stored(colours.join(sums, "node").select("node", F.xxhash64("colour", "x", "y", "m").alias("colour")), "colours")
-        now = colours.select("colour").distinct().count()
-        if now <= n and _ > 0:
-            break
-        n = now
-    named = colours.select(F.col("node"), F.concat(F.lit("c"), F.lower(F.hex("colour"))).alias("name"))
-    s, o = named.toDF("s_node", "s_name"), named.toDF("o_node", "o_name")
-    out = t.join(s, (F.col("s_kind") == "blank") & (F.col("s") == F.col("s_node")), "left").join(o, (F.col("o_kind") == "blank") & (F.col("o") == F.col("o_node")), "left")
-    return out.select(F.coalesce("s_name", "s").alias("s"), "s_kind", "p", F.coalesce("o_name", "o").alias("o"), "o_kind", "o_type", "o_lang")
+    t = stored(triples.distinct(), "triples")
+    out = t.where("s_kind = 'blank' AND o_kind <> 'blank'").select(F.col("s").alias("node"), F.lit(0).alias("way"), "p", F.xxhash64("o_kind", "o", "o_type", "o_lang").alias("of"))
+    into = t.where("o_kind = 'blank' AND s_kind <> 'blank'").select("o", F.lit(1), "p", F.xxhash64("s_kind", "s"))
+    colours = stored(_sums(out.union(into)).select("node", F.xxhash64("x", "y", "m").alias("colour")), "colours")
+    links = t.where("s_kind = 'blank' AND o_kind = 'blank'")
+    if _some(links):
+        ends = stored(links.select(F.col("s").alias("node"), F.lit(0).alias("way"), "p", F.col("o").alias("other")).union(links.select("o", F.lit(1), "p", "s")), "ends")
+        linked = stored(ends.select("node").distinct().join(colours, "node", "left").select("node", F.coalesce("colour", F.lit(0).cast("long")).alias("colour")), "linked")
+        n = linked.select("colour").distinct().count()
+        for _ in range(most_rounds):
+            seen = ends.join(linked.toDF("other", "of"), "other")
+            linked = stored(linked.join(_sums(seen), "node").select("node", F.xxhash64("colour", "x", "y", "m").alias("colour")), "linked")
+            now = linked.select("colour").distinct().count()
+            if now <= n:
+                break
+            n = now
+        colours = stored(colours.join(linked, "node", "left_anti").union(linked), "colours")
+    named = _renamed(t, "s", colours)
+    return _renamed(named, "o", colours) if _some(t.where("o_kind = 'blank'")) else named
 
 
 def same_graph(a: DataFrame, b: DataFrame) -> bool:

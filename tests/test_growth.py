@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import tessera.plans  # noqa: F401
 from tessera.catalog import QUERIES
-from tessera.operators import compressed, graph, retrieval
+from tessera.operators import compressed, graph, rdf, retrieval
 from tessera.streaming import closing
 
 
@@ -203,3 +203,39 @@ def test_keyword_search_counts_each_row(spark, monkeypatch):
 
 def test_a_sentence_is_hashed_once(spark):
     assert plan(QUERIES["sentence_compression"](spark, "/root/testdata/sf0.001")).count("sha2(") == 1
+
+
+TRIPLE = "s string, s_kind string, p string, o string, o_kind string, o_type string, o_lang string"
+
+
+def test_triples_are_parsed_once_a_line(spark):
+    assert plan(rdf.read_triples(spark.range(1).selectExpr("string(id) AS value"))).count(r"\p{L}\p{N}_.-") == 2  # one pattern with two blank nodes
+    long = "x" * 150_000 + '\\"'
+    lines = [f'_:a <p> "{long}" .', "_:a <p> <> .\n", ' <a><p>""@EN .# "\r\n', "\n_:a <p> _:b .", "=\na\n\np\nb\n\n\n\n\n", "<a> <p> <b>\n.\n<a> <p> <b> .", None, '<a> <p> "x\ny" .']
+    got = rdf.read_triples(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert {tuple(r) for r in got.collect()} == {
+        ("a", "blank", "p", "x" * 150_000 + '"', "literal", "http://www.w3.org/2001/XMLSchema#string", None), ("a", "blank", "p", "", "iri", None, None), ("a", "iri", "p", "", "literal", None, "en"), ("a", "blank", "p", "b", "blank", None, None),
+    }
+
+
+def test_nodes_are_named_without_rounds_or_terms_to_join(spark, monkeypatch):
+    """Nodes that say the same are one; where none is linked to another, nothing is written again and no literal is a key of a join."""
+    rows = [(f"b{i}", "blank", p, f"{i % 3 if p == 'k' else 'F'}", "literal", None, None) for i in range(60) for p in "kf"] + [("i", "iri", "k", "0", "literal", None, None)]
+    wrote, stored = [], rdf.stored
+    monkeypatch.setattr(rdf, "stored", lambda df, name="step": wrote.append(name) or stored(df, name))
+    named = rdf.canonical(spark.createDataFrame(rows * 2, TRIPLE))
+    got = named.distinct().collect()
+    assert len(got) == 7 and len({r["s"] for r in got}) == 4 and wrote == ["triples", "colours"]
+    assert plan(named).count("Join") == 1
+
+
+def test_links_tell_nodes_apart(spark):
+    """Three chains of five nodes, two with the same end, and a node without links; a term that points to one of the two tells them apart from end to end."""
+    rows = [(f"{n}{i}", "blank", "next", f"{n}{i + 1}", "blank", None, None) for n in "abc" for i in range(4)] + [(n, "blank", "v", v, "literal", None, None) for n, v in (("a4", "7"), ("b4", "7"), ("c4", "8"), ("lone", "7"))]
+
+    def counts(rows):
+        got = {tuple(r) for r in rdf.canonical(spark.createDataFrame(rows, TRIPLE)).collect()}
+        return len(got), len({r[0] for r in got if r[1] == "blank"} | {r[3] for r in got if r[4] == "blank"})
+
+    assert counts(rows) == (11, 11)
+    assert counts([*rows, ("i", "iri", "of", "a0", "blank", None, None)]) == (17, 16)
