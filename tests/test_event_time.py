@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,47 @@ def test_correlation_buffer(spark, tmp_path):
     got = Counter((r["key"], r["outcome"], r["message_id"], r["subscription_id"]) for r in run(stream, f"file://{tmp_path}/run"))
     want = buffered(files, 2000, 3, 600)
     assert got == want and {x[1] for x in want} == {"matched", "expired", "evicted"}
+
+
+def test_correlation_buffer_of_many_keys(spark, tmp_path):
+    """Many keys of a shard, rows of earlier times in later triggers, and keys that only some triggers have."""
+    rng, files = random.Random(4), []
+    for k in range(5):
+        files.append([(1000 * k + j, max(0, k * 1500 + rng.randrange(3000) - rng.choice([0, 0, 2500])), rng.randrange(90), "subscription" if rng.random() < 0.15 else "message", 0.0) for j in range(300)])
+        add_file(spark, tmp_path, files[-1])
+    stream = closing.correlation_buffer(in_order(spark, tmp_path), "user_id", F.col("event_type") == "message", ttl_seconds=1200, most=2, delay_seconds=5000, shards=2)
+    got = Counter((r["key"], r["outcome"], r["message_id"], r["subscription_id"]) for r in run(stream, f"file://{tmp_path}/run"))
+    want = buffered(files, 1200, 2, 5000)
+    assert got == want and {x[1] for x in want} == {"matched", "expired", "evicted"}
+
+
+def test_correlation_buffer_calls_state_by_shard():
+    """5,000 keys take no more calls to the state and timers than one; matches go out in blocks."""
+    calls = Counter()
+
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        def __getattr__(self, name):
+            calls[name] += 1
+            return {"exists": lambda: bool(self.rows), "get": lambda: iter(list(self.rows)), "put": lambda x: self.__setattr__("rows", x), "appendList": lambda x: self.rows.extend(x), "clear": self.rows.clear}[name]
+
+    class Handle:
+        def getListState(self, *_):
+            return Held()
+
+        def registerTimer(self, ms):
+            calls["registerTimer"] += 1
+
+    state = closing._Correlating(10**9, 100)
+    state.init(Handle())
+    rows = [(f"k{i % 5000}", i, i % 3 > 0, i) for i in range(20_000)] + [("hot", i, i >= 1000, i) for i in range(2000)]
+    frame = pd.DataFrame(rows, columns=["key", "at", "is_message", "id"])
+    first = list(state.handleInputRows((0,), iter([frame[:9000], frame[9000:]]), None))
+    later = list(state.handleInputRows((0,), iter([pd.DataFrame([("hot", 5000, True, 9), ("k1", 5000, False, 8)], columns=frame.columns)]), None))
+    assert sum(calls.values()) <= 16
+    assert max(map(len, first)) <= 102_000 and sum((x["key"] == "hot").sum() for x in first) == 1_000_000
+    assert sum((x["key"] == "hot").sum() for x in later) == 1000
+    want = buffered([[(i, at, k, "message" if m else "subscription", 0.0) for k, at, m, i in rows if k != "hot"]], 10**9, 100, 0)
+    assert Counter((r.key, r.outcome, r.message_id, None if pd.isna(r.subscription_id) else r.subscription_id) for x in first for r in x[x["key"] != "hot"].itertuples()) == want
